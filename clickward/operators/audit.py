@@ -262,7 +262,7 @@ def audit_tamper(lines: DataFrame) -> DataFrame:
     return to_lines(edited, F.col("ingested_at"))
 
 
-def integrity_overhead(df: DataFrame, loops: int = 5, warmup: int = 1) -> DataFrame:
+def integrity_overhead(df: DataFrame, order: Order, loops: int = 5, warmup: int = 1) -> DataFrame:
     """Time of canonical texts alone against canonical texts, hashes and root.
 
     Both run as whole Spark jobs into a sink that keeps nothing.
@@ -274,7 +274,7 @@ def integrity_overhead(df: DataFrame, loops: int = 5, warmup: int = 1) -> DataFr
         df.select(F.length(canonical_json(df)).alias("n")).write.format("noop").mode("overwrite").save()
 
     def hashed() -> None:
-        merkle_roots(leaves(df, F.lit("all"))).write.format("noop").mode("overwrite").save()
+        merkle_roots(leaves(df, F.lit("all"), order)).write.format("noop").mode("overwrite").save()
 
     timings = []
     for i in range(max(0, warmup) + max(1, loops)):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickward.functions.casting import to_whole
-from clickward.operators.ordering import Order, attach, drop_helpers, split_groups, time_order
+from clickward.operators.ordering import GroupStats, Order, attach, drop_helpers, group_stats, split_groups, time_order
 from clickward.session import SkewPolicy
 
 # What is encoded.
@@ -93,11 +93,18 @@ def encode(
     alpha: float,
     order: Order,
     policy: SkewPolicy | None = None,
+    history_of: DataFrame | None = None,
+    stats: GroupStats | None = None,
 ) -> DataFrame:
-    """Add `te_<keys>` and `freq_<keys>_train`; a key without history gets the rate and 0."""
+    """Add `te_<keys>` and `freq_<keys>_train`; a key without history gets the rate and 0.
+
+    `history_of` is an earlier form of the frame with the same rows, so that
+    one encoding's history does not contain the joins of the ones before.
+    """
     name = "_".join(keys)
-    rows, groups = split_groups(df, keys, order, policy)
-    joined = attach(rows, fold_history(df, keys, target, folds), groups, policy)
+    source = df if history_of is None else history_of
+    rows, groups = split_groups(df, keys, order, policy, sizes_of=source, stats=stats)
+    joined = attach(rows, fold_history(source, keys, target, folds), groups, policy)
     total = F.get("_sums", F.col("_fold"))
     count = F.coalesce(F.get("_counts", F.col("_fold")), F.lit(0))
     return drop_helpers(
@@ -123,15 +130,19 @@ def rate_features(
     """All encodings of a frame with `idx` and `split`; columns that are absent are skipped.
 
     Positions in the training part must run from 0 in time order, as
-    `temporal_split` leaves them.
+    `temporal_split` leaves them. Each feature reads its own columns of the
+    frame, so pass one that was written to a table.
     """
     order = order or time_order()
     cleaned = df.withColumn(target, F.coalesce(to_whole(F.col(target).cast("string"), "int"), F.lit(0)))
     rows, rate = train_summary(cleaned, target)
-    out = with_folds(cleaned, rows, folds)
+    folded = with_folds(cleaned, rows, folds)
+    out = folded
     used_singles = [c for c in singles if c in df.columns]
     used_pairs = [tuple(p) for p in pairs if set(p) <= set(df.columns)]
-    for keys in [*[(c,) for c in used_singles], *used_pairs]:
-        out = encode(out, keys, target, rate, folds, alpha, order, policy)
+    features = [*[(c,) for c in used_singles], *used_pairs]
+    stats = group_stats(folded, features)
+    for keys in features:
+        out = encode(out, keys, target, rate, folds, alpha, order, policy, folded, stats[keys])
     info = EncodingInfo(rate, folds, alpha, tuple(used_singles), tuple("_".join(p) for p in used_pairs))
     return out.drop("_fold"), info

@@ -9,6 +9,7 @@ a huge frame do not meet in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def _with_totals(df: DataFrame, totals: DataFrame, by: Sequence[str], groups: Gr
     if by:
         return attach(df, totals, groups, policy)
     row = totals.select(F.struct("*")).scalar()
-    return df.withColumns({c: row[c] for c in totals.columns})
+    return df.withColumn("_row", row).withColumns({c: F.col("_row")[c] for c in totals.columns}).drop("_row")
 
 
 def curve(df: DataFrame, by: Sequence[str] = (), policy: SkewPolicy | None = None) -> DataFrame:
@@ -115,8 +116,7 @@ def model_metrics(df: DataFrame, by: Sequence[str] = (), policy: SkewPolicy | No
     if by:
         # Both sides have one row per model.
         return classes.join(area, list(by))
-    row = area.select(F.struct("*")).scalar()
-    return classes.withColumns({c: row[c] for c in area.columns})
+    return classes.withColumn("_row", area.select(F.struct("*")).scalar()).select(*classes.columns, "_row.*")
 
 
 def roc_points(df: DataFrame, by: Sequence[str] = (), policy: SkewPolicy | None = None) -> DataFrame:
@@ -253,18 +253,14 @@ def exact_quantiles(groups: DataFrame, shares: Sequence[float], policy: SkewPoli
     parted, whole = split_groups(groups, [], order, policy)
     placed = drop_helpers(prior_sums(parted, whole, order, {"start": F.col("n")}, policy))
     last = groups.agg((F.sum("n") - 1).alias("last")).scalar()
-    wanted = F.array(*[F.lit(float(s)) for s in shares])
-    asked = F.flatten(
-        F.transform(
-            wanted,
-            lambda s: F.array(
-                F.struct(s.alias("share"), F.floor(s * last).alias("rank"), (s * last - F.floor(s * last)).alias("t"), F.lit(0).alias("upper")),
-                F.struct(s.alias("share"), F.ceil(s * last).alias("rank"), (s * last - F.floor(s * last)).alias("t"), F.lit(1).alias("upper")),
-            ),
-        )
-    )
-    here = F.filter(asked, lambda a: (a["rank"] >= F.col("start")) & (a["rank"] < F.col("start") + F.col("n")))
-    found = placed.select("p", F.explode(here).alias("a"))
+    first, after = F.col("start"), F.col("start") + F.col("n")
+    picks = []
+    for share in shares:
+        at = F.lit(float(share)) * F.col("_last")
+        for upper, rank in ((0, F.floor(at)), (1, F.ceil(at))):
+            found = F.struct(F.lit(float(share)).alias("share"), (at - F.floor(at)).alias("t"), F.lit(upper).alias("upper"))
+            picks.append(F.when((rank >= first) & (rank < after), found))
+    found = placed.withColumn("_last", last).select("p", F.explode(F.array_compact(F.array(*picks))).alias("a"))
     low = F.max(F.when(F.col("a.upper") == 0, F.col("p")))
     high = F.max(F.when(F.col("a.upper") == 1, F.col("p")))
     return found.groupBy(F.col("a.share").alias("share")).agg(
@@ -277,9 +273,10 @@ def calibration_bins(df: DataFrame, bins: int = CALIBRATION_BINS, policy: SkewPo
     groups = score_groups(df).withColumn("n", F.col("pos") + F.col("neg"))
     edges = exact_quantiles(groups.select("p", "n"), [i / bins for i in range(1, bins)], policy)
     cuts = edges.agg(F.collect_list("value").alias("v")).scalar()
-    number = F.size(F.filter(cuts, lambda e: e < F.col("p")))
+    number = reduce(lambda a, b: a + b, [(F.get("_cuts", F.lit(i)) < F.col("p")).cast("int") for i in range(bins - 1)])
     return (
-        groups.groupBy(number.alias("bin"))
+        groups.withColumn("_cuts", cuts)
+        .groupBy(number.alias("bin"))
         .agg(
             F.sum("n").alias("n"),
             (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_p"),

@@ -15,10 +15,12 @@ from clickward.functions.casting import seconds_between
 from clickward.operators.clean import time_parts
 from clickward.operators.ordering import (
     Groups,
+    GroupStats,
     Order,
     attach,
     drop_helpers,
     group_size,
+    group_stats,
     neighbour,
     prior_count,
     prior_sums,
@@ -44,6 +46,7 @@ COUNT_FAMILIES = {
     "ip_device_os_count": ("ip", "device", "os"),
     "ip_day_hour_count": ("ip", "day", "hour"),
 }
+PAIR = ("app", "channel")
 CUMULATIVE_NAMES = {
     "cumcount_ip": "ip_click_count",
     "cumcount_ip_app": "ip_app_count",
@@ -60,12 +63,13 @@ def trust_features(df: DataFrame, order: Order | None = None, policy: SkewPolicy
     """
     order = order or time_order()
     base = time_parts(df)
-    rows, by_ip = split_groups(base, ["ip"], order, policy)
-    rows, by_hour = split_groups(rows, ["ip", "event_hour"], order, policy, parent=by_ip)
+    stats = group_stats(base, [("ip",), PAIR])
+    rows, by_ip = split_groups(base, ["ip"], order, policy, stats=stats[("ip",)])
+    rows, by_hour = split_groups(rows, ["ip", "event_hour"], order, policy, by_ip, base)
     rows = previous_click(rows, by_ip, order, policy)
     rows = group_size(rows, by_hour, "clicks_per_ip_per_hour")
     rows = attach(rows, ip_totals(base), by_ip, policy)
-    rows = app_channel_freq(rows, base, order, policy)
+    rows = app_channel_freq(rows, base, order, policy, stats[PAIR])
     return drop_helpers(rows)
 
 
@@ -86,16 +90,20 @@ def previous_click(df: DataFrame, groups: Groups, order: Order, policy: SkewPoli
 
 
 def app_channel_freq(
-    df: DataFrame, base: DataFrame, order: Order, policy: SkewPolicy | None = None
+    df: DataFrame,
+    base: DataFrame,
+    order: Order,
+    policy: SkewPolicy | None = None,
+    stats: GroupStats | None = None,
 ) -> DataFrame:
     """Rows per (app, channel) of `base`; NULL where either is missing."""
-    keys = ["app", "channel"]
     policy = policy or SkewPolicy.of(df.sparkSession)
-    totals = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("app_channel_freq"))
-    size = totals.count()
-    if size <= policy.broadcast_rows:
-        return attach(df, totals, Groups(tuple(keys), size), policy)
-    rows, groups = split_groups(df, keys, order, policy)
+    totals = base.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("app_channel_freq"))
+    stats = stats or group_stats(base, [PAIR])[PAIR]
+    if stats.groups <= policy.broadcast_rows:
+        # Few pairs: they are broadcast, so even hot ones need no split.
+        return attach(df, totals, Groups(PAIR, stats.groups), policy)
+    rows, groups = split_groups(df, PAIR, order, policy, sizes_of=base, stats=stats)
     return attach(rows, totals, groups, policy)
 
 
@@ -110,7 +118,8 @@ def count_features(
     Expects the columns of `prepare_events`.
     """
     order = order or time_order()
-    out, by_ip = split_groups(df, ["ip"], order, policy)
+    stats = group_stats(df, list(COUNT_FAMILIES.values()))
+    out, by_ip = split_groups(df, ["ip"], order, policy, stats=stats[("ip",)])
     families: dict[str, Groups] = {"ip_click_count": by_ip}
     # Families that start with ip come first, so they reuse its exchange.
     names = sorted(COUNT_FAMILIES, key=lambda n: COUNT_FAMILIES[n][0] != "ip")
@@ -118,7 +127,8 @@ def count_features(
     for name in names:
         if name not in families:
             parent = by_ip if "ip" in COUNT_FAMILIES[name] else None
-            out, families[name] = split_groups(out, COUNT_FAMILIES[name], order, policy, parent)
+            keys = COUNT_FAMILIES[name]
+            out, families[name] = split_groups(out, keys, order, policy, parent, df, stats[keys])
         if causal:
             out = prior_count(out, families[name], order, name, policy)
         else:
@@ -139,7 +149,7 @@ def _distinct_features(
     by_ip, by_app = families["ip_click_count"], families["ip_app_count"]
     if causal:
         out = prior_unique(df, by_ip, by_app, order, "ip_unique_app_count", policy)
-        out, by_channel = split_groups(out, ["ip", "app", "channel"], order, policy, parent=by_app)
+        out, by_channel = split_groups(out, ["ip", "app", "channel"], order, policy, by_app)
         return prior_unique(out, by_app, by_channel, order, "ip_app_unique_channel_count", policy)
     return total_uniques(df, by_ip, by_app, policy)
 
@@ -186,7 +196,7 @@ def delta_features(
     order = order or time_order()
     ts = order.columns[0]
     out, by_ip = split_groups(df, ["ip"], order, policy)
-    out, by_app = split_groups(out, ["ip", "app"], order, policy, parent=by_ip)
+    out, by_app = split_groups(out, ["ip", "app"], order, policy, by_ip, df)
 
     def gap(start: str, end: str):
         return F.coalesce(F.greatest(seconds_between(F.col(start), F.col(end)), F.lit(0.0)), F.lit(0.0))

@@ -101,6 +101,31 @@ class Groups:
         return self.slice_column is not None
 
 
+@dataclass(frozen=True)
+class GroupStats:
+    """How many groups a key family has, over how many rows, and the largest one."""
+
+    groups: int
+    rows: int
+    largest: int
+
+
+def group_stats(df: DataFrame, families: Sequence[Sequence[str]]) -> dict[tuple[str, ...], GroupStats]:
+    """Statistics of several key families from one job over the key columns.
+
+    Groups are told apart by a 64-bit hash here; where a family turns out to
+    have hot groups, `split_groups` counts them again by their keys.
+    """
+    hashes = [F.struct(F.lit(i).alias("family"), F.xxhash64(*f).alias("h")) for i, f in enumerate(families)]
+    each = df.select(F.explode(F.array(*hashes)).alias("k")).select("k.family", "k.h")
+    sizes = each.groupBy("family", "h").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.groupBy("family").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.max("n").alias("largest")
+    )
+    by_number = {r["family"]: GroupStats(r["groups"], r["rows"], r["largest"]) for r in found.collect()}
+    return {tuple(f): by_number.get(i, GroupStats(0, 0, 0)) for i, f in enumerate(families)}
+
+
 def _null_safe_left(df: DataFrame, small: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
     renamed = small.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = F.lit(True)
@@ -136,10 +161,11 @@ def split_groups(
     policy: SkewPolicy | None = None,
     parent: Groups | None = None,
     sizes_of: DataFrame | None = None,
+    stats: GroupStats | None = None,
 ) -> tuple[DataFrame, Groups]:
     """Find the hot groups of a key family and cut them into slices.
 
-    Runs one count job over the key columns. `parent` is a family on a subset
+    Runs one count job over the key columns, unless `stats` has the answer. `parent` is a family on a subset
     of the keys: where it has no hot group, this one has none either. An empty
     key list treats the whole frame as one group. `sizes_of` is an earlier,
     cheaper form of the frame with the same rows, to count on.
@@ -147,15 +173,17 @@ def split_groups(
     policy = policy or SkewPolicy.of(df.sparkSession)
     keys = tuple(keys)
     if parent is not None and not parent.split and set(parent.keys) <= set(keys):
-        return df, Groups(keys)
+        return df, Groups(keys, stats.groups if stats else None)
     sizes = (df if sizes_of is None else sizes_of).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    probe = sizes.agg(
-        F.count(F.lit(1)).alias("groups"), F.sum("_size").alias("rows"), F.max("_size").alias("largest")
-    ).first()
-    rows, largest = probe["rows"] or 0, probe["largest"] or 0
+    if stats is None:
+        probe = sizes.agg(
+            F.count(F.lit(1)).alias("groups"), F.sum("_size").alias("rows"), F.max("_size").alias("largest")
+        ).first()
+        stats = GroupStats(probe["groups"], probe["rows"] or 0, probe["largest"] or 0)
+    rows = stats.rows
     limit = policy.group_limit(rows)
-    if largest <= limit:
-        return df, Groups(keys, probe["groups"])
+    if stats.largest <= limit:
+        return df, Groups(keys, stats.groups)
 
     name = "_".join(keys) or "all"
     slice_column, size_column = f"_slice_{name}", f"_size_{name}"
@@ -170,7 +198,7 @@ def split_groups(
     marked = _null_safe_left(sliced, hot, keys, bounded=True).withColumn(
         slice_column, F.when(F.col(size_column).isNotNull(), F.col(slice_column)).otherwise(F.lit(-1))
     )
-    return marked, Groups(keys, probe["groups"], slices, len(found), slice_column, size_column, hot)
+    return marked, Groups(keys, stats.groups, slices, len(found), slice_column, size_column, hot)
 
 
 def _hot_rows(df: DataFrame, groups: Groups) -> DataFrame:

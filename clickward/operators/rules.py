@@ -90,14 +90,14 @@ def baseline_sets(baseline: DataFrame) -> DataFrame:
     return baseline.agg(*known)
 
 
-def known_values(baseline: DataFrame) -> Column:
-    """The rule that all profiled columns hold values of the baseline."""
+def mark_known_values(df: DataFrame, baseline: DataFrame, out: str = "rule_drift") -> DataFrame:
+    """Whether all profiled columns hold values of the baseline."""
     sets = baseline_sets(baseline).select(F.struct("*")).scalar()
     checks = []
     for c in PROFILE_COLUMNS:
-        known = F.array_contains(sets[f"_known_{c}"], F.col(c).cast("bigint"))
-        checks.append(known | (sets[f"_null_{c}"] & F.col(c).isNull()))
-    return _all(checks)
+        known = F.array_contains(F.col("_sets")[f"_known_{c}"], F.col(c).cast("bigint"))
+        checks.append(known | (F.col("_sets")[f"_null_{c}"] & F.col(c).isNull()))
+    return df.withColumn("_sets", sets).withColumn(out, _all(checks)).drop("_sets")
 
 
 def _fences(quartiles: DataFrame) -> DataFrame:
@@ -135,9 +135,13 @@ def outlier_bounds_approx(df: DataFrame, column: str = "clicks_per_ip_per_hour",
     return _fences(df.agg(F.percentile_approx(column, [0.25, 0.75], accuracy).alias("q")))
 
 
-def inside_fences(bounds: DataFrame, column: str = "clicks_per_ip_per_hour") -> Column:
-    fence = bounds.select(F.struct("lower_bound", "upper_bound")).scalar()
-    return F.col(column).between(fence["lower_bound"], fence["upper_bound"])
+def mark_inside_fences(
+    df: DataFrame, bounds: DataFrame, column: str = "clicks_per_ip_per_hour", out: str = "rule_outlier"
+) -> DataFrame:
+    """Whether the column lies inside the fences."""
+    fence = F.col("_fence")
+    inside = F.col(column).between(fence["lower_bound"], fence["upper_bound"])
+    return df.withColumn("_fence", bounds.select(F.struct("*")).scalar()).withColumn(out, inside).drop("_fence")
 
 
 def veracity_checks(
@@ -156,10 +160,12 @@ def veracity_checks(
             "rule_schema_valid": schema_valid(),
             "rule_completeness": completeness(),
             "rule_range": in_range(as_of),
-            "rule_drift": F.lit(True) if baseline is None else known_values(baseline),
-            "rule_outlier": inside_fences(fences),
+            "rule_drift": F.lit(True),
         }
     )
+    if baseline is not None:
+        flagged = mark_known_values(flagged, baseline)
+    flagged = mark_inside_fences(flagged, fences)
     return flagged.withColumn("is_valid_record", _all([F.col(r) for r in RULES]))
 
 

@@ -188,8 +188,8 @@ def _day_edges(windows: DataFrame, indexed: DataFrame) -> DataFrame:
 
     The list of day starts is bounded by the calendar, not by the rows.
     """
-    starts = indexed.groupBy("day").agg(F.min("idx").alias("start"))
-    days = starts.agg(F.array_sort(F.collect_list("start")).alias("s")).scalar()
+    starts = indexed.groupBy("day").agg(F.min("idx").alias("start")).select("start").collect()
+    days = F.array(*[F.lit(r["start"]) for r in sorted(starts)])
     inside = F.filter(days, lambda s: s < F.col("cap"))
     enough = F.size("inside") >= 3
     return (

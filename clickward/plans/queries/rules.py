@@ -62,7 +62,7 @@ def rule_uniqueness(spark, sf_dir):
 )
 def rule_drift(spark, sf_dir):
     typed = _typed(spark, sf_dir)
-    return typed.select("event_id", ops.known_values(profile.baseline_stats(typed)).alias("rule_drift"))
+    return ops.mark_known_values(typed, profile.baseline_stats(typed)).select("event_id", "rule_drift")
 
 
 BOUNDS = ("q1", "q3", "iqr", "lower_bound", "upper_bound")
@@ -85,7 +85,7 @@ def outlier_bounds(spark, sf_dir):
 @query("rule_outlier", _flags_sql("rule_outlier"))
 def rule_outlier(spark, sf_dir):
     features = trust_features(_typed(spark, sf_dir))
-    return features.select("event_id", ops.inside_fences(ops.outlier_bounds(features)).alias("rule_outlier"))
+    return ops.mark_inside_fences(features, ops.outlier_bounds(features)).select("event_id", "rule_outlier")
 
 
 @query("is_valid_record", _flags_sql("is_valid_record"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickward.operators.clean import cast_events, curate, time_parts
@@ -58,26 +58,34 @@ def trust_frames(
 def stored_baseline(typed: DataFrame, store: str, source: str, row_cap: int = 0) -> DataFrame:
     """The stored profile of the same source files and row cap, or a new one.
 
-    Profiles live in one folder per fingerprint of the source, its path and the
-    cap. A profile is written beside its final name only when it is complete:
-    Spark's success marker tells whether an earlier run finished.
+    Profiles live in one folder per fingerprint of the source, its path and the cap.
     """
-    spark = typed.sparkSession
     key = (
-        manifest_fingerprint(file_manifest(spark, source))
+        manifest_fingerprint(file_manifest(typed.sparkSession, source))
         .select(F.sha2(F.concat_ws("|", "fingerprint", F.lit(source), F.lit(str(row_cap))), 256).alias("k"))
         .first()["k"]
     )
-    path = f"{store}/{key}"
-    if not _finished(spark, path):
-        baseline_stats(typed).withColumn("generated_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).select("feature", "value", "share")
+    return first_baseline(typed, f"{store}/{key}")
+
+
+def first_baseline(typed: DataFrame, path: str) -> DataFrame:
+    """The profile stored at a path; the first caller stores that of its own rows.
 
+    A profile is a few rows in one file, so it appears there whole or not at all.
+    """
+    spark = typed.sparkSession
+    known = _table_if_written(spark, path)
+    if known is None:
+        profile = baseline_stats(typed).withColumn("generated_at", F.current_timestamp())
+        profile.coalesce(1).write.mode("overwrite").parquet(path)
+        known = spark.read.parquet(path)
+    return known.select("feature", "value", "share")
 
-def _finished(spark, path: str) -> bool:
-    from pyspark.errors import AnalysisException
 
+def _table_if_written(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.format("binaryFile").load(f"{path}/_SUCCESS").count() == 1
-    except AnalysisException:
-        return False
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

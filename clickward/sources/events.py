@@ -40,6 +40,15 @@ def read_csv_events(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def with_row_ids(df: DataFrame, out: str = "event_id") -> DataFrame:
+    """Unique row ids for a frame that has none.
+
+    Apply directly above a file scan: the id is made of the scan's partition
+    and the row in it, which a retried task finds again.
+    """
+    return df if out in df.columns else df.withColumn(out, F.monotonically_increasing_id())
+
+
 def first_rows(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
     """At most `limit` rows, the first in the given order; 0 or None keeps all.
 
@@ -67,7 +76,10 @@ def encode_json(df: DataFrame, out: str = "value", *keep: str) -> DataFrame:
 
 
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str, offsets: str = "latest") -> DataFrame:
-    """A topic of JSON events as a stream. Needs the Kafka connector on the class path."""
+    """A topic of JSON events as a stream. Needs the Kafka connector on the class path.
+
+    A message's place in the topic is its row id.
+    """
     messages = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -75,7 +87,8 @@ def read_kafka_stream(spark: SparkSession, servers: str, topic: str, offsets: st
         .option("startingOffsets", offsets)
         .load()
     )
-    return decode_json(messages)
+    position = (F.col("offset") * 65_536 + F.col("partition")).alias("event_id")
+    return decode_json(messages.select(position, "value"), "value", "event_id")
 
 
 def read_file_stream(
