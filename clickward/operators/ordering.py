@@ -26,12 +26,19 @@ from clickward.session import SkewPolicy
 
 @dataclass(frozen=True)
 class Order:
-    """A total order: sort columns, and a number that never falls along it."""
+    """A total order: sort columns, and a number that never falls along it.
+
+    Both are built when used, so that an order can be named before a session exists.
+    """
 
     columns: tuple[str, ...]
-    sort: tuple[Column, ...]
+    sorting: Callable[[], Sequence[Column]]
     position: Callable[[DataFrame], Column]
 
+    @property
+    def sort(self) -> list[Column]:
+        return list(self.sorting())
+
 
 def time_order(ts: str = "click_time_ts", tie: str = "event_id") -> Order:
     """Order by time, ties by id; rows without a time come first."""
@@ -43,40 +50,49 @@ def time_order(ts: str = "click_time_ts", tie: str = "event_id") -> Order:
         fraction = (F.col(tie) - F.lit(low["a"])) / F.lit(float(low["b"] - low["a"] + 1))
         return F.coalesce(micros - F.lit(start), F.lit(-1)).cast("double") + fraction
 
-    return Order((ts, tie), (F.col(ts).asc_nulls_first(), F.col(tie).asc()), position)
+    return Order((ts, tie), lambda: (F.col(ts).asc_nulls_first(), F.col(tie).asc()), position)
 
 
 def number_order(*columns: str, descending: bool = False) -> Order:
     """Order by numeric columns. Slices follow the first one only, so its ties
     stay together: the caller makes sure that such ties are few."""
-    sign = -1.0 if descending else 1.0
-    first = F.col(columns[0])
-    sort = (first.desc() if descending else first.asc(), *(F.col(c).asc() for c in columns[1:]))
-    return Order(columns, sort, lambda df: first.cast("double") * F.lit(sign))
+    first, *rest = columns
+
+    def sorting() -> list[Column]:
+        return [F.col(first).desc() if descending else F.col(first).asc(), *(F.col(c).asc() for c in rest)]
+
+    return Order(columns, sorting, lambda df: F.col(first).cast("double") * F.lit(-1.0 if descending else 1.0))
 
 
 def hash_order(digest: str, tie: str = "event_id") -> Order:
     """Order by a hexadecimal digest; its first 52 bits place a row in a slice."""
     return Order(
         (digest, tie),
-        (F.col(digest).asc(), F.col(tie).asc()),
+        lambda: (F.col(digest).asc(), F.col(tie).asc()),
         lambda df: F.conv(F.substring(digest, 1, 13), 16, 10).cast("double"),
     )
 
 
 def text_order(column: str) -> Order:
     """Order by text; its first six bytes place a row in a slice."""
-    head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0")
-    return Order((column,), (F.col(column).asc(),), lambda df: F.conv(head, 16, 10).cast("double"))
+
+    def position(df: DataFrame) -> Column:
+        head = F.hex(F.substring(F.col(column).cast("binary"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+
+    return Order((column,), lambda: (F.col(column).asc(),), position)
 
 
 def text_time_order(ts: str = "click_time", tie: str = "event_id") -> Order:
     """Order by a time given as text; unreadable times come first."""
-    moment = F.col(ts).try_cast("timestamp")
+
+    def moment() -> Column:
+        return F.col(ts).try_cast("timestamp")
+
     return Order(
         (ts, tie),
-        (moment.asc_nulls_first(), F.col(tie).asc()),
-        lambda df: F.coalesce(F.unix_micros(moment).cast("double"), F.lit(-1e18)),
+        lambda: (moment().asc_nulls_first(), F.col(tie).asc()),
+        lambda df: F.coalesce(F.unix_micros(moment()).cast("double"), F.lit(-1e18)),
     )
 
 

@@ -87,7 +87,10 @@ best AS (SELECT min(cap) AS best FROM support WHERE val_pos >= 60 AND test_pos >
 @query(
     "row_window_select",
     _sql(
-        'SELECT \'head\' AS "window", s.*, COALESCE(cap = best, false) AS selected FROM support s, best WHERE best IS NULL OR cap <= best',
+        """
+SELECT 'head' AS "window", s.*, COALESCE(cap = best, false) AS selected FROM support s, best WHERE best IS NULL OR cap <= best
+UNION ALL SELECT 'trailing', s.*, false FROM support s, best, totals WHERE best IS NULL AND cap = n
+""",
         _WINDOW_SQL,
     ),
 )

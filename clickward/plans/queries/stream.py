@@ -8,12 +8,14 @@ import time
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickward.operators.clean import cast_events
+from clickward.operators.ordering import number_order
 from clickward.operators.rules import RULES
 from clickward.plans.queries import sql
 from clickward.plans.queries.registry import AS_OF, query, rounded
 from clickward.plans.trust import trust_frames
 from clickward.session import scratch_path
-from clickward.sources import audit_log, events
+from clickward.sources import audit_log, events, sinks
 from clickward.sources.adapters import clicks_clean
 from clickward.streaming import trust_stream as job
 
@@ -94,6 +96,39 @@ def stream_baseline(spark, sf_dir):
     return spark.read.parquet(paths.baseline).select("feature", "value", *rounded("share"))
 
 
+@query(
+    "sink_stream_parquet",
+    sql.with_(
+        sql.CLEAN,
+        _TYPED,
+        select="SELECT event_id, part AS batch_id, ip, app, device, os, channel, is_fraud FROM typed",
+    ),
+)
+def sink_stream_parquet(spark, sf_dir):
+    """Every batch is written twice, as after a restart, and counts once."""
+    path = scratch_path(spark, "stream-batches")
+    typed = cast_events(clicks_clean(spark, sf_dir))
+    for part in [*range(PARTS), *range(PARTS)]:
+        sinks.write_stream_batch(typed.where(F.col("event_id") % PARTS == part), path, part)
+    return spark.read.parquet(path).select("event_id", "batch_id", "ip", "app", "device", "os", "channel", "is_fraud")
+
+
+@query("sink_audit_jsonl")
+def sink_audit_jsonl(spark, sf_dir):
+    """The lines of a log after one appended batch per label."""
+    path = scratch_path(spark, "audit-log")
+    clicks = clicks_clean(spark, sf_dir)
+    for flag in ("0", "1"):
+        audit_log.append_batch(
+            clicks.where(F.col("is_attributed") == flag),
+            path,
+            f"attributed_{flag}",
+            F.lit('{"stage":"by_label"}'),
+            number_order("event_id"),
+        )
+    return audit_log.read_lines(spark, path)
+
+
 @query("stream_audit")
 def stream_audit(spark, sf_dir):
     _, paths = _run(spark, sf_dir)
