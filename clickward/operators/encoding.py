@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickward.functions.casting import to_whole
-from clickward.operators.ordering import GroupStats, Order, attach, drop_helpers, group_stats, split_groups, time_order
+from clickward.operators.ordering import Groups, Order, attach, drop_helpers, split_families, time_order
 from clickward.session import SkewPolicy
 
 # What is encoded.
@@ -86,35 +86,30 @@ def fold_history(df: DataFrame, keys: Sequence[str], target: str, folds: int) ->
 
 def encode(
     df: DataFrame,
-    keys: Sequence[str],
+    groups: Groups,
     target: str,
     rate: float,
     folds: int,
     alpha: float,
-    order: Order,
     policy: SkewPolicy | None = None,
     history_of: DataFrame | None = None,
-    stats: GroupStats | None = None,
 ) -> DataFrame:
     """Add `te_<keys>` and `freq_<keys>_train`; a key without history gets the rate and 0.
 
     `history_of` is an earlier form of the frame with the same rows, so that
     one encoding's history does not contain the joins of the ones before.
     """
-    name = "_".join(keys)
+    name = "_".join(groups.keys)
     source = df if history_of is None else history_of
-    rows, groups = split_groups(df, keys, order, policy, sizes_of=source, stats=stats)
-    joined = attach(rows, fold_history(source, keys, target, folds), groups, policy)
+    joined = attach(df, fold_history(source, groups.keys, target, folds), groups, policy)
     total = F.get("_sums", F.col("_fold"))
     count = F.coalesce(F.get("_counts", F.col("_fold")), F.lit(0))
-    return drop_helpers(
-        joined.withColumns(
-            {
-                f"te_{name}": F.when(count > 0, smoothed(total, count, rate, alpha)).otherwise(F.lit(rate)),
-                f"freq_{name}_train": count.cast("double"),
-            }
-        ).drop("_sums", "_counts")
-    )
+    return joined.withColumns(
+        {
+            f"te_{name}": F.when(count > 0, smoothed(total, count, rate, alpha)).otherwise(F.lit(rate)),
+            f"freq_{name}_train": count.cast("double"),
+        }
+    ).drop("_sums", "_counts")
 
 
 def rate_features(
@@ -137,12 +132,11 @@ def rate_features(
     cleaned = df.withColumn(target, F.coalesce(to_whole(F.col(target).cast("string"), "int"), F.lit(0)))
     rows, rate = train_summary(cleaned, target)
     folded = with_folds(cleaned, rows, folds)
-    out = folded
     used_singles = [c for c in singles if c in df.columns]
     used_pairs = [tuple(p) for p in pairs if set(p) <= set(df.columns)]
     features = [*[(c,) for c in used_singles], *used_pairs]
-    stats = group_stats(folded, features)
+    out, families = split_families(folded, features, order, policy, join_only=features)
     for keys in features:
-        out = encode(out, keys, target, rate, folds, alpha, order, policy, folded, stats[keys])
+        out = encode(out, families[keys], target, rate, folds, alpha, policy, folded)
     info = EncodingInfo(rate, folds, alpha, tuple(used_singles), tuple("_".join(p) for p in used_pairs))
-    return out.drop("_fold"), info
+    return drop_helpers(out.drop("_fold")), info

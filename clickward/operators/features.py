@@ -15,16 +15,14 @@ from clickward.functions.casting import seconds_between
 from clickward.operators.clean import time_parts
 from clickward.operators.ordering import (
     Groups,
-    GroupStats,
     Order,
     attach,
     drop_helpers,
     group_size,
-    group_stats,
     neighbour,
     prior_count,
     prior_sums,
-    split_groups,
+    split_families,
     time_order,
 )
 from clickward.session import SkewPolicy
@@ -47,6 +45,7 @@ COUNT_FAMILIES = {
     "ip_day_hour_count": ("ip", "day", "hour"),
 }
 PAIR = ("app", "channel")
+WITH_CHANNEL = ("ip", "app", "channel")
 CUMULATIVE_NAMES = {
     "cumcount_ip": "ip_click_count",
     "cumcount_ip_app": "ip_app_count",
@@ -62,14 +61,13 @@ def trust_features(df: DataFrame, order: Order | None = None, policy: SkewPolicy
     broadcast when their counted size allows it.
     """
     order = order or time_order()
-    base = time_parts(df)
-    stats = group_stats(base, [("ip",), PAIR])
-    rows, by_ip = split_groups(base, ["ip"], order, policy, stats=stats[("ip",)])
-    rows, by_hour = split_groups(rows, ["ip", "event_hour"], order, policy, by_ip, base)
-    rows = previous_click(rows, by_ip, order, policy)
-    rows = group_size(rows, by_hour, "clicks_per_ip_per_hour")
-    rows = attach(rows, ip_totals(base), by_ip, policy)
-    rows = app_channel_freq(rows, base, order, policy, stats[PAIR])
+    parts = time_parts(df)
+    ip, hour = ("ip",), ("ip", "event_hour")
+    base, families = split_families(parts, [ip, hour, PAIR], order, policy, join_only=[PAIR])
+    rows = previous_click(base, families[ip], order, policy, base)
+    rows = group_size(rows, families[hour], "clicks_per_ip_per_hour")
+    rows = attach(rows, ip_totals(parts), families[ip], policy)
+    rows = attach(rows, pair_totals(parts), families[PAIR], policy)
     return drop_helpers(rows)
 
 
@@ -81,30 +79,29 @@ def ip_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def previous_click(df: DataFrame, groups: Groups, order: Order, policy: SkewPolicy | None = None) -> DataFrame:
-    """Time of the ip's previous click and the whole seconds since it."""
-    ts = order.columns[0]
-    out = neighbour(df, groups, order, ts, "prev_click_time", policy=policy)
-    gap = (F.unix_seconds(ts) - F.unix_seconds("prev_click_time")).cast("double")
-    return out.withColumn("inter_click_seconds", F.when(F.col("prev_click_time").isNull(), 0.0).otherwise(gap))
+def pair_totals(df: DataFrame) -> DataFrame:
+    """Rows per (app, channel)."""
+    return df.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("app_channel_freq"))
 
 
-def app_channel_freq(
+def previous_click(
     df: DataFrame,
-    base: DataFrame,
+    groups: Groups,
     order: Order,
     policy: SkewPolicy | None = None,
-    stats: GroupStats | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows per (app, channel) of `base`; NULL where either is missing."""
-    policy = policy or SkewPolicy.of(df.sparkSession)
-    totals = base.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("app_channel_freq"))
-    stats = stats or group_stats(base, [PAIR])[PAIR]
-    if stats.groups <= policy.broadcast_rows:
-        # Few pairs: they are broadcast, so even hot ones need no split.
-        return attach(df, totals, Groups(PAIR, stats.groups), policy)
-    rows, groups = split_groups(df, PAIR, order, policy, sizes_of=base, stats=stats)
-    return attach(rows, totals, groups, policy)
+    """Time of the ip's previous click and the whole seconds since it."""
+    ts = order.columns[0]
+    out = neighbour(df, groups, order, ts, "prev_click_time", policy=policy, base=base)
+    gap = (F.unix_seconds(ts) - F.unix_seconds("prev_click_time")).cast("double")
+    return out.withColumn("inter_click_seconds", F.when(F.col("prev_click_time").isNull(), 0.0).otherwise(gap))
+
+
+def app_channel_freq(df: DataFrame, order: Order, policy: SkewPolicy | None = None) -> DataFrame:
+    """Add the rows per (app, channel); NULL where either is missing."""
+    base, families = split_families(df, [PAIR], order, policy, join_only=[PAIR])
+    return drop_helpers(attach(base, pair_totals(df), families[PAIR], policy))
 
 
 def count_features(
@@ -118,42 +115,29 @@ def count_features(
     Expects the columns of `prepare_events`.
     """
     order = order or time_order()
-    stats = group_stats(df, list(COUNT_FAMILIES.values()))
-    out, by_ip = split_groups(df, ["ip"], order, policy, stats=stats[("ip",)])
-    families: dict[str, Groups] = {"ip_click_count": by_ip}
-    # Families that start with ip come first, so they reuse its exchange.
-    names = sorted(COUNT_FAMILIES, key=lambda n: COUNT_FAMILIES[n][0] != "ip")
     causal = Track(track) is Track.CAUSAL
-    for name in names:
-        if name not in families:
-            parent = by_ip if "ip" in COUNT_FAMILIES[name] else None
-            keys = COUNT_FAMILIES[name]
-            out, families[name] = split_groups(out, keys, order, policy, parent, df, stats[keys])
+    wider = [WITH_CHANNEL] if causal else []
+    base, families = split_families(df, [*COUNT_FAMILIES.values(), *wider], order, policy)
+    out = base
+    # Families that start with ip come first, so they reuse its exchange.
+    for name, keys in sorted(COUNT_FAMILIES.items(), key=lambda item: item[1][0] != "ip"):
         if causal:
-            out = prior_count(out, families[name], order, name, policy)
+            out = prior_count(out, families[keys], order, name, policy, base)
         else:
-            out = group_size(out, families[name], name)
-            for alias, source in CUMULATIVE_NAMES.items():
-                if source == name:
-                    out = prior_count(out, families[name], order, alias, policy)
-        if name == "ip_app_count":
-            out = _distinct_features(out, causal, families, order, policy)
+            out = group_size(out, families[keys], name)
     if causal:
+        by_ip, by_app = families[("ip",)], families[("ip", "app")]
+        out = prior_unique(out, by_ip, by_app, order, "ip_unique_app_count", policy, base)
+        by_channel = families[WITH_CHANNEL]
+        out = prior_unique(out, by_app, by_channel, order, "ip_app_unique_channel_count", policy, base)
         out = out.withColumns({alias: F.col(source) for alias, source in CUMULATIVE_NAMES.items()})
+    else:
+        for alias, source in CUMULATIVE_NAMES.items():
+            out = prior_count(out, families[COUNT_FAMILIES[source]], order, alias, policy, base)
+        out = total_uniques(out, df, families[("ip",)], families[("ip", "app")], policy)
     return drop_helpers(out)
 
 
-def _distinct_features(
-    df: DataFrame, causal: bool, families: dict[str, Groups], order: Order, policy: SkewPolicy | None
-) -> DataFrame:
-    by_ip, by_app = families["ip_click_count"], families["ip_app_count"]
-    if causal:
-        out = prior_unique(df, by_ip, by_app, order, "ip_unique_app_count", policy)
-        out, by_channel = split_groups(out, ["ip", "app", "channel"], order, policy, by_app)
-        return prior_unique(out, by_app, by_channel, order, "ip_app_unique_channel_count", policy)
-    return total_uniques(df, by_ip, by_app, policy)
-
-
 def prior_unique(
     df: DataFrame,
     groups: Groups,
@@ -161,6 +145,7 @@ def prior_unique(
     order: Order,
     out: str,
     policy: SkewPolicy | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct values already seen in the group before this row.
 
@@ -168,14 +153,18 @@ def prior_unique(
     first with its value when nothing precedes it there; the answer is the
     number of such rows among the earlier ones.
     """
-    flagged = prior_count(df, with_value, order, "_seen", policy)
+    lean = df if base is None else base
     first = (F.col("_seen") == 0).cast("int")
-    return prior_sums(flagged, groups, order, {out: first}, policy).drop("_seen")
+    flagged = prior_count(df, with_value, order, "_seen", policy, lean)
+    lean_flagged = prior_count(lean, with_value, order, "_seen", policy, lean) if groups.split else None
+    return prior_sums(flagged, groups, order, {out: first}, policy, lean_flagged).drop("_seen")
 
 
-def total_uniques(df: DataFrame, by_ip: Groups, by_app: Groups, policy: SkewPolicy | None = None) -> DataFrame:
-    """Distinct apps per ip and channels per (ip, app) over all rows, NULLs not counted."""
-    triples = df.groupBy("ip", "app", "channel").agg(F.lit(1).alias("one"))
+def total_uniques(
+    df: DataFrame, source: DataFrame, by_ip: Groups, by_app: Groups, policy: SkewPolicy | None = None
+) -> DataFrame:
+    """Distinct apps per ip and channels per (ip, app) over all rows of `source`, NULLs not counted."""
+    triples = source.groupBy("ip", "app", "channel").agg(F.lit(1).alias("one"))
     channels = triples.groupBy("ip", "app").agg(F.count("channel").alias("ip_app_unique_channel_count"))
     apps = channels.groupBy("ip").agg(F.count("app").alias("ip_unique_app_count"))
     return attach(attach(df, apps, by_ip, policy), channels, by_app, policy)
@@ -195,15 +184,16 @@ def delta_features(
     """
     order = order or time_order()
     ts = order.columns[0]
-    out, by_ip = split_groups(df, ["ip"], order, policy)
-    out, by_app = split_groups(out, ["ip", "app"], order, policy, by_ip, df)
+    base, families = split_families(df, [("ip",), ("ip", "app")], order, policy)
+    by_ip, by_app = families[("ip",)], families[("ip", "app")]
+    out = base
 
     def gap(start: str, end: str):
         return F.coalesce(F.greatest(seconds_between(F.col(start), F.col(end)), F.lit(0.0)), F.lit(0.0))
 
     for groups, name in ((by_ip, "prev_click_delta_sec_ip"), (by_app, "prev_click_delta_sec_ip_app")):
-        out = neighbour(out, groups, order, ts, "_other", policy=policy).withColumn(name, gap("_other", ts))
+        out = neighbour(out, groups, order, ts, "_other", policy=policy, base=base).withColumn(name, gap("_other", ts))
     if next_click and Track(track) is Track.TRANSDUCTIVE:
-        out = neighbour(out, by_ip, order, ts, "_other", following=True, policy=policy)
+        out = neighbour(out, by_ip, order, ts, "_other", following=True, policy=policy, base=base)
         out = out.withColumn("next_click_delta_sec_ip", gap(ts, "_other"))
     return drop_helpers(out.drop("_other"))

@@ -98,10 +98,14 @@ def text_time_order(ts: str = "click_time", tie: str = "event_id") -> Order:
 
 @dataclass(frozen=True)
 class Groups:
-    """A key family, and how its hot groups are split."""
+    """A key family, and how its hot groups are split.
+
+    `count` is the number of groups where it is known, `at_least` a bound below it.
+    """
 
     keys: tuple[str, ...]
     count: int | None = None
+    at_least: int = 0
     slices: int = 0
     hot_keys: int = 0
     slice_column: str | None = None
@@ -132,7 +136,7 @@ def group_stats(df: DataFrame, families: Sequence[Sequence[str]]) -> dict[tuple[
     Groups are told apart by a 64-bit hash here; where a family turns out to
     have hot groups, `split_groups` counts them again by their keys.
     """
-    hashes = [F.struct(F.lit(i).alias("family"), F.xxhash64(*f).alias("h")) for i, f in enumerate(families)]
+    hashes = [F.struct(F.lit(i).alias("family"), F.xxhash64(*(f or [F.lit(0)])).alias("h")) for i, f in enumerate(families)]
     each = df.select(F.explode(F.array(*hashes)).alias("k")).select("k.family", "k.h")
     sizes = each.groupBy("family", "h").agg(F.count(F.lit(1)).alias("n"))
     found = sizes.groupBy("family").agg(
@@ -170,51 +174,94 @@ def order_slices(df: DataFrame, order: Order, rows: int, policy: SkewPolicy, out
     return sliced.drop(raw), len(cuts) + 1
 
 
-def split_groups(
+def split_families(
     df: DataFrame,
-    keys: Sequence[str],
+    families: Sequence[Sequence[str]],
     order: Order,
     policy: SkewPolicy | None = None,
-    parent: Groups | None = None,
     sizes_of: DataFrame | None = None,
-    stats: GroupStats | None = None,
-) -> tuple[DataFrame, Groups]:
-    """Find the hot groups of a key family and cut them into slices.
-
-    Runs one count job over the key columns, unless `stats` has the answer. `parent` is a family on a subset
-    of the keys: where it has no hot group, this one has none either. An empty
-    key list treats the whole frame as one group. `sizes_of` is an earlier,
-    cheaper form of the frame with the same rows, to count on.
+    join_only: Sequence[Sequence[str]] = (),
+) -> tuple[DataFrame, dict[tuple[str, ...], Groups]]:
+    """Find the hot groups of key families and cut them into slices.
+
+    One job counts the families that contain no other given one. A wider family
+    can only be hot inside hot groups of the narrower ones, so it is counted
+    only there, if at all. All families share one slicing of the order. An
+    empty key list stands for the whole frame as one group.
+
+    `sizes_of` is an earlier, cheaper form of the frame with the same rows, to
+    count on. A `join_only` family is not split if its groups are few enough to
+    be broadcast.
     """
     policy = policy or SkewPolicy.of(df.sparkSession)
-    keys = tuple(keys)
-    if parent is not None and not parent.split and set(parent.keys) <= set(keys):
-        return df, Groups(keys, stats.groups if stats else None)
-    sizes = (df if sizes_of is None else sizes_of).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    if stats is None:
-        probe = sizes.agg(
-            F.count(F.lit(1)).alias("groups"), F.sum("_size").alias("rows"), F.max("_size").alias("largest")
-        ).first()
-        stats = GroupStats(probe["groups"], probe["rows"] or 0, probe["largest"] or 0)
-    rows = stats.rows
+    source = df if sizes_of is None else sizes_of
+    ordered = sorted({tuple(f) for f in families}, key=lambda f: (len(f), f))
+    few = {tuple(f) for f in join_only}
+
+    def parents(family: tuple[str, ...]) -> list[tuple[str, ...]]:
+        return [o for o in ordered if o != family and set(o) < set(family)]
+
+    stats = group_stats(source, [f for f in ordered if not parents(f)])
+    rows = max((s.rows for s in stats.values()), default=0)
     limit = policy.group_limit(rows)
-    if stats.largest <= limit:
-        return df, Groups(keys, stats.groups)
-
-    name = "_".join(keys) or "all"
-    slice_column, size_column = f"_slice_{name}", f"_size_{name}"
-    sliced, slices = order_slices(df, order, rows, policy, slice_column)
-    if not keys:
-        return sliced.withColumn(size_column, F.lit(rows)), Groups(
-            keys, 1, slices, 1, slice_column, size_column
-        )
-    # At most rows / limit <= max_slices keys can be hot, so this is bounded.
-    found = sizes.where(F.col("_size") > limit).collect()
-    hot = df.sparkSession.createDataFrame(found, sizes.schema).withColumnRenamed("_size", size_column)
-    marked = _null_safe_left(sliced, hot, keys, bounded=True).withColumn(
-        slice_column, F.when(F.col(size_column).isNotNull(), F.col(slice_column)).otherwise(F.lit(-1))
-    )
-    return marked, Groups(keys, stats.groups, slices, len(found), slice_column, size_column, hot)
+    hot: dict[tuple[str, ...], DataFrame] = {}
+    groups: dict[tuple[str, ...], Groups] = {}
+    for family in ordered:
+        above = parents(family)
+        known = stats.get(family)
+        if known is not None:
+            groups[family] = Groups(family, known.groups, known.groups)
+            small = family in few and known.groups <= policy.broadcast_rows
+            candidates = source if known.largest > limit and not small else None
+        else:
+            groups[family] = Groups(family, None, max(groups[p].at_least for p in above))
+            candidates = source
+            for p in above:
+                small_parent = p in few and groups[p].count is not None and groups[p].count <= policy.broadcast_rows
+                if p not in hot and not small_parent:
+                    candidates = None
+                    break
+                if p in hot:
+                    candidates = _semi(candidates, hot[p], p)
+        if candidates is None:
+            continue
+        sizes = candidates.groupBy(*family).agg(F.count(F.lit(1)).alias(_size_name(family)))
+        # At most rows / limit <= max_slices groups can be hot, so this is bounded.
+        found = sizes.where(F.col(_size_name(family)) > limit).collect()
+        if found:
+            hot[family] = df.sparkSession.createDataFrame(found, sizes.schema)
+            groups[family] = Groups(family, groups[family].count, groups[family].at_least, hot_keys=len(found))
+    if not hot:
+        return df, groups
+
+    out, slices = order_slices(df, order, rows, policy, "_slice_order")
+    for family, few_keys in hot.items():
+        size, cut = _size_name(family), f"_slice_{'_'.join(family) or 'all'}"
+        marked = _null_safe_left(out, few_keys, family, bounded=True) if family else out.withColumn(size, F.lit(rows))
+        out = marked.withColumn(cut, F.when(F.col(size).isNotNull(), F.col("_slice_order")).otherwise(F.lit(-1)))
+        g = groups[family]
+        groups[family] = Groups(family, g.count, g.at_least, slices, g.hot_keys, cut, size, few_keys)
+    return out, groups
+
+
+def _size_name(family: Sequence[str]) -> str:
+    return f"_size_{'_'.join(family) or 'all'}"
+
+
+def _semi(df: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    right = few.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & df[k].eqNullSafe(right[f"_r_{k}"])
+    return df.join(F.broadcast(right), condition, "left_semi")
+
+
+def split_groups(
+    df: DataFrame, keys: Sequence[str], order: Order, policy: SkewPolicy | None = None
+) -> tuple[DataFrame, Groups]:
+    """`split_families` of a single family."""
+    out, groups = split_families(df, [keys], order, policy)
+    return out, groups[tuple(keys)]
 
 
 def _hot_rows(df: DataFrame, groups: Groups) -> DataFrame:
@@ -231,9 +278,15 @@ def prior_sums(
     order: Order,
     values: Mapping[str, Column],
     policy: SkewPolicy | None = None,
+    base: DataFrame | None = None,
     data_type: str = "bigint",
 ) -> DataFrame:
-    """Sum of each value over the earlier rows of the group, 0 on the first row."""
+    """Sum of each value over the earlier rows of the group, 0 on the first row.
+
+    `base` is an earlier form of the frame with the same split and the columns
+    of the values. What earlier slices contribute is taken from it, so that a
+    chain of features does not repeat itself inside each of its parts.
+    """
     before = (
         Window.partitionBy(*groups.parts)
         .orderBy(*order.sort)
@@ -250,7 +303,7 @@ def prior_sums(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
-        _hot_rows(df, groups)
+        _hot_rows(df if base is None else base, groups)
         .groupBy(*groups.parts)
         .agg(*[F.sum(v).cast(data_type).alias(f"_c_{n}") for n, v in values.items()])
         .select(*groups.parts, *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in values])
@@ -260,9 +313,16 @@ def prior_sums(
     return joined.withColumns(total).drop(*[f"_c_{n}" for n in values])
 
 
-def prior_count(df: DataFrame, groups: Groups, order: Order, out: str, policy: SkewPolicy | None = None) -> DataFrame:
+def prior_count(
+    df: DataFrame,
+    groups: Groups,
+    order: Order,
+    out: str,
+    policy: SkewPolicy | None = None,
+    base: DataFrame | None = None,
+) -> DataFrame:
     """Number of earlier rows of the group."""
-    return prior_sums(df, groups, order, {out: F.lit(1)}, policy)
+    return prior_sums(df, groups, order, {out: F.lit(1)}, policy, base)
 
 
 def neighbour(
@@ -273,8 +333,12 @@ def neighbour(
     out: str,
     following: bool = False,
     policy: SkewPolicy | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Value of the previous (or following) row of the group, NULL at the end."""
+    """Value of the previous (or following) row of the group, NULL at the end.
+
+    `base` is as in `prior_sums`.
+    """
     along = Window.partitionBy(*groups.parts).orderBy(*order.sort)
     shift = F.lead(value) if following else F.lag(value)
     if not groups.split:
@@ -284,7 +348,7 @@ def neighbour(
     edge = F.min(row) if following else F.max(row)
     slices = Window.partitionBy(*groups.keys).orderBy(groups.slice_column)
     carry = (
-        _hot_rows(df, groups)
+        _hot_rows(df if base is None else base, groups)
         .groupBy(*groups.parts)
         .agg(edge["v"].alias("_edge"))
         .select(
@@ -320,8 +384,11 @@ def attach(df: DataFrame, totals: DataFrame, groups: Groups, policy: SkewPolicy
     """
     policy = policy or SkewPolicy.of(df.sparkSession)
     keys = list(groups.keys)
-    size = groups.count if groups.count is not None else totals.count()
-    if size <= policy.broadcast_rows:
+    if groups.count is not None:
+        small = groups.count <= policy.broadcast_rows
+    else:
+        small = groups.at_least <= policy.broadcast_rows and totals.count() <= policy.broadcast_rows
+    if small:
         return df.join(F.broadcast(totals), keys, "left")
     if not groups.split:
         return df.join(totals, keys, "left")

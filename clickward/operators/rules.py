@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickward.operators.ordering import Order, drop_helpers, prior_count, split_groups, time_order
+from clickward.operators.ordering import Order, drop_helpers, prior_count, split_families, time_order
 from clickward.operators.profile import NULL_NAME, PROFILE_COLUMNS, drift_psi_kl
 from clickward.session import SkewPolicy
 
@@ -67,10 +67,8 @@ def mark_first_of_duplicates(
     large group of copies is cut along the row id like any other hot group.
     """
     order = order or time_order()
-    counted = df if sizes_of is None else sizes_of
-    _, by_ip = split_groups(counted, ["ip"], order, policy)
-    rows, groups = split_groups(df, DUPLICATE_KEY, order, policy, by_ip, counted)
-    earlier = prior_count(rows, groups, order, "_earlier_copies", policy)
+    rows, families = split_families(df, [("ip",), DUPLICATE_KEY], order, policy, sizes_of)
+    earlier = prior_count(rows, families[DUPLICATE_KEY], order, "_earlier_copies", policy)
     return drop_helpers(earlier.withColumn(out, F.col("_earlier_copies") == 0).drop("_earlier_copies"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from clickward.operators import encoding as ops
 from clickward.operators.clean import cast_events, prepare_events
-from clickward.operators.ordering import time_order
+from clickward.operators.ordering import split_groups, time_order
 from clickward.operators.splits import temporal_split
 from clickward.plans.queries import sql
 from clickward.plans.queries.registry import query, rounded
@@ -80,7 +80,8 @@ def _encoded(spark, sf_dir, keys):
     split = _split(spark, sf_dir)
     rows, rate = ops.train_summary(split, TARGET)
     folded = ops.with_folds(split, rows, FOLDS)
-    return ops.encode(folded, keys, TARGET, rate, FOLDS, ALPHA, time_order())
+    rows_, groups = split_groups(folded, keys, time_order())
+    return ops.encode(rows_, groups, TARGET, rate, FOLDS, ALPHA, history_of=folded)
 
 
 @query("oof_te_single", _sql(("ip",), where="WHERE split = 'train'"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clickward.operators import features as ops
 from clickward.operators.clean import cast_events, prepare_events, time_parts
-from clickward.operators.ordering import attach, drop_helpers, group_size, split_groups, time_order
+from clickward.operators.ordering import attach, group_size, split_families, split_groups, time_order
 from clickward.plans.queries import sql
 from clickward.plans.queries.registry import query, rounded, time_text
 from clickward.sources.adapters import clicks_clean, clicks_dirty
@@ -35,9 +35,8 @@ def _prepared_sql(*columns: str, parts: tuple[str, ...] = ()) -> str:
 @query("clicks_per_ip_per_hour", _feature_sql("clicks_per_ip_per_hour"))
 def clicks_per_ip_per_hour(spark, sf_dir):
     base = time_parts(_typed(spark, sf_dir))
-    rows, by_ip = split_groups(base, ["ip"], ORDER)
-    rows, by_hour = split_groups(rows, ["ip", "event_hour"], ORDER, parent=by_ip)
-    return group_size(rows, by_hour, "clicks_per_ip_per_hour").select("event_id", "clicks_per_ip_per_hour")
+    rows, families = split_families(base, [("ip",), ("ip", "event_hour")], ORDER)
+    return group_size(rows, families[("ip", "event_hour")], "clicks_per_ip_per_hour").select("event_id", "clicks_per_ip_per_hour")
 
 
 @query("clicks_per_ip", _feature_sql("clicks_per_ip"))
@@ -69,7 +68,7 @@ def unique_channels_per_ip(spark, sf_dir):
 @query("app_channel_freq", _feature_sql("app_channel_freq"))
 def app_channel_freq(spark, sf_dir):
     base = _typed(spark, sf_dir)
-    return ops.app_channel_freq(base, base, ORDER).select("event_id", "app_channel_freq")
+    return ops.app_channel_freq(base, ORDER).select("event_id", "app_channel_freq")
 
 
 TRUST = (
@@ -114,9 +113,8 @@ work AS (
 
 @query("prior_unique_single", _prior_unique_sql("ip", "app", "ip_unique_app_count"))
 def prior_unique_single(spark, sf_dir):
-    rows, by_ip = split_groups(_prepared(spark, sf_dir), ["ip"], ORDER)
-    rows, by_app = split_groups(rows, ["ip", "app"], ORDER, parent=by_ip)
-    return ops.prior_unique(rows, by_ip, by_app, ORDER, "ip_unique_app_count").select(
+    rows, families = split_families(_prepared(spark, sf_dir), [("ip",), ("ip", "app")], ORDER)
+    return ops.prior_unique(rows, families[("ip",)], families[("ip", "app")], ORDER, "ip_unique_app_count").select(
         "event_id", "ip_unique_app_count"
     )
 
@@ -159,9 +157,9 @@ JOIN (SELECT ip, app, count(DISTINCT channel) AS n FROM prepared GROUP BY ip, ap
     ),
 )
 def total_uniques(spark, sf_dir):
-    rows, by_ip = split_groups(_prepared(spark, sf_dir), ["ip"], ORDER)
-    rows, by_app = split_groups(rows, ["ip", "app"], ORDER, parent=by_ip)
-    return ops.total_uniques(rows, by_ip, by_app).select(
+    prepared = _prepared(spark, sf_dir)
+    rows, families = split_families(prepared, [("ip",), ("ip", "app")], ORDER)
+    return ops.total_uniques(rows, prepared, families[("ip",)], families[("ip", "app")]).select(
         "event_id", "ip_unique_app_count", "ip_app_unique_channel_count"
     )
 
