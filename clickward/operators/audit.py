@@ -214,9 +214,9 @@ def audit_verify(
     """
     order = number_order("seq")
     entries = parse_lines(lines)
-    placed = global_index(entries, order, "index", policy)
-    parted, whole = split_groups(placed, [], order, policy)
-    linked = drop_helpers(neighbour(parted, whole, order, "batch_hash", "_before", policy=policy))
+    parted, whole = split_groups(entries, [], order, policy)
+    placed = prior_count(parted, whole, order, "index", policy, parted)
+    linked = drop_helpers(neighbour(placed, whole, order, "batch_hash", "_before", policy=policy, base=parted))
     rebuilt = merkle_roots(leaf_table).withColumnsRenamed({"record_count": "_count", "merkle_root": "_root"})
     joined = linked.join(rebuilt, "batch_id", "left")
     root = F.coalesce("_root", F.sha2(F.lit(EMPTY_TEXT).cast("binary"), 256))

@@ -86,7 +86,7 @@ def fold_history(df: DataFrame, keys: Sequence[str], target: str, folds: int) ->
 
 def encode(
     df: DataFrame,
-    groups: Groups,
+    features: Sequence[Groups],
     target: str,
     rate: float,
     folds: int,
@@ -94,22 +94,25 @@ def encode(
     policy: SkewPolicy | None = None,
     history_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Add `te_<keys>` and `freq_<keys>_train`; a key without history gets the rate and 0.
+    """Add `te_<keys>` and `freq_<keys>_train` for each key family; a key
+    without history gets the rate and 0.
 
-    `history_of` is an earlier form of the frame with the same rows, so that
-    one encoding's history does not contain the joins of the ones before.
+    `history_of` is an earlier form of the frame with the same rows, to
+    aggregate on.
     """
-    name = "_".join(groups.keys)
     source = df if history_of is None else history_of
-    joined = attach(df, fold_history(source, groups.keys, target, folds), groups, policy)
-    total = F.get("_sums", F.col("_fold"))
-    count = F.coalesce(F.get("_counts", F.col("_fold")), F.lit(0))
-    return joined.withColumns(
-        {
-            f"te_{name}": F.when(count > 0, smoothed(total, count, rate, alpha)).otherwise(F.lit(rate)),
-            f"freq_{name}_train": count.cast("double"),
-        }
-    ).drop("_sums", "_counts")
+    out, columns, helpers = df, {}, []
+    for groups in features:
+        name = "_".join(groups.keys)
+        sums, counts = f"_sums_{name}", f"_counts_{name}"
+        history = fold_history(source, groups.keys, target, folds)
+        out = attach(out, history.withColumnsRenamed({"_sums": sums, "_counts": counts}), groups, policy)
+        count = F.coalesce(F.get(counts, F.col("_fold")), F.lit(0))
+        value = smoothed(F.get(sums, F.col("_fold")), count, rate, alpha)
+        columns[f"te_{name}"] = F.when(count > 0, value).otherwise(F.lit(rate))
+        columns[f"freq_{name}_train"] = count.cast("double")
+        helpers += [sums, counts]
+    return out.withColumns(columns).drop(*helpers)
 
 
 def rate_features(
@@ -136,7 +139,6 @@ def rate_features(
     used_pairs = [tuple(p) for p in pairs if set(p) <= set(df.columns)]
     features = [*[(c,) for c in used_singles], *used_pairs]
     out, families = split_families(folded, features, order, policy, join_only=features)
-    for keys in features:
-        out = encode(out, families[keys], target, rate, folds, alpha, policy, folded)
+    out = encode(out, [families[f] for f in features], target, rate, folds, alpha, policy, folded)
     info = EncodingInfo(rate, folds, alpha, tuple(used_singles), tuple("_".join(p) for p in used_pairs))
     return drop_helpers(out.drop("_fold")), info

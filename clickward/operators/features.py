@@ -118,23 +118,27 @@ def count_features(
     causal = Track(track) is Track.CAUSAL
     wider = [WITH_CHANNEL] if causal else []
     base, families = split_families(df, [*COUNT_FAMILIES.values(), *wider], order, policy)
+    by_ip, by_app = families[("ip",)], families[("ip", "app")]
+
+    def count(frame: DataFrame, name: str) -> DataFrame:
+        keys = families[COUNT_FAMILIES[name]]
+        return prior_count(frame, keys, order, name, policy, base) if causal else group_size(frame, keys, name)
+
+    # Everything keyed by ip comes first and shares one exchange.
     out = base
-    # Families that start with ip come first, so they reuse its exchange.
-    for name, keys in sorted(COUNT_FAMILIES.items(), key=lambda item: item[1][0] != "ip"):
-        if causal:
-            out = prior_count(out, families[keys], order, name, policy, base)
-        else:
-            out = group_size(out, families[keys], name)
+    for name in [n for n, keys in COUNT_FAMILIES.items() if keys[0] == "ip"]:
+        out = count(out, name)
     if causal:
-        by_ip, by_app = families[("ip",)], families[("ip", "app")]
-        out = prior_unique(out, by_ip, by_app, order, "ip_unique_app_count", policy, base)
         by_channel = families[WITH_CHANNEL]
+        out = prior_unique(out, by_ip, by_app, order, "ip_unique_app_count", policy, base, "ip_app_count")
         out = prior_unique(out, by_app, by_channel, order, "ip_app_unique_channel_count", policy, base)
         out = out.withColumns({alias: F.col(source) for alias, source in CUMULATIVE_NAMES.items()})
     else:
         for alias, source in CUMULATIVE_NAMES.items():
             out = prior_count(out, families[COUNT_FAMILIES[source]], order, alias, policy, base)
-        out = total_uniques(out, df, families[("ip",)], families[("ip", "app")], policy)
+        out = total_uniques(out, df, by_ip, by_app, policy)
+    for name in [n for n, keys in COUNT_FAMILIES.items() if keys[0] != "ip"]:
+        out = count(out, name)
     return drop_helpers(out)
 
 
@@ -146,16 +150,21 @@ def prior_unique(
     out: str,
     policy: SkewPolicy | None = None,
     base: DataFrame | None = None,
+    seen: str | None = None,
 ) -> DataFrame:
     """Distinct values already seen in the group before this row.
 
     `with_value` is the family of the group's keys plus the value. A row is the
     first with its value when nothing precedes it there; the answer is the
-    number of such rows among the earlier ones.
+    number of such rows among the earlier ones. `seen` names a column that has
+    the prior count of `with_value` already.
     """
     lean = df if base is None else base
     first = (F.col("_seen") == 0).cast("int")
-    flagged = prior_count(df, with_value, order, "_seen", policy, lean)
+    if seen:
+        flagged = df.withColumn("_seen", F.col(seen))
+    else:
+        flagged = prior_count(df, with_value, order, "_seen", policy, lean)
     lean_flagged = prior_count(lean, with_value, order, "_seen", policy, lean) if groups.split else None
     return prior_sums(flagged, groups, order, {out: first}, policy, lean_flagged).drop("_seen")
 

@@ -231,6 +231,14 @@ def split_families(
         if found:
             hot[family] = df.sparkSession.createDataFrame(found, sizes.schema)
             groups[family] = Groups(family, groups[family].count, groups[family].at_least, hot_keys=len(found))
+    # Whether a join table is small matters only where its parents' are.
+    open_counts = [
+        f for f in ordered if f in few and groups[f].count is None and groups[f].at_least <= policy.broadcast_rows
+    ]
+    if open_counts:
+        for family, found_stats in group_stats(source, open_counts).items():
+            g = groups[family]
+            groups[family] = Groups(family, found_stats.groups, found_stats.groups, hot_keys=g.hot_keys)
     if not hot:
         return df, groups
 

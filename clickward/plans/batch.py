@@ -15,9 +15,9 @@ from clickward.operators.models import ModelConfig
 from clickward.operators.ordering import time_order
 from clickward.operators.profile import class_counts, drift_long, drift_psi_kl, score_distribution
 from clickward.operators.rules import group_size_bounds, validation_report
-from clickward.operators.clean import cast_events, time_parts
+from clickward.operators.clean import time_parts
 from clickward.plans.modelling import TrackResult, acceptance_checks, run_track, stability_runs
-from clickward.plans.trust import stored_baseline, trust_frames
+from clickward.plans.trust import stored_baseline, trust_frames, typed_once
 from clickward.session import SkewPolicy
 from clickward.sources.audit_log import append_batch, verify_log
 from clickward.sources.events import file_manifest, first_rows, read_csv_events, with_column_schema, with_row_ids
@@ -76,9 +76,9 @@ def run_trust_stage(
     """
     start = time.perf_counter()
     raw = first_rows(with_row_ids(read_csv_events(spark, source)), row_cap, "click_time", "event_id")
-    typed = cast_events(raw)
+    typed = typed_once(raw)
     baseline = stored_baseline(typed, paths.baselines, source, row_cap)
-    trust_frames(raw, baseline, as_of, policy=policy).scored.write.mode("overwrite").parquet(paths.scored)
+    trust_frames(typed, baseline, as_of, policy=policy).scored.write.mode("overwrite").parquet(paths.scored)
     scored = spark.read.parquet(paths.scored)
     write_curated(scored.where("is_valid_record"), paths.curated, partition_by=("click_day",))
     curated = spark.read.parquet(paths.curated)

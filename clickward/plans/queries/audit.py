@@ -10,6 +10,7 @@ from clickward.operators import audit as ops
 from clickward.operators.ordering import number_order
 from clickward.plans.queries import sql
 from clickward.plans.queries.registry import query
+from clickward.session import materialize
 from clickward.sources.adapters import clicks_clean
 
 BY_ID = number_order("event_id")
@@ -60,6 +61,12 @@ def _lines(leaf_table):
     return ops.to_lines(_chain(leaf_table), F.lit(INGESTED_AT))
 
 
+def _stored(spark, sf_dir):
+    """Log lines and record hashes as a log has them: written."""
+    leaf_table = materialize(_leaves(spark, sf_dir), "leaves")
+    return materialize(_lines(leaf_table), "lines"), leaf_table
+
+
 @query(
     "canonical_record",
     sql.with_(sql.CLEAN, select=f"SELECT event_id, {sql.CANONICAL} AS canonical FROM clicks"),
@@ -123,8 +130,8 @@ checked AS (
     ),
 )
 def audit_verify(spark, sf_dir):
-    leaf_table = _leaves(spark, sf_dir)
-    return ops.audit_verify(_lines(leaf_table), leaf_table)
+    lines, leaf_table = _stored(spark, sf_dir)
+    return ops.audit_verify(lines, leaf_table)
 
 
 @query(
@@ -143,8 +150,8 @@ bad AS (
 )
 def audit_tamper(spark, sf_dir):
     """The report on a copy of the log with edited metadata."""
-    leaf_table = _leaves(spark, sf_dir)
-    return ops.audit_verify(ops.audit_tamper(_lines(leaf_table)), leaf_table)
+    lines, leaf_table = _stored(spark, sf_dir)
+    return ops.audit_verify(ops.audit_tamper(lines), leaf_table)
 
 
 @query("integrity_overhead")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clickward.operators import clean as ops
 from clickward.plans.queries import sql
 from clickward.plans.queries.registry import query, rounded, time_text
-from clickward.plans.trust import trust_frames
+from clickward.plans.trust import trust_frames, typed_once
 from clickward.sources.adapters import clicks_clean, clicks_dirty
 
 TYPED_COLUMNS = ("ip", "app", "device", "os", "channel", "is_fraud", "is_attributed")
@@ -105,7 +105,7 @@ def safe_feature_select(spark, sf_dir):
     ),
 )
 def curate(spark, sf_dir):
-    return trust_frames(clicks_dirty(spark, sf_dir)).curated.select(
+    return trust_frames(typed_once(clicks_dirty(spark, sf_dir))).curated.select(
         "event_id", "ip", "app", "device", "os", "channel", "is_fraud", time_text("click_time_ts")
     )
 

@@ -81,7 +81,7 @@ def _encoded(spark, sf_dir, keys):
     rows, rate = ops.train_summary(split, TARGET)
     folded = ops.with_folds(split, rows, FOLDS)
     rows_, groups = split_groups(folded, keys, time_order())
-    return ops.encode(rows_, groups, TARGET, rate, FOLDS, ALPHA, history_of=folded)
+    return ops.encode(rows_, [groups], TARGET, rate, FOLDS, ALPHA, history_of=folded)
 
 
 @query("oof_te_single", _sql(("ip",), where="WHERE split = 'train'"))

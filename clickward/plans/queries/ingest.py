@@ -13,7 +13,7 @@ from clickward.operators.rules import validation_report
 from clickward.operators.sampling import stratified_sample
 from clickward.plans.queries import sql
 from clickward.plans.queries.registry import query, rounded, time_text
-from clickward.plans.trust import stored_baseline, trust_frames
+from clickward.plans.trust import stored_baseline, trust_frames, typed_once
 from clickward.session import scratch_path
 from clickward.sources import events, sinks
 from clickward.sources.adapters import as_raw, clicks_clean, clicks_dirty, table
@@ -107,7 +107,7 @@ def json_encode(spark, sf_dir):
 )
 def sink_curated_parquet(spark, sf_dir):
     path = scratch_path(spark, "curated")
-    sinks.write_curated(trust_frames(clicks_dirty(spark, sf_dir)).curated, path, partition_by=("click_day",))
+    sinks.write_curated(trust_frames(typed_once(clicks_dirty(spark, sf_dir))).curated, path, partition_by=("click_day",))
     return spark.read.parquet(path).select(
         "event_id", "ip", "app", "device", "os", "channel", "is_fraud", "click_day", *rounded("veracity_score")
     )
@@ -116,7 +116,7 @@ def sink_curated_parquet(spark, sf_dir):
 @query("sink_metrics")
 def sink_metrics(spark, sf_dir):
     path = scratch_path(spark, "metrics")
-    report = validation_report(trust_frames(clicks_dirty(spark, sf_dir)).flags)
+    report = validation_report(trust_frames(typed_once(clicks_dirty(spark, sf_dir))).flags)
     sinks.write_metrics(report, path)
     return spark.read.option("header", True).csv(f"{path}/csv")
 

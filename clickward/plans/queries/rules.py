@@ -10,7 +10,7 @@ from clickward.operators.clean import cast_events, time_parts
 from clickward.operators.features import trust_features
 from clickward.plans.queries import sql
 from clickward.plans.queries.registry import AS_OF, query, rounded
-from clickward.plans.trust import trust_frames
+from clickward.plans.trust import trust_frames, typed_once
 from clickward.sources.adapters import clicks_clean, clicks_dirty
 
 
@@ -19,7 +19,7 @@ def _typed(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    return trust_frames(clicks_dirty(spark, sf_dir), as_of=AS_OF)
+    return trust_frames(typed_once(clicks_dirty(spark, sf_dir)), as_of=AS_OF)
 
 
 def _flags_sql(*columns: str) -> str:

@@ -13,7 +13,7 @@ from clickward.operators.ordering import number_order
 from clickward.operators.rules import RULES
 from clickward.plans.queries import sql
 from clickward.plans.queries.registry import AS_OF, query, rounded
-from clickward.plans.trust import trust_frames
+from clickward.plans.trust import trust_frames, typed_once
 from clickward.session import scratch_path
 from clickward.sources import audit_log, events, sinks
 from clickward.sources.adapters import clicks_clean
@@ -160,7 +160,7 @@ def stream_summary(spark, sf_dir):
 def batch_vs_stream(spark, sf_dir):
     start = time.perf_counter()
     path = scratch_path(spark, "batch-run")
-    frames = trust_frames(clicks_clean(spark, sf_dir), as_of=AS_OF)
+    frames = trust_frames(typed_once(clicks_clean(spark, sf_dir)), as_of=AS_OF)
     frames.scored.write.parquet(path)
     seconds = time.perf_counter() - start
     return job.batch_vs_stream(_metrics(spark, sf_dir), spark.read.parquet(path).count(), seconds)

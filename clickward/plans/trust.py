@@ -13,7 +13,7 @@ from clickward.operators.clean import cast_events, curate, time_parts
 from clickward.operators.features import trust_features
 from clickward.operators.profile import baseline_stats
 from clickward.operators.rules import group_size_bounds, veracity_checks, veracity_score
-from clickward.session import SkewPolicy
+from clickward.session import SkewPolicy, materialize
 from clickward.sources.events import file_manifest, manifest_fingerprint
 
 
@@ -29,18 +29,27 @@ class TrustFrames:
     curated: DataFrame
 
 
+def typed_once(raw: DataFrame) -> DataFrame:
+    """Typed events as a written table.
+
+    The trust stage passes over its input several times, for totals, profile,
+    fences and rows. Each pass then reads only its own columns of a columnar
+    table, instead of parsing all text again.
+    """
+    return materialize(cast_events(raw), "typed")
+
+
 def trust_frames(
-    raw: DataFrame,
+    typed: DataFrame,
     baseline: DataFrame | None = None,
     as_of: datetime | None = None,
     weights: dict[str, float] | None = None,
     policy: SkewPolicy | None = None,
 ) -> TrustFrames:
-    """All frames from raw text events, with a row id `event_id`.
+    """All frames from typed events with a row id `event_id`.
 
     Without a stored baseline the frame's own profile is the baseline.
     """
-    typed = cast_events(raw)
     features = trust_features(typed, policy=policy)
     known = baseline if baseline is not None else baseline_stats(typed)
     flags = veracity_checks(

@@ -104,13 +104,13 @@ def micro_batch(
     def process(batch: DataFrame, batch_id: int) -> None:
         start = time.perf_counter()
         # Several small jobs and the write read the batch; the source is read once.
-        held = with_row_ids(batch).persist()
+        held = cast_events(with_row_ids(batch)).persist()
         try:
             records = held.count()
             if records == 0:
                 return
             spark = held.sparkSession
-            baseline = first_baseline(cast_events(held), paths.baseline)
+            baseline = first_baseline(held, paths.baseline)
             scored = trust_frames(held, baseline, as_of, policy=policy).scored
             write_stream_batch(score_batch(scored, model), paths.output, batch_id)
             if audit:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clickward.operators import clean, encoding, evaluate, profile, rules, sampling, splits
 from clickward.operators.features import Track, delta_features
-from clickward.plans.trust import stored_baseline, trust_frames
+from clickward.plans.trust import stored_baseline, trust_frames, typed_once
 from clickward.session import SkewPolicy, scratch_path
 from clickward.sources import events, sinks
 from clickward.sources.adapters import clicks_dirty, model_scores, scored
@@ -136,7 +136,7 @@ def test_next_click_guard(spark):
 
 
 def test_undecided_rules(spark):
-    frames = trust_frames(clicks_dirty(spark, SMALL_DIR), as_of=datetime(2024, 2, 1))
+    frames = trust_frames(typed_once(clicks_dirty(spark, SMALL_DIR)), as_of=datetime(2024, 2, 1))
     unknown = frames.flags.where("is_attributed IS NULL")
     assert unknown.count() > 0
     assert unknown.where("rule_schema_valid IS NOT NULL and rule_completeness").count() == 0
