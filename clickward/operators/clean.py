@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickward.functions.casting import to_time, to_whole
-from clickward.operators.ordering import Groups, attach, global_index, text_order
+from clickward.operators.ordering import Groups, attach, global_index, number_order, split_families, text_order
 from clickward.sources.events import EVENT_COLUMNS
 
 # Names a model must not see.
@@ -142,7 +142,7 @@ def tree_frame(df: DataFrame, categorical: Iterable[str] = (), keys: Iterable[st
         if field.name not in kept and isinstance(field.dataType, T.StringType):
             texts.add(field.name)
     for name in sorted(texts):
-        out = _with_codes(out, name)
+        out = _with_codes(out, df, name, kept[0] if kept else None)
 
     def number(field: T.StructField) -> Column:
         c = F.col(field.name)
@@ -160,7 +160,11 @@ def tree_frame(df: DataFrame, categorical: Iterable[str] = (), keys: Iterable[st
     return out.select(*[number(f) for f in df.schema.fields])
 
 
-def _with_codes(df: DataFrame, name: str) -> DataFrame:
-    values = df.where(F.col(name).isNotNull()).select(name).distinct()
+def _with_codes(df: DataFrame, source: DataFrame, name: str, row_id: str | None) -> DataFrame:
+    """Add the rank of each text. Where there are very many texts, a row id spreads a frequent one."""
+    values = source.where(F.col(name).isNotNull()).select(name).distinct()
     codes = global_index(values, text_order(name), out=f"_code_{name}")
-    return attach(df, codes, Groups((name,)))
+    if row_id is None:
+        return attach(df, codes, Groups((name,)))
+    rows, families = split_families(df, [(name,)], number_order(row_id), sizes_of=source, join_only=[(name,)])
+    return attach(rows, codes, families[(name,)])

@@ -43,14 +43,20 @@ class Order:
 def time_order(ts: str = "click_time_ts", tie: str = "event_id") -> Order:
     """Order by time, ties by id; rows without a time come first."""
 
-    def position(df: DataFrame) -> Column:
-        micros = F.unix_micros(F.col(ts))
-        low = df.agg(F.min(micros).alias("t"), F.min(tie).alias("a"), F.max(tie).alias("b")).first()
-        start = low["t"] or 0
-        fraction = (F.col(tie) - F.lit(low["a"])) / F.lit(float(low["b"] - low["a"] + 1))
-        return F.coalesce(micros - F.lit(start), F.lit(-1)).cast("double") + fraction
+    return Order(
+        (ts, tie),
+        lambda: (F.col(ts).asc_nulls_first(), F.col(tie).asc()),
+        lambda df: _time_position(df, F.unix_micros(F.col(ts)), tie),
+    )
+
 
-    return Order((ts, tie), lambda: (F.col(ts).asc_nulls_first(), F.col(tie).asc()), position)
+def _time_position(df: DataFrame, micros: Column, tie: str) -> Column:
+    """Microseconds since the first time plus the id's place between 0 and 1, so
+    that rows of one instant can be told apart; -1 instead of a missing time."""
+    low = df.agg(F.min(micros).alias("t"), F.min(tie).alias("a"), F.max(tie).alias("b")).first()
+    start = low["t"] or 0
+    fraction = (F.col(tie) - F.lit(low["a"])) / F.lit(float(low["b"] - low["a"] + 1))
+    return F.coalesce(micros - F.lit(start), F.lit(-1)).cast("double") + fraction
 
 
 def number_order(*columns: str, descending: bool = False) -> Order:
@@ -92,7 +98,7 @@ def text_time_order(ts: str = "click_time", tie: str = "event_id") -> Order:
     return Order(
         (ts, tie),
         lambda: (moment().asc_nulls_first(), F.col(tie).asc()),
-        lambda df: F.coalesce(F.unix_micros(moment()).cast("double"), F.lit(-1e18)),
+        lambda df: _time_position(df, F.unix_micros(moment()), tie),
     )
 
 

@@ -172,8 +172,8 @@ def window_attempts(
         (F.col("pos_cap") - F.col("pos_test_at")).alias("test_pos"),
     ).withColumn("enough", enough)
     best = counted.agg(F.min(F.when(F.col("enough"), F.col("cap"))).alias("best"))
-    # One row, so the broadcast has a fixed size. Later caps were never attempted.
-    tried = counted.join(F.broadcast(best), F.col("best").isNull() | (F.col("cap") <= F.col("best")))
+    # Later caps were never attempted.
+    tried = counted.withColumn("best", best.scalar()).where(F.col("best").isNull() | (F.col("cap") <= F.col("best")))
     trailing = (
         tried.where(F.col("best").isNull() & (F.col("cap") == n))
         .withColumn("window", F.lit("trailing"))
