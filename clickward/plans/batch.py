@@ -135,8 +135,9 @@ def run_batch(
     stability = None
     if Track.CAUSAL in tracks and len(set(stability_seeds)) >= 2:
         again = "bagging" if family == "all" else family
+        shared = results[Track.CAUSAL].matrix
         runs = [
-            (seed, run_track(trust.curated, config.with_(track=Track.CAUSAL, seed=seed), again, policy))
+            (seed, run_track(trust.curated, config.with_(track=Track.CAUSAL, seed=seed), again, policy, shared))
             for seed in sorted(set(stability_seeds))
         ]
         stability = evaluate.seed_stability(stability_runs(spark, runs))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -166,15 +166,23 @@ def _of(predictions: DataFrame, model: str, variant: str, split: str) -> DataFra
 
 
 def run_track(
-    curated: DataFrame, config: ModelConfig, family: str = "all", policy: SkewPolicy | None = None
+    curated: DataFrame,
+    config: ModelConfig,
+    family: str = "all",
+    policy: SkewPolicy | None = None,
+    matrix: Matrix | None = None,
 ) -> TrackResult:
     """Matrix, fits, leaderboard, threshold and ranking tables of one track.
 
     A model is ranked by its calibrated variant where it has one. The threshold
-    is chosen on validation rows and reported on test rows.
+    is chosen on validation rows and reported on test rows. A `matrix` of the
+    same track can be passed on: it does not depend on the seed.
     """
     start = time.perf_counter()
-    matrix = feature_matrix(curated, config, policy)
+    if matrix is None:
+        matrix = feature_matrix(curated, config, policy)
+    else:
+        matrix = replace(matrix, config=config.check())
     fitted = fit_models(matrix, family)
     board = materialize(
         evaluate.leaderboard(metric_table(fitted.predictions, config.track, policy), "model", "variant"), "board"
