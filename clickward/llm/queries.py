@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickward.llm import sql
 from clickward.llm.common import table
 from clickward.llm.line_dedup import dedup_lines
+from clickward.llm.near_dedup import near_duplicates
+from clickward.llm.packing import pack_documents
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +24,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-_QUERIES: list[QueryFunction] = [op1_line_dedup]
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_QUERIES: list[QueryFunction] = [op1_line_dedup, op6_best_fit_packing, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, QueryFunction]:
