@@ -103,7 +103,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _buckets(classes: DataFrame) -> DataFrame:
     """(key, id, company): a row per class and table in which it may meet another class."""
     bands = classes.select("id", F.posexplode("bands").alias("band", "value"))
-    shared = bands.groupBy("band", "value").count().where(F.col("count") > 1)
+    # Written first, so that the join below reads two plain shuffles and a hot value's rows can be split.
+    shared = materialize(bands.groupBy("band", "value").count().where(F.col("count") > 1), "shared-bands")
     met = bands.join(shared, ["band", "value"]).groupBy("id").agg(
         F.sum("count").alias("company"), F.sort_array(F.collect_list(F.struct("band", "value"))).alias("met")
     )
@@ -120,8 +121,9 @@ def _with_hub(buckets: DataFrame) -> DataFrame:
     """(id, hub) of every class in a bucket beside another one."""
     rank = F.struct("company", (-F.col("id")).alias("minus"))
     hubs = buckets.groupBy("key").agg(F.count("*").alias("size"), (-F.max(rank)["minus"]).alias("hub"))
+    hubs = materialize(hubs.where(F.col("size") > 1).select("key", "hub"), "hubs")
     return (
-        buckets.join(hubs.where(F.col("size") > 1).select("key", "hub"), "key")
+        buckets.join(hubs, "key")
         .where(F.col("id") != F.col("hub"))
         .select("id", "hub")
         .distinct()
@@ -206,7 +208,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, rounds: int =
         rooted = buckets.join(roots, "id")
         rank = F.struct("company", (-F.col("id")).alias("minus"), "root")
         first = rooted.groupBy("key").agg(F.max(rank).alias("first"), F.min("root").alias("a"), F.max("root").alias("b"))
-        mixed = first.where(F.col("a") != F.col("b")).select("key", F.col("first.root").alias("main"))
+        mixed = materialize(first.where(F.col("a") != F.col("b")).select("key", F.col("first.root").alias("main")), "mixed")
         rest = rooted.join(mixed, "key").where(F.col("root") != F.col("main")).select("key", "id", "company")
         fresh = materialize(_with_hub(rest).join(tried, ["id", "hub"], "left_anti"), "pairs")
         if fresh.isEmpty():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clickward.llm import sql
 from clickward.llm.common import table
+from clickward.llm.decontaminate import contaminated
 from clickward.llm.line_dedup import dedup_lines
 from clickward.llm.near_dedup import near_duplicates
 from clickward.llm.packing import pack_documents
@@ -24,6 +25,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -32,7 +37,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[QueryFunction] = [op1_line_dedup, op6_best_fit_packing, op10_minhash_near_dedup]
+_QUERIES: list[QueryFunction] = [op1_line_dedup, op4_benchmark_decontamination, op6_best_fit_packing, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, QueryFunction]:
