@@ -18,7 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,8 +105,10 @@ def _others(lines: list[str], gone: set[int]) -> list[str]:
     return [line for i, line in enumerate(lines) if i not in gone]
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20, batches: int = 4, fan: int = 3) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_text) of every row of `docs`."""
+def dedup_lines(
+    docs: DataFrame, min_docs: int = 3, min_length: int = 20, batches: int = 4, fan: int = 3, also: Sequence[str] = ()
+) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_text) and the columns `also` of every row of `docs`."""
     keys = line_keys(docs, min_length)
     span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, width = span["low"] or 0, ((span["high"] or 0) - (span["low"] or 0)) // batches + 1
@@ -117,7 +119,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20, batche
     for number in reversed(range(batches)):
         store.add(lines.where(F.col("batch") == number))
 
-    common = store.common()
+    # Written first, so that the join below reads two plain shuffles and a hot line's rows can be split.
+    common = materialize(store.common(), "common-lines")
     drops = (
         lines.join(common, KEY)
         .where(F.col("doc_id") < F.col("top"))
@@ -127,10 +130,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20, batche
         .agg(F.collect_list("pos").alias("dropped"))
     )
     keep = F.pandas_udf(_keep_lines, "string")
-    rows = whole_text(docs).withColumn("text_key", F.xxhash64("text")).join(drops, ["doc_id", "text_key"], "left")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *also)
+    rows = texts.withColumn("text_key", F.xxhash64("text")).join(drops, ["doc_id", "text_key"], "left")
     return rows.select(
         "doc_id",
         F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
         F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"),
         keep("text", "dropped").alias("kept_text"),
+        *also,
     )

@@ -14,6 +14,7 @@ from clickward.llm.decontaminate import contaminated
 from clickward.llm.line_dedup import dedup_lines
 from clickward.llm.near_dedup import near_duplicates
 from clickward.llm.packing import pack_documents
+from clickward.llm.quality import scored
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,6 +26,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +42,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[QueryFunction] = [op1_line_dedup, op4_benchmark_decontamination, op6_best_fit_packing, op10_minhash_near_dedup]
+_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op4_benchmark_decontamination, op6_best_fit_packing, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, QueryFunction]:
