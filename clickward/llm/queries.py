@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from clickward.llm import sql
 from clickward.llm.common import table
 from clickward.llm.decontaminate import contaminated
+from clickward.llm.html_text import page_text
 from clickward.llm.line_dedup import dedup_lines
 from clickward.llm.near_dedup import near_duplicates
 from clickward.llm.packing import pack_documents
 from clickward.llm.quality import scored
+from clickward.llm.quality_rules import judged
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,10 +32,18 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text(table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -42,7 +52,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op4_benchmark_decontamination, op6_best_fit_packing, op10_minhash_near_dedup]
+_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, QueryFunction]:
