@@ -17,6 +17,7 @@ from clickward.llm.near_dedup import near_duplicates
 from clickward.llm.packing import pack_documents
 from clickward.llm.quality import scored
 from clickward.llm.quality_rules import judged
+from clickward.llm.secrets import secret_report
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -48,11 +49,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = secret_report(table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op10_minhash_near_dedup]
+_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op9_secret_scans, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, QueryFunction]:
