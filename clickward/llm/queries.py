@@ -12,6 +12,7 @@ from clickward.llm import sql
 from clickward.llm.common import table
 from clickward.llm.decontaminate import contaminated
 from clickward.llm.html_text import page_text
+from clickward.llm.licenses import license_spans
 from clickward.llm.line_dedup import dedup_lines
 from clickward.llm.near_dedup import near_duplicates
 from clickward.llm.packing import pack_documents
@@ -49,6 +50,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = secret_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -58,7 +63,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op9_secret_scans, op10_minhash_near_dedup]
+_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op8_license_scans, op9_secret_scans, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, QueryFunction]:
