@@ -9,12 +9,13 @@ missed with probability below 4e-5.
 
 Documents with equal sets are one class first. A collection value that only
 one class has can be in no shared table and is left out before the tables are
-made. In every table bucket each class is compared with the bucket's hub, the
-class with the most company over all collections (in a family of edited copies
-that is the text they come from), and with the next hubs among those that are
-still in other components, for a number of rounds: linear in the bucket, never
-all pairs. Every link is confirmed on the full sets. Components come from
-repeated minimum labels over the confirmed links.
+made. Every bucket names at most two hubs: the class with the most company
+over all collections (in a family of edited copies that is the text they come
+from), and the same among the classes of other components. In each of `ROUNDS`
+rounds a class is compared with the one hub of another component that it
+shares most buckets with and has not met yet: at most one pair per class and
+round, never all pairs of a bucket. Every link is confirmed on the full sets.
+Components come from repeated minimum labels over the confirmed links.
 
 Defined cases: a null, empty or blank text has the empty set and is linked
 with nothing; a text with fewer words than a shingle has the whole sequence as
@@ -40,7 +41,7 @@ SHINGLE = 5
 SIMILARITY = 75
 COLLECTIONS = 16
 ROWS = 2
-ROUNDS = 3
+ROUNDS = 4
 
 _WORDS = PolyHash(101)
 _PLACE = constants(103, SHINGLE + 1)
@@ -112,22 +113,33 @@ def _buckets(classes: DataFrame) -> DataFrame:
     table = F.explode(F.array([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]))
     by_band = met.select("id", "company", F.map_from_entries("met").alias("met"), table.alias("t"))
     left, right = F.col("met")[F.col("t.a")], F.col("met")[F.col("t.b")]
-    return by_band.where(left.isNotNull() & right.isNotNull()).select(
+    rows = by_band.where(left.isNotNull() & right.isNotNull()).select(
         F.xxhash64("t.a", left, "t.b", right).alias("key"), "id", "company"
     )
+    full = materialize(rows.groupBy("key").count().where(F.col("count") > 1).select("key"), "full-buckets")
+    return rows.join(full, "key")
 
 
-def _with_hub(buckets: DataFrame) -> DataFrame:
-    """(id, hub) of every class in a bucket beside another one."""
-    rank = F.struct("company", (-F.col("id")).alias("minus"))
-    hubs = buckets.groupBy("key").agg(F.count("*").alias("size"), (-F.max(rank)["minus"]).alias("hub"))
-    hubs = materialize(hubs.where(F.col("size") > 1).select("key", "hub"), "hubs")
-    return (
-        buckets.join(hubs, "key")
-        .where(F.col("id") != F.col("hub"))
-        .select("id", "hub")
-        .distinct()
+def _next_pairs(rooted: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(id, hub): for each class the untried hub of another component that it shares most buckets with.
+
+    `rooted` are buckets with each class's component. The hubs of a bucket are
+    the class with the most company, and the one with the most company among
+    the other components: two rows per bucket, and one pair per class.
+    """
+    rank = F.struct("company", (-F.col("id")).alias("minus"), "root")
+    first = materialize(rooted.groupBy("key").agg(F.max(rank).alias("hub")).select("key", "hub"), "hubs")
+    others = rooted.join(first, "key").where(F.col("root") != F.col("hub.root")).drop("hub")
+    second = materialize(others.groupBy("key").agg(F.max(rank).alias("hub")).select("key", "hub"), "hubs")
+    mixed = first.join(second.select("key"), "key", "left_semi").unionByName(second)
+    hubs = materialize(mixed.select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
+    votes = (
+        rooted.join(hubs, "key").where(F.col("root") != F.col("hub_root")).groupBy("id", "hub").agg(F.count("*").alias("votes"))
     )
+    if tried is not None:
+        votes = votes.join(tried, ["id", "hub"], "left_anti")
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("hub")).alias("minus"))).alias("best"))
+    return best.select("id", (-F.col("best.minus")).alias("hub"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
@@ -197,27 +209,18 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, rounds: int =
         "classes",
     )
     buckets = materialize(_buckets(classes), "buckets")
-    tried = materialize(_with_hub(buckets), "pairs")
-    links = materialize(_confirmed(tried, docs, similarity), "confirmed")
     nodes = classes.select("id")
-    roots = materialize(components(nodes, links), "roots")
-    for _ in range(rounds - 1):
-        if tried.isEmpty():
-            break
-        # Classes outside their hub's component meet the next hub among them.
-        rooted = buckets.join(roots, "id")
-        rank = F.struct("company", (-F.col("id")).alias("minus"), "root")
-        first = rooted.groupBy("key").agg(F.max(rank).alias("first"), F.min("root").alias("a"), F.max("root").alias("b"))
-        mixed = materialize(first.where(F.col("a") != F.col("b")).select("key", F.col("first.root").alias("main")), "mixed")
-        rest = rooted.join(mixed, "key").where(F.col("root") != F.col("main")).select("key", "id", "company")
-        fresh = materialize(_with_hub(rest).join(tried, ["id", "hub"], "left_anti"), "pairs")
+    roots = materialize(nodes.select("id", F.col("id").alias("root")), "roots")
+    tried = links = None
+    for _ in range(rounds):
+        fresh = materialize(_next_pairs(buckets.join(roots, "id"), tried), "pairs")
         if fresh.isEmpty():
             break
-        tried = tried.union(fresh)
+        tried = fresh if tried is None else tried.union(fresh)
         found = materialize(_confirmed(fresh, docs, similarity), "confirmed")
         if found.isEmpty():
             continue
-        links = links.union(found)
+        links = found if links is None else links.union(found)
         roots = materialize(components(nodes, links), "roots")
     member = classes.select(*same, "id").join(roots, "id").select(*same, "root")
     return signed.join(member, same, "left").select(
