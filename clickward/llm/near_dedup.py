@@ -9,12 +9,13 @@ missed with probability below 4e-5.
 
 Documents with equal sets are one class first. A collection value that only
 one class has can be in no shared table and is left out before the tables are
-made. Every bucket names at most two hubs: the class with the most company
+made. Every bucket proposes partners: its hub, the class with the most company
 over all collections (in a family of edited copies that is the text they come
-from), and the same among the classes of other components. In each of `ROUNDS`
-rounds a class is compared with the one hub of another component that it
-shares most buckets with and has not met yet: at most one pair per class and
-round, never all pairs of a bucket. Every link is confirmed on the full sets.
+from); the same among the classes of other components; and in small buckets
+the next classes by id. In each of `ROUNDS` rounds a class is compared with the
+one partner of another component that most of its buckets propose and that it
+has not met yet: at most one pair per class and round, never all pairs of a
+bucket. Every link is confirmed on the full sets.
 Components come from repeated minimum labels over the confirmed links.
 
 Defined cases: a null, empty or blank text has the empty set and is linked
@@ -31,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickward.llm.common import LOWER, PolyHash, as_long, chunks, constants, mix, whole_text, word_bounds
@@ -42,6 +43,10 @@ SIMILARITY = 75
 COLLECTIONS = 16
 ROWS = 2
 ROUNDS = 4
+SMALL = 64
+NEIGHBOURS = 4
+PROPOSALS = 16
+PARTNERS = 4
 
 _WORDS = PolyHash(101)
 _PLACE = constants(103, SHINGLE + 1)
@@ -102,7 +107,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, company): a row per class and table in which it may meet another class."""
+    """(key, id, company, size): a row per class and table in which it meets another class."""
     bands = classes.select("id", F.posexplode("bands").alias("band", "value"))
     # Written first, so that the join below reads two plain shuffles and a hot value's rows can be split.
     shared = materialize(bands.groupBy("band", "value").count().where(F.col("count") > 1), "shared-bands")
@@ -116,30 +121,54 @@ def _buckets(classes: DataFrame) -> DataFrame:
     rows = by_band.where(left.isNotNull() & right.isNotNull()).select(
         F.xxhash64("t.a", left, "t.b", right).alias("key"), "id", "company"
     )
-    full = materialize(rows.groupBy("key").count().where(F.col("count") > 1).select("key"), "full-buckets")
-    return rows.join(full, "key")
+    full = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    return rows.join(materialize(full, "full-buckets"), "key")
 
 
-def _next_pairs(rooted: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """(id, hub): for each class the untried hub of another component that it shares most buckets with.
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold more than one component, with the component and the bucket's hub."""
+    rooted = buckets.join(roots, "id")
+    rank = F.struct("company", (-F.col("id")).alias("minus"), "root")
+    hubs = rooted.groupBy("key").agg(F.max(rank).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
+    hubs = hubs.where(F.col("low") != F.col("high")).select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.root").alias("hub_root"))
+    return materialize(rooted.join(materialize(hubs, "hubs"), "key"), "mixed-buckets")
+
 
-    `rooted` are buckets with each class's component. The hubs of a bucket are
-    the class with the most company, and the one with the most company among
-    the other components: two rows per bucket, and one pair per class.
+def _next_pairs(mixed: DataFrame, classes: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(id, hub): for each class untried partners of other components, those most like it first.
+
+    A bucket proposes its hub to the other components, the hub of the other
+    components to its own, and, from the second round on and in buckets of at
+    most `SMALL` classes, to each class its neighbours by id: a few proposals
+    per row of a bucket. A class takes the one with the most proposals in the
+    first round; later, of the `PROPOSALS` with most, the `PARTNERS` that agree
+    with it in most collections.
     """
     rank = F.struct("company", (-F.col("id")).alias("minus"), "root")
-    first = materialize(rooted.groupBy("key").agg(F.max(rank).alias("hub")).select("key", "hub"), "hubs")
-    others = rooted.join(first, "key").where(F.col("root") != F.col("hub.root")).drop("hub")
-    second = materialize(others.groupBy("key").agg(F.max(rank).alias("hub")).select("key", "hub"), "hubs")
-    mixed = first.join(second.select("key"), "key", "left_semi").unionByName(second)
-    hubs = materialize(mixed.select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
-    votes = (
-        rooted.join(hubs, "key").where(F.col("root") != F.col("hub_root")).groupBy("id", "hub").agg(F.count("*").alias("votes"))
-    )
-    if tried is not None:
-        votes = votes.join(tried, ["id", "hub"], "left_anti")
-    best = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("hub")).alias("minus"))).alias("best"))
-    return best.select("id", (-F.col("best.minus")).alias("hub"))
+    others = mixed.where(F.col("root") != F.col("hub_root"))
+    second = others.groupBy("key").agg(F.max(rank).alias("hub")).select("key", (-F.col("hub.minus")).alias("hub"))
+    own = mixed.where(F.col("root") == F.col("hub_root")).select("key", "id")
+    proposed = others.select("id", "hub").unionByName(own.join(materialize(second, "hubs"), "key").select("id", "hub"))
+    if tried is None:
+        votes = proposed.groupBy("id", "hub").agg(F.count("*").alias("votes"))
+        best = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("hub")).alias("minus"))).alias("best"))
+        pairs = best.select("id", (-F.col("best.minus")).alias("hub"))
+    else:
+        beside = Window.partitionBy("key").orderBy("id")
+        place = [f(F.struct("id", "root"), n).over(beside) for n in range(1, NEIGHBOURS + 1) for f in (F.lag, F.lead)]
+        near = mixed.where(F.col("size") <= SMALL).select("id", "root", F.array(*place).alias("to"))
+        near = near.select("id", "root", F.explode("to").alias("to")).where(F.col("root") != F.col("to.root"))
+        proposed = proposed.unionByName(near.select("id", F.col("to.id").alias("hub")))
+        met = tried.union(tried.select("hub", "id").toDF("id", "hub"))
+        votes = proposed.groupBy("id", "hub").agg(F.count("*").alias("votes")).join(met, ["id", "hub"], "left_anti")
+        most = Window.partitionBy("id").orderBy(F.desc("votes"), "hub")
+        some = votes.withColumn("place", F.row_number().over(most)).where(F.col("place") <= PROPOSALS).select("id", "hub")
+        theirs = classes.select(F.col("id").alias("hub"), F.col("bands").alias("hub_bands"))
+        equal = F.size(F.filter(F.zip_with("bands", "hub_bands", lambda a, b: a == b), lambda same: same))
+        alike = some.join(classes.select("id", "bands"), "id").join(theirs, "hub").select("id", "hub", equal.alias("equal"))
+        like = Window.partitionBy("id").orderBy(F.desc("equal"), "hub")
+        pairs = alike.withColumn("place", F.row_number().over(like)).where(F.col("place") <= PARTNERS)
+    return pairs.select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")).distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
@@ -213,7 +242,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, rounds: int =
     roots = materialize(nodes.select("id", F.col("id").alias("root")), "roots")
     tried = links = None
     for _ in range(rounds):
-        fresh = materialize(_next_pairs(buckets.join(roots, "id"), tried), "pairs")
+        buckets = _mixed(buckets.select("key", "id", "company", "size"), roots)
+        fresh = materialize(_next_pairs(buckets, classes, tried), "pairs")
         if fresh.isEmpty():
             break
         tried = fresh if tried is None else tried.union(fresh)
