@@ -19,6 +19,7 @@ from clickward.llm.packing import pack_documents
 from clickward.llm.quality import scored
 from clickward.llm.quality_rules import judged
 from clickward.llm.secrets import secret_report
+from clickward.llm.suffix_dedup import shared_strings_removed
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -50,6 +51,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = shared_strings_removed(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_spans(table(spark, sf_dir, "documents"))
 
@@ -63,7 +69,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op8_license_scans, op9_secret_scans, op10_minhash_near_dedup]
+_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op7_suffix_array_dedup, op8_license_scans, op9_secret_scans, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, QueryFunction]:
