@@ -47,6 +47,7 @@ SMALL = 64
 NEIGHBOURS = 4
 PROPOSALS = 16
 PARTNERS = 4
+BROADCAST_IDS = 1_000_000
 
 _WORDS = PolyHash(101)
 _PLACE = constants(103, SHINGLE + 1)
@@ -171,15 +172,26 @@ def _next_pairs(mixed: DataFrame, classes: DataFrame, tried: DataFrame | None) -
     return pairs.select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")).distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
-    """Those (id, hub) pairs whose full sets are similar enough."""
+def _only(ids: DataFrame) -> DataFrame:
+    """Written ids for a semi join: broadcast up to `BROADCAST_IDS` of them, a shuffled side beyond."""
+    ids = materialize(ids.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, members): the sorted shingle hashes of the chosen documents, written once for all rounds."""
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buffer, offsets in chunks(batches):
             blobs = [s.tobytes() for s in shingle_sets(buffer, offsets)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "members"]
-            )
+            yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(blobs, pa.binary())], names=["id", "members"])
+
+    texts = whole_text(docs).select(F.col("doc_id").cast("long").alias("id"), "text").join(_only(ids), "id", "left_semi")
+    return materialize(texts.mapInArrow(as_sets, "id long, members binary"), "shingle-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Those (id, hub) pairs whose full sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +207,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
                 keep.append(100 * both >= similarity * (len(a) + len(b) - both))
             yield batch.select(["id", "hub"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select("id").union(pairs.select(F.col("hub").alias("id"))).distinct()
-    texts = whole_text(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(asked, F.col("doc_id") == asked["id"], "left_semi")
-    sets = materialize(texts.mapInArrow(as_sets, "doc_id long, members binary"), "shingle-sets")
-    mine = sets.select(F.col("doc_id").alias("id"), F.col("members").alias("mine"))
-    other = sets.select(F.col("doc_id").alias("hub"), F.col("members").alias("other"))
+    asked = _only(pairs.select("id").union(pairs.select(F.col("hub").alias("id"))))
+    sets = sets.join(asked, "id", "left_semi")
+    mine = sets.withColumnRenamed("members", "mine")
+    other = sets.select(F.col("id").alias("hub"), F.col("members").alias("other"))
     return pairs.join(mine, "id").join(other, "hub").select("id", "hub", "mine", "other").mapInArrow(compare, "id long, hub long")
 
 
@@ -238,6 +249,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, rounds: int =
         "classes",
     )
     buckets = materialize(_buckets(classes), "buckets")
+    sets = shingle_table(docs, buckets.select("id"))
     nodes = classes.select("id")
     roots = materialize(nodes.select("id", F.col("id").alias("root")), "roots")
     tried = links = None
@@ -247,7 +259,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, rounds: int =
         if fresh.isEmpty():
             break
         tried = fresh if tried is None else tried.union(fresh)
-        found = materialize(_confirmed(fresh, docs, similarity), "confirmed")
+        found = materialize(_confirmed(fresh, sets, similarity), "confirmed")
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)
