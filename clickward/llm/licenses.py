@@ -7,7 +7,7 @@ looked up in it; hits of one template whose diagonals lie close together are a
 candidate. The template is then aligned with the document inside a band around
 that diagonal, and the alignment gives the matched words, the coverage of the
 template and the span in the text. Of overlapping spans the one with the most
-matched words stays, of equals that of the shorter template, so a short notice inside a long one is not reported twice.
+matched words stays, of equals that of the shorter template, then the tighter one, so a short notice inside a long one is not reported twice.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, ASCII lower
 case; line breaks, comment signs and punctuation make no difference.
@@ -192,13 +192,13 @@ def scan(hashes: np.ndarray, found: np.ndarray, values: np.ndarray) -> list[tupl
                 if len(group) >= SEEN * fingerprints:
                     matched, first, end = align(template, hashes, group[len(group) // 2], band)
                     if matched >= COVERAGE * len(template):
-                        spans.append((matched, -len(template), -first, end, name))
+                        spans.append((matched, -len(template), first - end, -first, end, name))
                 group = []
             group.append(start)
     spans.sort(reverse=True)
     taken: list[tuple[int, int]] = []
     kept = []
-    for matched, size, first, end, name in spans:
+    for matched, size, _, first, end, name in spans:
         if all(end <= a or -first >= b for a, b in taken):
             taken.append((-first, end))
             kept.append((name, -size, matched, -first, end))
