@@ -26,11 +26,10 @@ from clickward.operators.ordering import (
     split_groups,
     time_order,
 )
-from clickward.session import SkewPolicy
+from clickward.session import SkewPolicy, materialize
 
-# 2^10 leaves make one task-sized group; four rounds cover 2^40 leaves per batch.
+# 2^10 leaves make one task-sized group; there are as many rounds as the largest batch needs.
 CHUNK_LEVELS = 10
-ROUNDS = 4
 
 # Why a log fails.
 MISSING_LOG = "audit log missing"
@@ -93,11 +92,13 @@ def merkle_roots(leaf_table: DataFrame, key: str = "batch_id") -> DataFrame:
     """(key, record_count, merkle_root). Each group holds at most one chunk of a batch.
 
     Chunks are aligned, so reducing each one alone and then the chunk roots
-    gives the same root as working level by level over the whole batch.
+    gives the same root as working level by level over the whole batch. Each
+    round is written, a thousandth of the one before, until every batch is down
+    to one node.
     """
     width = 1 << CHUNK_LEVELS
     nodes = leaf_table.select(key, "pos", F.col("record_hash").alias("node"), F.lit(1).cast("bigint").alias("n"))
-    for _ in range(ROUNDS):
+    while True:
         nodes = (
             nodes.groupBy(key, F.floor(F.col("pos") / width).alias("chunk"))
             .agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("level"), F.sum("n").alias("n"))
@@ -108,6 +109,9 @@ def merkle_roots(leaf_table: DataFrame, key: str = "batch_id") -> DataFrame:
                 "n",
             )
         )
+        nodes = materialize(nodes, "merkle")
+        if nodes.where(F.col("pos") > 0).isEmpty():
+            break
     return nodes.select(key, F.col("n").alias("record_count"), F.col("node").alias("merkle_root"))
 
 
@@ -217,8 +221,10 @@ def audit_verify(
     parted, whole = split_groups(entries, [], order, policy)
     placed = prior_count(parted, whole, order, "index", policy, parted)
     linked = drop_helpers(neighbour(placed, whole, order, "batch_hash", "_before", policy=policy, base=parted))
-    rebuilt = merkle_roots(leaf_table).withColumnsRenamed({"record_count": "_count", "merkle_root": "_root"})
-    joined = linked.join(rebuilt, "batch_id", "left")
+    # A stored log numbers its entries; two of them may carry one batch id.
+    key = "seq" if "seq" in leaf_table.columns else "batch_id"
+    rebuilt = merkle_roots(leaf_table, key).withColumnsRenamed({"record_count": "_count", "merkle_root": "_root"})
+    joined = linked.join(rebuilt, key, "left")
     root = F.coalesce("_root", F.sha2(F.lit(EMPTY_TEXT).cast("binary"), 256))
 
     def differs(a: Column, b: Column) -> Column:
@@ -255,7 +261,9 @@ def audit_tamper(lines: DataFrame) -> DataFrame:
     """A copy of the log whose first entry claims other metadata."""
     entries = parse_lines(lines)
     first = entries.agg(F.min("seq")).scalar()
-    changed = F.concat(F.regexp_replace("batch_metadata", r"\}$", ""), F.lit(',"tampered":true}'))
+    opened = F.regexp_replace("batch_metadata", r"\s*\}\s*$", "")
+    comma = F.when(opened.rlike(r"\{\s*$"), "").otherwise(",")
+    changed = F.concat(opened, comma, F.lit('"tampered":true}'))
     edited = entries.withColumn(
         "batch_metadata", F.when(F.col("seq") == first, changed).otherwise(F.col("batch_metadata"))
     )

@@ -35,10 +35,15 @@ PARITY_METRICS = ("pr_auc", "f1", "mcc", "precision", "recall")
 PARITY_TOLERANCE = 1e-9
 
 
+def with_score(df: DataFrame) -> DataFrame:
+    """Rows whose score is a number. NaN would rank above every score, so it is left out everywhere."""
+    return df.where(F.col("p").isNotNull() & ~F.isnan(F.col("p").cast("double")))
+
+
 def confusion(df: DataFrame, by: Sequence[str] = (), threshold: float | Column = 0.5) -> DataFrame:
     """The four counts at a threshold, and their shares of all rows."""
     hit, yes = F.col("p") >= threshold, F.col("y") == 1
-    counts = df.groupBy(*by).agg(
+    counts = with_score(df).groupBy(*by).agg(
         F.count_if(~hit & ~yes).alias("tn"),
         F.count_if(hit & ~yes).alias("fp"),
         F.count_if(~hit & yes).alias("fn"),
@@ -60,7 +65,7 @@ def all_negative_accuracy(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def score_groups(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, p, pos, neg): one row per distinct score."""
-    return df.groupBy(*by, "p").agg(
+    return with_score(df).groupBy(*by, "p").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")
     )
 
@@ -144,7 +149,7 @@ def threshold_sweep(
 ) -> DataFrame:
     """Metrics at each threshold. All thresholds are counted in one pass over the rows."""
     yes = F.col("y") == 1
-    sums = df.groupBy(*by).agg(
+    sums = with_score(df).groupBy(*by).agg(
         F.count_if(yes).alias("all_pos"),
         F.count_if(~yes).alias("all_neg"),
         *[F.count_if(yes & (F.col("p") >= t)).alias(f"tp_{i}") for i, t in enumerate(thresholds)],
@@ -329,19 +334,29 @@ def metrics_long(metrics: DataFrame, ids: Sequence[str] = ("model",), names: Seq
 
 
 def metric_parity(logged: DataFrame, predictions: DataFrame, by: Sequence[str] = ("model",), policy: SkewPolicy | None = None) -> DataFrame:
-    """Largest difference between logged metrics and those recomputed from predictions."""
+    """Largest difference between logged metrics and those recomputed from predictions.
+
+    A logged model without predictions, or a metric that is no number on one
+    side only, has no difference and does not pass.
+    """
     again = model_metrics(predictions, by, policy).select(
-        *by, *[F.col(m).alias(f"_again_{m}") for m in PARITY_METRICS]
+        *by, *[F.col(m).alias(f"_again_{m}") for m in PARITY_METRICS], F.lit(True).alias("_found")
     )
-    differences = [
-        F.coalesce(F.abs(F.nanvl(F.col(m), F.lit(None).cast("double")) - F.col(f"_again_{m}")), F.lit(0.0))
-        for m in PARITY_METRICS
-    ]
+
+    def number(c: str) -> Column:
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+    pairs = [(number(m), number(f"_again_{m}")) for m in PARITY_METRICS]
+    both_missing = [a.isNull() & b.isNull() for a, b in pairs]
+    delta = [F.when(none, 0.0).otherwise(F.abs(a - b)) for none, (a, b) in zip(both_missing, pairs, strict=True)]
+    known = F.coalesce(F.col("_found"), F.lit(False))
+    for d in delta:
+        known = known & d.isNotNull()
     return (
         logged.select(*by, *PARITY_METRICS)
-        .join(again, list(by))
-        .select(*by, F.greatest(*differences).alias("max_abs_delta"))
-        .withColumn("parity_pass", F.col("max_abs_delta") <= PARITY_TOLERANCE)
+        .join(again, list(by), "left")
+        .select(*by, F.when(known, F.greatest(*delta)).alias("max_abs_delta"))
+        .withColumn("parity_pass", F.coalesce(F.col("max_abs_delta") <= PARITY_TOLERANCE, F.lit(False)))
     )
 
 

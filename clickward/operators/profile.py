@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 # What drift is measured on, and how.
 PROFILE_COLUMNS = ("app", "channel", "device", "os")
-TOP_VALUES = 32
 SHARE_FLOOR = 1e-6
 NULL_NAME = "NULL"
 
@@ -31,9 +30,11 @@ def value_shares(df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) -> Dat
 
 
 def baseline_stats(
-    df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS, top: int = TOP_VALUES
+    df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS, top: int | None = None
 ) -> DataFrame:
-    """The most frequent values of each column, ties in text order."""
+    """All values of each column, or its `top` most frequent ones, ties in text order."""
+    if top is None:
+        return value_shares(df, columns).select("feature", "value", "share")
     ranked = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("value"))
     return (
         value_shares(df, columns)
@@ -44,19 +45,21 @@ def baseline_stats(
 
 
 def drift_psi_kl(current: DataFrame, baseline: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) -> DataFrame:
-    """(feature, psi, kl) of the current frame against a baseline profile."""
+    """(feature, psi, kl) of the current frame against a baseline profile; both 0 for an empty frame."""
     now = value_shares(current, columns).select("feature", "value", F.col("share").alias("q"))
     then = baseline.select("feature", "value", F.col("share").alias("p"))
     p = F.greatest(F.coalesce("p", F.lit(SHARE_FLOOR)), F.lit(SHARE_FLOOR))
     q = F.greatest(F.coalesce("q", F.lit(SHARE_FLOOR)), F.lit(SHARE_FLOOR))
     return (
         now.join(then, ["feature", "value"], "full")
-        .select("feature", p.alias("p"), q.alias("q"))
+        .select("feature", p.alias("p"), q.alias("q"), F.col("q").isNotNull().alias("seen"))
         .groupBy("feature")
         .agg(
+            F.bool_or("seen").alias("seen"),
             F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"),
             F.sum(F.col("q") * F.log(F.col("q") / F.col("p"))).alias("kl"),
         )
+        .select("feature", *[F.when(F.col("seen"), F.col(m)).otherwise(0.0).alias(m) for m in ("psi", "kl")])
     )
 
 

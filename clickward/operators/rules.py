@@ -72,30 +72,26 @@ def mark_first_of_duplicates(
     return drop_helpers(earlier.withColumn(out, F.col("_earlier_copies") == 0).drop("_earlier_copies"))
 
 
-def baseline_sets(baseline: DataFrame) -> DataFrame:
-    """One row: per profiled column the known values, and whether NULL is one.
+def mark_known_values(
+    df: DataFrame, baseline: DataFrame, out: str = "rule_drift", policy: SkewPolicy | None = None
+) -> DataFrame:
+    """Whether all profiled columns hold values of the baseline, however many it has.
 
-    The baseline holds a fixed number of values per column, so the row is small.
+    One join per column against its known values. They are broadcast when they
+    were counted and are few; beyond that the join is shuffled.
     """
-    known = []
-    for c in PROFILE_COLUMNS:
-        mine = F.col("feature") == c
-        value = F.when(mine & (F.col("value") != NULL_NAME), F.col("value").cast("bigint"))
-        known += [
-            F.collect_set(value).alias(f"_known_{c}"),
-            F.coalesce(F.bool_or(mine & (F.col("value") == NULL_NAME)), F.lit(False)).alias(f"_null_{c}"),
-        ]
-    return baseline.agg(*known)
-
-
-def mark_known_values(df: DataFrame, baseline: DataFrame, out: str = "rule_drift") -> DataFrame:
-    """Whether all profiled columns hold values of the baseline."""
-    sets = baseline_sets(baseline).select(F.struct("*")).scalar()
-    checks = []
+    policy = policy or SkewPolicy.of(df.sparkSession)
+    few = baseline.limit(policy.broadcast_rows + 1).count() <= policy.broadcast_rows
+    marks = []
     for c in PROFILE_COLUMNS:
-        known = F.array_contains(F.col("_sets")[f"_known_{c}"], F.col(c).cast("bigint"))
-        checks.append(known | (F.col("_sets")[f"_null_{c}"] & F.col(c).isNull()))
-    return df.withColumn("_sets", sets).withColumn(out, _all(checks)).drop("_sets")
+        own = baseline.where(F.col("feature") == c).select(F.col("value").alias(f"_value_{c}")).distinct()
+        own = own.withColumn(f"_known_{c}", F.lit(True))
+        text = F.coalesce(F.col(c).cast("string"), F.lit(NULL_NAME))
+        df = df.join(F.broadcast(own) if few else own, text == F.col(f"_value_{c}"), "left")
+        # A missing value that the baseline does not have is undecided.
+        marks.append(F.when(F.col(f"_known_{c}"), True).when(F.col(c).isNotNull(), False))
+    helpers = [f"{kind}_{c}" for c in PROFILE_COLUMNS for kind in ("_value", "_known")]
+    return df.withColumn(out, _all(marks)).drop(*helpers)
 
 
 def _fences(quartiles: DataFrame) -> DataFrame:
@@ -128,11 +124,6 @@ def group_size_bounds(df: DataFrame, keys=("ip", "event_hour")) -> DataFrame:
     return _fences(sizes.agg(F.expr("percentile(v, array(0.25, 0.75), n)").alias("q")))
 
 
-def outlier_bounds_approx(df: DataFrame, column: str = "clicks_per_ip_per_hour", accuracy: int = 10_000) -> DataFrame:
-    """The same from a quantile sketch, for columns with very many distinct values."""
-    return _fences(df.agg(F.percentile_approx(column, [0.25, 0.75], accuracy).alias("q")))
-
-
 def mark_inside_fences(
     df: DataFrame, bounds: DataFrame, column: str = "clicks_per_ip_per_hour", out: str = "rule_outlier"
 ) -> DataFrame:

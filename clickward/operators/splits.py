@@ -34,7 +34,7 @@ def temporal_split(
     the rows train, the next 20 % validate, the rest test."""
     rows = df.count() if rows is None else rows
     if rows < MIN_ROWS:
-        raise ValueError(f"Need at least {MIN_ROWS} rows to create stable temporal splits")
+        raise ValueError(f"Too few rows to split by time: {rows} of {MIN_ROWS}")
     indexed = df if "idx" in df.columns else global_index(df, order or time_order(), "idx", policy)
     start_val, start_test = _edges(F.lit(rows), train, val)
     split = F.when(F.col("idx") < start_val, "train").when(F.col("idx") < start_test, "val").otherwise("test")
@@ -110,7 +110,7 @@ def class_prevalence(df: DataFrame, target: str) -> DataFrame:
 def window_attempts(
     df: DataFrame,
     target: str,
-    row_cap: int,
+    row_cap: int | None,
     step: int,
     min_val: int,
     min_test: int,
@@ -127,16 +127,16 @@ def window_attempts(
     attempt on the trailing rows, made when no head window suffices, sees the
     same full frame.
     """
-    if row_cap <= 0 or step <= 0:
-        raise ValueError("row_cap and row_cap_step must be > 0")
+    if step <= 0 or (row_cap is not None and row_cap <= 0):
+        raise ValueError("A window and its step have at least one row")
     order = order or time_order()
     ts = order.columns[0]
     spark = df.sparkSession
     indexed = global_index(df, order, "idx", policy).select("idx", F.col(target).alias("y"), F.to_date(ts).alias("day"))
     n = indexed.count()
     if n < MIN_ROWS:
-        raise ValueError(f"Need at least {MIN_ROWS} rows for row window selection")
-    first = min(row_cap, n)
+        raise ValueError(f"Too few rows to look for a window: {n} of {MIN_ROWS}")
+    first = n if row_cap is None else min(row_cap, n)
     caps = spark.range(first, n, step).union(spark.range(n, n + 1)).withColumnRenamed("id", "cap")
     start_val, start_test = _edges(F.col("cap"), 0.6, 0.2)
     windows = caps.select("cap", start_val.alias("val_at"), start_test.alias("test_at"))
@@ -210,6 +210,6 @@ def select_window(df: DataFrame, target: str, attempts: DataFrame, order: Order
     if chosen is None:
         last = attempts.orderBy(F.desc("cap"), "window").limit(10).collect()
         tried = "; ".join(f"{r['window']} cap={r['cap']} val_pos={r['val_pos']} test_pos={r['test_pos']}" for r in last)
-        raise ValueError(f"Unable to satisfy minimum positive support. Last attempts: {tried}")
+        raise ValueError(f"No window has enough positives. Tried: {tried}")
     indexed = global_index(df, order or time_order(), "idx", policy)
     return indexed.where(F.col("idx") < chosen["cap"])

@@ -144,10 +144,10 @@ def run_batch(
         write_metrics(stability, paths.metrics("stability"))
 
     metadata = F.to_json(F.struct(F.lit(source).alias("source"), F.lit("batch_curation").alias("stage")))
-    append_batch(trust.curated, paths.audit, f"batch_{int(time.time())}", metadata, time_order(), policy=policy)
+    append_batch(trust.curated, paths.audit, f"batch_{time.time_ns()}", metadata, time_order(), policy=policy)
     verification = verify_log(spark, paths.audit, policy=policy)
     write_metrics(verification, paths.metrics("audit_verification"))
-    manifest = with_column_schema(file_manifest(spark, source), trust.curated)
+    manifest = with_column_schema(file_manifest(spark, source, content=read_csv_events(spark, source)), trust.curated)
     write_metrics(manifest, paths.metrics("provenance"))
     return {
         "trust": trust,

@@ -16,7 +16,7 @@ from clickward.operators.encoding import EncodingInfo, rate_features
 from clickward.operators.features import Track, count_features, delta_features
 from clickward.operators.models import Bagging, ModelConfig, Platt
 from clickward.operators.ordering import time_order
-from clickward.operators.sampling import bag_overlap
+from clickward.operators.sampling import bag_overlap, stratified_sample
 from clickward.session import SkewPolicy, materialize
 
 # Whole-frame features of the trust stage: they look at later rows.
@@ -90,6 +90,8 @@ def fit_models(matrix: Matrix, family: str = "all") -> Fitted:
     start = time.perf_counter()
     config, features, target = matrix.config, matrix.features, matrix.config.target
     train, val = matrix.part("train"), matrix.part("val")
+    if config.max_fit_rows is not None:
+        train = materialize(stratified_sample(train, config.max_fit_rows, target, config.seed), "fit-rows")
     holdout = matrix.frame.where(F.col("split").isin("val", "test"))
     singles = models.baseline_models(train, features, config) if family != "bagging" else {}
     tables = [

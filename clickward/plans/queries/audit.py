@@ -30,7 +30,7 @@ headers AS (
     '{"records":' || record_count || ',"stage":"daily"}' AS batch_metadata
   FROM roots)
 """
-_CHAIN = f"""
+CHAIN = f"""
 chain AS (
   SELECT seq, batch_id, record_count, merkle_root, batch_metadata, repeat('0', 64) AS prev_batch_hash,
     sha256(repeat('0', 64) || merkle_root || batch_metadata || batch_id || record_count) AS batch_hash
@@ -40,7 +40,7 @@ chain AS (
     sha256(c.batch_hash || h.merkle_root || h.batch_metadata || h.batch_id || h.record_count)
   FROM chain c JOIN headers h ON h.seq = c.seq + 1)
 """
-_LOG = (sql.CLEAN, _LEAVES, sql.merkle(), _HEADERS, _CHAIN)
+_LOG = (sql.CLEAN, _LEAVES, sql.merkle(), _HEADERS, CHAIN)
 
 
 def _leaves(spark, sf_dir):

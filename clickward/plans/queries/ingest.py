@@ -12,7 +12,8 @@ from clickward.operators.clean import normalize_columns
 from clickward.operators.rules import validation_report
 from clickward.operators.sampling import stratified_sample
 from clickward.plans.queries import sql
-from clickward.plans.queries.registry import query, rounded, time_text
+from clickward.plans.queries.registry import AS_OF, query, rounded, time_text
+from clickward.plans.queries.rules import report_sql
 from clickward.plans.trust import stored_baseline, trust_frames, typed_once
 from clickward.session import scratch_path
 from clickward.sources import events, sinks
@@ -107,18 +108,20 @@ def json_encode(spark, sf_dir):
 )
 def sink_curated_parquet(spark, sf_dir):
     path = scratch_path(spark, "curated")
-    sinks.write_curated(trust_frames(typed_once(clicks_dirty(spark, sf_dir))).curated, path, partition_by=("click_day",))
+    sinks.write_curated(trust_frames(typed_once(clicks_dirty(spark, sf_dir)), as_of=AS_OF).curated, path, partition_by=("click_day",))
     return spark.read.parquet(path).select(
         "event_id", "ip", "app", "device", "os", "channel", "is_fraud", "click_day", *rounded("veracity_score")
     )
 
 
-@query("sink_metrics")
+@query("sink_metrics", sql.with_(*sql.DIRTY_FLAGS, select=report_sql()))
 def sink_metrics(spark, sf_dir):
+    """The report as its CSV file gives it back."""
     path = scratch_path(spark, "metrics")
-    report = validation_report(trust_frames(typed_once(clicks_dirty(spark, sf_dir))).flags)
+    report = validation_report(trust_frames(typed_once(clicks_dirty(spark, sf_dir)), as_of=AS_OF).flags)
     sinks.write_metrics(report, path)
-    return spark.read.option("header", True).csv(f"{path}/csv")
+    back = spark.read.option("header", True).schema(report.schema).csv(f"{path}/csv")
+    return back.select("rule", "total_records", "duplicates_removed", "invalid_count", *rounded("invalid_percent"), "unknown_count")
 
 
 @query(
@@ -137,17 +140,6 @@ def normalize(spark, sf_dir):
     return normalize_columns(foreign, keep=("event_id",))
 
 
-@query("gen_synthetic_clicks")
-def gen_synthetic_clicks(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").count()
-    made = events.synthetic_clicks(spark, rows)
-    return made.groupBy("app", "channel").agg(
-        F.count(F.lit(1)).alias("clicks"),
-        F.avg(F.col("is_fraud").cast("int")).alias("fraud_rate"),
-        F.avg(F.col("is_attributed").cast("int")).alias("attributed_rate"),
-    )
-
-
 @query(
     "stratified_sample",
     sql.with_(
@@ -171,7 +163,7 @@ def stratified(spark, sf_dir):
 
 @query("provenance_manifest")
 def provenance_manifest(spark, sf_dir):
-    manifest = events.file_manifest(spark, f"{sf_dir}/events.parquet")
+    manifest = events.file_manifest(spark, f"{sf_dir}/events.parquet", content=table(spark, sf_dir, "events"))
     return events.with_column_schema(manifest, table(spark, sf_dir, "events"))
 
 

@@ -30,7 +30,6 @@ MODULES = (
 
 # The clock of the range rule in all registered queries.
 AS_OF = datetime(2024, 2, 1)
-AS_OF_LIMIT = "2024-02-03 00:00:00"
 
 
 def query(name: str, sql: str | None = None):

@@ -56,13 +56,14 @@ def rule_uniqueness(spark, sf_dir):
         sql.DIRTY,
         sql.TYPED,
         sql.shares("typed"),
-        sql.baseline(),
+        sql.baseline(top=20),
         select=f"SELECT event_id, ({sql.KNOWN}) AS rule_drift FROM typed",
     ),
 )
 def rule_drift(spark, sf_dir):
+    """Against the 20 most frequent values of each column, so that both outcomes occur."""
     typed = _typed(spark, sf_dir)
-    return ops.mark_known_values(typed, profile.baseline_stats(typed)).select("event_id", "rule_drift")
+    return ops.mark_known_values(typed, profile.baseline_stats(typed, top=20)).select("event_id", "rule_drift")
 
 
 BOUNDS = ("q1", "q3", "iqr", "lower_bound", "upper_bound")
@@ -106,6 +107,10 @@ _REPORT = " UNION ALL ".join(
 )
 
 
+def report_sql() -> str:
+    return _REPORT
+
+
 @query("validation_report", sql.with_(*sql.DIRTY_FLAGS, select=_REPORT))
 def validation_report(spark, sf_dir):
     return ops.validation_report(_frames(spark, sf_dir).flags).select(
@@ -156,12 +161,12 @@ def score_distribution(spark, sf_dir):
         sql.DIRTY,
         sql.TYPED,
         sql.shares("typed"),
-        sql.baseline(),
+        sql.baseline(top=32),
         select="SELECT feature, value, round(share, 6) AS share FROM baseline",
     ),
 )
 def baseline_stats(spark, sf_dir):
-    return profile.baseline_stats(_typed(spark, sf_dir)).select("feature", "value", *rounded("share"))
+    return profile.baseline_stats(_typed(spark, sf_dir), top=32).select("feature", "value", *rounded("share"))
 
 
 # Drift of the dirty clicks against a profile of the clean ones.

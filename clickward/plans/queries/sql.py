@@ -104,12 +104,17 @@ def shares(source: str, name: str = "shares") -> str:
 """
 
 
-def baseline(shares_name: str = "shares", name: str = "baseline") -> str:
+def baseline(shares_name: str = "shares", name: str = "baseline", top: int | None = None) -> str:
+    """All values of a profile, or the `top` most frequent of each feature."""
+    if top is None:
+        return f"""
+{name} AS (SELECT feature, value, share FROM {shares_name})
+"""
     return f"""
 {name} AS (
   SELECT feature, value, share FROM (
     SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS place FROM {shares_name})
-  WHERE place <= 32)
+  WHERE place <= {top})
 """
 
 

@@ -8,10 +8,12 @@ import time
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickward.operators.audit import parse_lines
 from clickward.operators.clean import cast_events
 from clickward.operators.ordering import number_order
 from clickward.operators.rules import RULES
 from clickward.plans.queries import sql
+from clickward.plans.queries.audit import CHAIN
 from clickward.plans.queries.registry import AS_OF, query, rounded
 from clickward.plans.trust import trust_frames, typed_once
 from clickward.session import scratch_path
@@ -113,7 +115,25 @@ def sink_stream_parquet(spark, sf_dir):
     return spark.read.parquet(path).select("event_id", "batch_id", "ip", "app", "device", "os", "channel", "is_fraud")
 
 
-@query("sink_audit_jsonl")
+_LABELLED = f"""
+leaves AS (
+  SELECT 'attributed_' || is_attributed AS batch_id,
+    row_number() OVER (PARTITION BY is_attributed ORDER BY event_id) - 1 AS pos, sha256({sql.CANONICAL}) AS record_hash
+  FROM clicks)
+"""
+_LABEL_HEADERS = """
+headers AS (
+  SELECT row_number() OVER (ORDER BY batch_id) - 1 AS seq, batch_id, record_count, merkle_root,
+    '{"stage":"by_label"}' AS batch_metadata
+  FROM roots)
+"""
+ENTRY = ("seq", "batch_id", "record_count", "merkle_root", "batch_metadata", "prev_batch_hash", "batch_hash")
+
+
+@query(
+    "sink_audit_jsonl",
+    sql.with_(sql.CLEAN, _LABELLED, sql.merkle(), _LABEL_HEADERS, CHAIN, select=f"SELECT {', '.join(ENTRY)} FROM chain"),
+)
 def sink_audit_jsonl(spark, sf_dir):
     """The lines of a log after one appended batch per label."""
     path = scratch_path(spark, "audit-log")
@@ -126,19 +146,33 @@ def sink_audit_jsonl(spark, sf_dir):
             F.lit('{"stage":"by_label"}'),
             number_order("event_id"),
         )
-    return audit_log.read_lines(spark, path)
+    return parse_lines(audit_log.read_lines(spark, path)).select(*ENTRY)
 
 
-@query("stream_audit")
+_PER_PART = sql.with_(sql.CLEAN, f"parts AS (SELECT event_id % {PARTS} AS part, count(*) AS n FROM clicks GROUP BY 1)", select="{}")
+
+
+@query(
+    "stream_audit",
+    _PER_PART.format("SELECT part AS seq, 'stream_' || part AS batch_id, n AS record_count, true AS verified FROM parts"),
+)
 def stream_audit(spark, sf_dir):
+    """The entries of the streamed log, and whether the log holds together."""
     _, paths = _run(spark, sf_dir)
-    return audit_log.verify_log(spark, paths.audit)
+    good = audit_log.verify_log(spark, paths.audit).first()["success"]
+    entries = parse_lines(audit_log.read_lines(spark, paths.audit))
+    return entries.select("seq", "batch_id", "record_count", F.lit(good).alias("verified"))
 
 
-@query("stream_progress")
+@query(
+    "stream_progress",
+    _PER_PART.format("SELECT part AS batch_id, n AS \"numInputRows\", 'file' AS source_mode, true AS timed FROM parts"),
+)
 def stream_progress(spark, sf_dir):
+    """Rows per batch as reported; the times themselves differ from run to run."""
     done, _ = _run(spark, sf_dir, audit=False)
-    return job.stream_progress(done)
+    reports = job.stream_progress(done).where(F.col("numInputRows") > 0)
+    return reports.select("batch_id", "numInputRows", "source_mode", (F.col("triggerExecution_ms") > 0).alias("timed"))
 
 
 def _metrics(spark, sf_dir):
@@ -146,14 +180,22 @@ def _metrics(spark, sf_dir):
     return job.stream_metrics(job.read_metrics(spark, paths), job.stream_progress(done))
 
 
-@query("stream_metrics")
+@query(
+    "stream_metrics",
+    _PER_PART.format("SELECT part AS batch_id, n AS records, n AS \"numInputRows\", 'file' AS source_mode, true AS timed FROM parts"),
+)
 def stream_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir)
+    timed = (F.col("latency_sec") > 0) & (F.col("throughput_rps") > 0) & (F.col("processedRowsPerSecond") > 0)
+    return _metrics(spark, sf_dir).select("batch_id", "records", "numInputRows", "source_mode", timed.alias("timed"))
 
 
-@query("stream_summary")
+@query(
+    "stream_summary",
+    _PER_PART.format("SELECT count(*) AS processed_batches, bool_and(n > 0) AS timed FROM parts"),
+)
 def stream_summary(spark, sf_dir):
-    return job.stream_summary(_metrics(spark, sf_dir))
+    means = [F.col(c) > 0 for c in ("average_latency_sec", "average_throughput_rps_wall", "average_processed_rows_per_second")]
+    return job.stream_summary(_metrics(spark, sf_dir)).select("processed_batches", (means[0] & means[1] & means[2]).alias("timed"))
 
 
 @query("batch_vs_stream")

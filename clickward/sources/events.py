@@ -101,91 +101,18 @@ def read_file_stream(
     return reader.csv(path)
 
 
-# What the generated clicks are drawn from.
-APPS = (1, 2, 3, 6, 9, 12, 15, 18, 21, 24)
-DEVICES = (1, 2, 3, 4, 5)
-SYSTEMS = (9, 13, 17, 19, 20, 22, 24, 26)
-CHANNELS = (111, 112, 113, 121, 134, 145, 233, 255, 303)
-RISKY_CHANNELS = (233, 255, 303)
-RISKY_APPS = (21, 24)
-RISKY_SYSTEMS = (9, 13)
-FIRST_DAY = "2017-11-06 00:00:00"
-
-
-def synthetic_clicks(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
-    """Seeded click events with burst addresses, risk-based labels, 0.2 % duplicates
-    and a missing channel in one row of 800.
-
-    Every value is a hash of (row id, purpose, seed), so a row does not depend
-    on the partitioning and the frame is the same on any cluster.
-    """
-    ids = spark.range(rows)
-    row = F.col("id")
-    pool = max(2500, rows // 6)
-
-    def uniform(key: Column, purpose: str) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(purpose), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-    def whole(key: Column, purpose: str, low: int, high: int) -> Column:
-        return (F.lit(low) + F.floor(uniform(key, purpose) * (high - low))).cast("int")
-
-    def pick(purpose: str, values: tuple[int, ...]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), whole(row, purpose, 1, len(values) + 1))
-
-    drawn = ids.select(
-        "id",
-        whole(whole(row, "slot", 0, pool), "address", 10_000, 65_000).alias("ip"),
-        pick("app", APPS).alias("app"),
-        pick("device", DEVICES).alias("device"),
-        pick("os", SYSTEMS).alias("os"),
-        pick("channel", CHANNELS).alias("channel"),
-    )
-    risky_address = uniform(F.col("ip"), "risky") < F.lit(1 / 18)
-    burst = risky_address & (uniform(row, "burst") < 0.35)
-    minutes = F.when(burst, whole(row, "minute", 0, 60 * 12)).otherwise(whole(row, "minute", 0, 60 * 24 * 7))
-    noise = (uniform(row, "n1") + uniform(row, "n2") + uniform(row, "n3") - F.lit(1.5)) * F.lit(0.03)
-    risk = (
-        F.lit(0.01)
-        + F.when(risky_address, 0.22).otherwise(0.0)
-        + F.when(F.col("channel").isin(*RISKY_CHANNELS), 0.10).otherwise(0.0)
-        + F.when(F.col("app").isin(*RISKY_APPS), 0.06).otherwise(0.0)
-        + F.when((F.col("device") == 1) & F.col("os").isin(*RISKY_SYSTEMS), 0.04).otherwise(0.0)
-        + noise
-    )
-    labelled = drawn.withColumns(
-        {
-            "at": F.to_timestamp(F.lit(FIRST_DAY))
-            + F.make_dt_interval(F.lit(0), F.lit(0), minutes, whole(row, "second", 0, 60)),
-            "is_fraud": (uniform(row, "fraud") < F.least(F.greatest(risk, F.lit(0.001)), F.lit(0.92))).cast("int"),
-        }
-    ).withColumn(
-        "is_attributed",
-        F.when((F.col("is_fraud") == 0) & (uniform(row, "attributed") < 0.24), 1).otherwise(0),
-    )
-    text = "yyyy-MM-dd HH:mm:ss"
-    later = F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), whole(row, "delay", 1, 90), F.lit(0))
-    events = labelled.select(
-        "id",
-        F.date_format("at", text).alias("click_time"),
-        *["ip", "app", "device", "os", "channel", "is_fraud", "is_attributed"],
-        F.when(F.col("is_attributed") == 1, F.date_format(later, text)).otherwise("").alias("attributed_time"),
-    )
-    if rows > 1000:
-        twice = F.when(uniform(row, "duplicate") < 1 / 500, F.sequence(F.lit(0), F.lit(1))).otherwise(
-            F.array(F.lit(0))
-        )
-        gap = uniform(F.struct("id", "copy"), "gap") < 1 / 800
-        events = events.withColumn("copy", F.explode(twice)).withColumn(
-            "channel", F.when(~gap, F.col("channel"))
-        )
-    return events.select(*[F.col(c).cast("string") for c in EVENT_COLUMNS])
-
-
-def file_manifest(spark: SparkSession, path: str, source: str = "user_provided") -> DataFrame:
-    """One row per input file: size, SHA-256 of its bytes, source and kind.
-
-    Files are read whole by tasks, one per row, so each must fit into memory;
-    a dataset of many files spreads over the cluster.
+def file_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, modified) of every input file, from the file system's metadata alone."""
+    listed = spark.read.format("binaryFile").load(path)
+    return listed.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def file_manifest(spark: SparkSession, path: str, source: str = "user_provided", content: DataFrame | None = None) -> DataFrame:
+    """One row per input file: size, digest, source and kind.
+
+    `content` are the dataset's rows with `_metadata`, as any file reader gives
+    them; the digest is the SHA-256 over sums of its row digests' parts, so a
+    file of any size is read in splits by many tasks. Without it there is no digest.
     """
     name = F.element_at(F.split("path", "/"), -1)
     mode = (
@@ -193,17 +120,16 @@ def file_manifest(spark: SparkSession, path: str, source: str = "user_provided")
         .when(name.startswith("sample_"), "sample")
         .otherwise("full")
     )
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(
-            name.alias("file"),
-            F.col("length").alias("bytes"),
-            F.sha2("content", 256).alias("sha256"),
-            F.lit(source).alias("source"),
-            mode.alias("mode"),
-        )
+    listed = file_listing(spark, path).select(
+        name.alias("file"), "bytes", F.lit(source).alias("source"), mode.alias("mode")
     )
+    if content is None:
+        return listed.withColumn("sha256", F.lit(None).cast("string"))
+    row = F.sha2(F.to_json(F.struct(*content.columns), {"ignoreNullFields": "false"}), 256)
+    digests = content.select(F.col("_metadata.file_name").alias("file"), row.alias("row"))
+    parts = [F.sum(F.conv(F.substring("row", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
+    by_file = digests.groupBy("file").agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *parts), 256).alias("sha256"))
+    return listed.join(by_file, "file", "left")
 
 
 def with_column_schema(manifest: DataFrame, data: DataFrame) -> DataFrame:
@@ -212,15 +138,3 @@ def with_column_schema(manifest: DataFrame, data: DataFrame) -> DataFrame:
         *[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in data.dtypes]
     )
     return manifest.withColumn("column_schema", F.to_json(fields))
-
-
-def manifest_fingerprint(manifest: DataFrame) -> DataFrame:
-    """One digest for a whole dataset: the hash over the sum of the file digests' parts.
-
-    Sums commute, so no list of files is gathered anywhere.
-    """
-    pieces = [
-        F.sum(F.conv(F.substring("sha256", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string")
-        for i in range(8)
-    ]
-    return manifest.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *pieces), 256).alias("fingerprint"))

@@ -9,10 +9,11 @@ own output, metric row and audit entry.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ from clickward.plans.trust import first_baseline, trust_frames
 from clickward.session import SkewPolicy
 from clickward.sources.audit_log import append_batch
 from clickward.sources.events import with_row_ids
-from clickward.sources.sinks import wait, write_stream_batch
+from clickward.sources.sinks import write_metrics, write_stream_batch
 
 METRIC_SCHEMA = "batch_id bigint, records bigint, latency_sec double, throughput_rps double, source_mode string"
 PROGRESS_SCHEMA = T.StructType(
@@ -76,19 +77,34 @@ class StreamPaths:
         return f"{self.root}/metrics"
 
 
-def score_batch(df: DataFrame, model) -> DataFrame:
-    """Add `pred_fraud_proba` and `pred_is_fraud`; a model that does not fit the
-    frame leaves its message in `pred_error` instead."""
+def score_batch(df: DataFrame, model, features: Sequence[str] | None = None) -> DataFrame:
+    """Add `pred_fraud_proba`, `pred_is_fraud` and `pred_error`.
+
+    Gaps in the numeric features are filled as they are for a fit. A row whose
+    probability is still no number has no prediction but an error text, and a
+    model that does not fit the frame leaves its message on every row.
+    """
     if model is None:
         return df
-    from clickward.operators.models import positive_probability
+    from clickward.operators.models import model_inputs, positive_probability, ready_numbers
 
+    nothing = {"pred_fraud_proba": F.lit(None).cast("double"), "pred_is_fraud": F.lit(None).cast("int")}
+    keys = list(df.columns)
     try:
-        scored = positive_probability(model.transform(df), "pred_fraud_proba")
-        kept = scored.select(*df.columns, "pred_fraud_proba")
-    except Exception as error:  # noqa: BLE001 - any mismatch of model and frame
-        return df.withColumn("pred_error", F.lit(str(error)))
-    return kept.withColumn("pred_is_fraud", (F.col("pred_fraud_proba") >= 0.5).cast("int"))
+        used = list(features) if features is not None else model_inputs(model)
+        # The filled copies serve the model only; the frame keeps its own values.
+        held = df.withColumn("_row", F.struct(*keys))
+        scored = positive_probability(model.transform(ready_numbers(held, used)), "_p").select("_row.*", "_p")
+    except (AnalysisException, IllegalArgumentException) as error:
+        return df.withColumns({**nothing, "pred_error": F.lit(str(error))})
+    known = F.col("_p").isNotNull() & ~F.isnan("_p")
+    return scored.withColumns(
+        {
+            "pred_fraud_proba": F.when(known, F.col("_p")),
+            "pred_is_fraud": F.when(known, (F.col("_p") >= 0.5).cast("int")),
+            "pred_error": F.when(~known, F.lit("probability is not a number")),
+        }
+    ).drop("_p")
 
 
 def micro_batch(
@@ -118,7 +134,7 @@ def micro_batch(
                 metadata = F.to_json(
                     F.struct(F.lit(records).alias("microbatch_records"), F.lit(source_mode).alias("source_mode"))
                 )
-                append_batch(written, paths.audit, f"stream_{batch_id}", metadata, time_order(), batch_id, policy)
+                append_batch(written, paths.audit, f"stream_{batch_id}", metadata, time_order(), policy)
             seconds = time.perf_counter() - start
             row = [(batch_id, records, seconds, records / seconds, source_mode)]
             spark.createDataFrame(row, METRIC_SCHEMA).coalesce(1).write.mode("overwrite").json(
@@ -146,37 +162,59 @@ def start_stream(
     return writer.trigger(availableNow=True).start()
 
 
+class Progress:
+    """All progress reports of a query, gathered while it runs.
+
+    Spark itself keeps only the last hundred; one short report per batch stays here.
+    """
+
+    def __init__(self, query: StreamingQuery):
+        self.query = query
+        self._reports: dict[tuple, dict] = {}
+
+    def take(self) -> None:
+        for report in self.query.recentProgress:
+            self._reports[report["batchId"], report["timestamp"]] = report
+
+    @property
+    def reports(self) -> list[dict]:
+        self.take()
+        return [self._reports[key] for key in sorted(self._reports)]
+
+    def batches(self) -> set[int]:
+        """Batches that had rows."""
+        return {p["batchId"] for p in self.reports if p["numInputRows"] > 0}
+
+
 def run_until(
-    query: StreamingQuery, max_batches: int = 8, poll_seconds: float = 10.0, idle_polls: int = 15
-) -> None:
-    """Stop after `max_batches` batches with rows, or after `idle_polls` polls without a new one."""
-    idle, newest = 0, None
+    query: StreamingQuery, max_batches: int | None = None, poll_seconds: float = 10.0, idle_polls: int | None = None
+) -> Progress:
+    """Follow a stream to its end, or stop it after `max_batches` batches with
+    rows or after `idle_polls` polls without a new one, where these are given."""
+    seen, idle, newest = Progress(query), 0, None
     while query.isActive:
-        if query.awaitTermination(poll_seconds):
-            return
-        progress = query.recentProgress
-        done = {p["batchId"] for p in progress if p["numInputRows"] > 0}
-        if len(done) >= max_batches:
-            query.stop()
-            return
-        current = progress[-1]["batchId"] if progress else None
+        ended = query.awaitTermination(poll_seconds)
+        done = seen.batches()
+        if ended:
+            break
+        current = max((p["batchId"] for p in seen.reports), default=None)
         idle = idle + 1 if current == newest else 0
         newest = current
-        if idle >= idle_polls:
+        if (max_batches is not None and len(done) >= max_batches) or (idle_polls is not None and idle >= idle_polls):
             query.stop()
+    seen.take()
+    return seen
 
 
-def run_available(raw: DataFrame, paths: StreamPaths, source_mode: str = "file", **options) -> StreamingQuery:
-    """Process what the source holds now and return the ended query."""
-    query = start_stream(raw, paths, source_mode, **options)
-    wait(query)
-    return query
+def run_available(raw: DataFrame, paths: StreamPaths, source_mode: str = "file", **options) -> Progress:
+    """Process what the source holds now and return the progress of the ended query."""
+    return run_until(start_stream(raw, paths, source_mode, **options), poll_seconds=1.0)
 
 
-def stream_progress(query: StreamingQuery, source_mode: str = "file") -> DataFrame:
+def stream_progress(progress: Progress, source_mode: str = "file") -> DataFrame:
     """One row per progress report: rows, rates and the parts of the batch time."""
     rows = []
-    for p in query.recentProgress:
+    for p in progress.reports:
         spent = p["durationMs"] or {}
         rows.append(
             (
@@ -195,6 +233,23 @@ def stream_progress(query: StreamingQuery, source_mode: str = "file") -> DataFra
     return SparkSession.active().createDataFrame(rows, PROGRESS_SCHEMA)
 
 
+def run_stream(raw: DataFrame, paths: StreamPaths, source_mode: str = "file", trigger_seconds: int | None = None, max_batches: int | None = None, **options) -> DataFrame:
+    """A whole stream job: run it, then write its progress, merged metrics and summary under the root.
+
+    Metric rows are written per batch while it runs, so a driver that is lost
+    loses the progress columns only. Returns the summary.
+    """
+    spark = raw.sparkSession
+    seen = run_until(start_stream(raw, paths, source_mode, trigger_seconds, **options), max_batches, 1.0)
+    progress = stream_progress(seen, source_mode)
+    metrics = stream_metrics(read_metrics(spark, paths), progress)
+    write_metrics(progress, f"{paths.root}/reports/progress")
+    write_metrics(metrics, f"{paths.root}/reports/metrics")
+    summary = stream_summary(metrics)
+    write_metrics(summary, f"{paths.root}/reports/summary")
+    return summary
+
+
 def read_metrics(spark: SparkSession, paths: StreamPaths) -> DataFrame:
     return spark.read.schema(METRIC_SCHEMA).option("recursiveFileLookup", True).json(paths.metrics)
 

@@ -84,7 +84,7 @@ def edited(spark, log, **fields):
 def test_good_log(spark, log):
     lines, leaves = audit_log.read_lines(spark, log), audit_log.read_leaves(spark, log)
     assert report(spark, lines, leaves) == (True, 3, None, None)
-    head = audit_log.last_entry(spark, log)[1]
+    head = audit_log.last_entry(spark, log)["batch_hash"]
     assert report(spark, lines, leaves, expected_head=head) == (True, 3, None, None)
     assert report(spark, lines.where("seq < 2"), leaves, expected_head=head)[3] == ops.HEAD_MISMATCH
     total = spark.read.parquet(f"{log}/leaves").count()
@@ -121,12 +121,21 @@ def test_changed_record_is_found(spark, log):
     assert report(spark, lines, leaves.where("batch_id <> 'b1'")) == (False, 1, 1, ops.ROOT_MISMATCH)
 
 
-def test_appending_again_replaces(spark, meta):
+def test_replayed_batch_adds_nothing(spark, meta):
     path = scratch_path(spark, "audit")
     clicks = clicks_clean(spark, SMALL_DIR)
-    for seq in (0, 1, 1):
-        audit_log.append_batch(clicks, path, f"s{seq}", meta, BY_ID, seq=seq)
+    numbers = [audit_log.append_batch(clicks, path, name, meta, BY_ID) for name in ("s0", "s1", "s1")]
+    assert numbers == [0, 1, 1]
     assert tuple(audit_log.verify_log(spark, path).first()) == (True, 2, None, None)
+    assert audit_log.read_leaves(spark, path).select("seq").distinct().count() == 2
+
+
+def test_equal_batch_ids_are_entries_of_their_own(spark, meta):
+    path = scratch_path(spark, "audit")
+    clicks = clicks_clean(spark, SMALL_DIR)
+    for part in (0, 1, 0):
+        audit_log.append_batch(clicks.where(F.col("event_id") % 2 == part), path, "same", meta, BY_ID)
+    assert tuple(audit_log.verify_log(spark, path).first()) == (True, 3, None, None)
 
 
 def test_missing_log(spark):

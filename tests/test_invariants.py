@@ -217,18 +217,43 @@ def test_parity_notices_a_wrong_number(spark):
     assert evaluate.metric_parity(off, scores).where("parity_pass").count() == 0
 
 
-def test_synthetic_clicks(spark):
-    made = events.synthetic_clicks(spark, 20_000, 5).cache()
-    again = events.synthetic_clicks(spark, 20_000, 5).repartition(3)
-    assert made.exceptAll(again).count() == 0 and again.exceptAll(made).count() == 0
-    rows = made.count()
-    assert 20_000 < rows < 20_120
-    assert 5 < made.where("channel IS NULL").count() < 60
-    rate = made.agg(F.avg(F.col("is_fraud").cast("int"))).first()[0]
-    assert 0.02 < rate < 0.2
-    risky = made.where("channel in ('233','255','303')").agg(F.avg(F.col("is_fraud").cast("int"))).first()[0]
-    assert risky > rate
-    assert made.where("is_attributed = '1' and (attributed_time = '' or is_fraud = '1')").count() == 0
+def test_parity_needs_predictions_and_numbers(spark):
+    scores = model_scores(spark, SMALL_DIR)
+    logged = evaluate.model_metrics(scores, ("model",))
+    absent = logged.unionByName(logged.limit(1).withColumn("model", F.lit("none")))
+    assert [r["model"] for r in evaluate.metric_parity(absent, scores).where("not parity_pass").collect()] == ["none"]
+    nan = logged.withColumn("pr_auc", F.lit(float("nan")))
+    assert evaluate.metric_parity(nan, scores).where("parity_pass").count() == 0
+
+
+def test_rows_without_a_score_are_left_out(spark):
+    scores = model_scores(spark, SMALL_DIR).select("model", "id", "y", "p")
+    bad = scores.limit(50).withColumn("p", F.lit(float("nan"))).unionByName(scores.limit(5).withColumn("p", F.lit(None).cast("double")))
+    one, other = (evaluate.model_metrics(df, ("model",)).orderBy("model").collect() for df in (scores, scores.unionByName(bad)))
+    assert one == other
+
+
+def test_no_row_drifts_from_its_own_profile(spark):
+    typed = clean.cast_events(clicks_dirty(spark, SMALL_DIR))
+    marked = rules.mark_known_values(typed, profile.baseline_stats(typed))
+    assert marked.where("not rule_drift").count() == 0
+    assert marked.columns == [*typed.columns, "rule_drift"]
+
+
+def test_empty_frame_has_no_drift(spark):
+    typed = clean.cast_events(clicks_dirty(spark, SMALL_DIR))
+    got = profile.drift_psi_kl(typed.limit(0), profile.baseline_stats(typed)).collect()
+    assert len(got) == 4 and {(r["psi"], r["kl"]) for r in got} == {(0.0, 0.0)}
+
+
+def test_samples_follow_one_rule_at_every_size(spark):
+    frame = spark.range(40).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") % 4).cast("int").alias("y")
+    )
+    assert sampling.stratified_sample(frame, 1000, "y").where("y is null").count() == 0
+    assert sampling.stratified_sample(frame, 10, "y").where("y is null").count() == 0
+    for ratio in (1, 100):
+        assert sampling.bag_subsample(frame.withColumn("y", F.col("y") - 1), "y", ratio).where("y > 1").count() == 0
 
 
 def test_stratified_sample_keeps_a_rare_label(spark):
