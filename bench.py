@@ -19,7 +19,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
 from clickward.operators.features import count_features, delta_features, trust_features  # noqa: E402
 from clickward.plans.queries import queries  # noqa: E402
-from clickward.session import build_session  # noqa: E402
+from clickward.session import allow_local_scratch, build_session, clear_scratch  # noqa: E402
 from clickward.sources.adapters import clicks_large, table  # noqa: E402
 
 HEADLINE = (
@@ -65,6 +65,7 @@ def main() -> None:
         **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
+    allow_local_scratch(spark)
     known = queries()
     runs = {name: known[name] for name in HEADLINE}
     runs["large_trust_features"] = large_trust
@@ -76,6 +77,7 @@ def main() -> None:
         start = time.perf_counter()
         run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    clear_scratch(spark)
     spark.stop()
     print(
         json.dumps(

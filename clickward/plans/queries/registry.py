@@ -10,6 +10,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickward.session import allow_local_scratch
+
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, QueryFunction] = {}
@@ -39,6 +41,7 @@ def query(name: str, sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            allow_local_scratch(spark)
             return fn(spark, sf_dir)
 
         _QUERIES[name] = run

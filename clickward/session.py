@@ -44,26 +44,41 @@ def build_session(
 _LOCAL_SCRATCH: list[str] = []
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder every executor can read: the session's `spark.checkpoint.dir`.
+def allow_local_scratch(spark: SparkSession) -> None:
+    """Let a local session without `spark.checkpoint.dir` use a temporary folder of this machine.
 
-    Only where that is unset, and only in local mode (tests), a temporary
-    folder of this machine is used instead.
+    For tests, the bench and queries run by hand; library code never calls it.
     """
+    if _LOCAL_SCRATCH or spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local"):
+        return
+    _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="clickward-"))
+    atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], ignore_errors=True)
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Folder every executor can read: the session's `spark.checkpoint.dir`."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
     if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="clickward-"))
-        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], ignore_errors=True)
+        raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
     return _LOCAL_SCRATCH[0]
 
 
+def _owned(spark: SparkSession) -> str:
+    """The application owns what it writes: one folder per application id."""
+    return f"{scratch_root(spark)}/clickward/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the scratch folder."""
-    return f"{scratch_root(spark)}/clickward/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the application's scratch folder."""
+    return f"{_owned(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; frames that read them end with it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_owned(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df, name: str = "frame"):

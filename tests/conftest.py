@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pathlib
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,7 @@ SMALL_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from clickward.session import build_session
+    from clickward.session import allow_local_scratch, build_session, clear_scratch
 
     session = build_session(
         "clickward-tests",
@@ -24,11 +25,13 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
-            "spark.sql.warehouse.dir": "/tmp/clickward-warehouse",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="clickward-warehouse-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    allow_local_scratch(session)
     yield session
+    clear_scratch(session)
     session.stop()
 
 
