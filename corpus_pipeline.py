@@ -8,6 +8,7 @@ executor costs tasks of one stage.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from clickward.llm.near_dedup import near_duplicates
 from clickward.llm.packing import pack_documents
 from clickward.llm.quality import good_documents
 from clickward.llm.queries import TOKENIZER
-from clickward.session import materialize
+from clickward.session import allow_local_scratch, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,12 +55,26 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, TOKENIZER)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_classifier", quality),
-    ("line_dedup", lines),
-    ("minhash_near_dedup", near_copies),
-    ("benchmark_decontamination", decontaminated),
-    ("best_fit_packing", packed),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(fn: Stage) -> Stage:
+    """A local session without a shared folder, as in tests, may use one of this machine."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        allow_local_scratch(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", _stage(quality)),
+    ("line_dedup", _stage(lines)),
+    ("minhash_near_dedup", _stage(near_copies)),
+    ("benchmark_decontamination", _stage(decontaminated)),
+    ("best_fit_packing", _stage(packed)),
 ]
 
 # Learnt weights and token ids are beyond SQL; tests/llm holds the pipeline against brute force.
@@ -67,6 +82,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allow_local_scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
