@@ -77,4 +77,8 @@ def queries() -> dict[str, QueryFunction]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": sql.LINE_DEDUP}
+    return {
+        "op1_line_dedup": sql.LINE_DEDUP,
+        "op7_suffix_array_dedup": sql.SUFFIX_DEDUP,
+        "op10_minhash_near_dedup": sql.NEAR_DEDUP,
+    }

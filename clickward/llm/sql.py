@@ -20,3 +20,60 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+SUFFIX_DEDUP = r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT doc_id, c, h[2000 * c + 1 : 2000 * c + 2098] AS p
+  FROM (SELECT doc_id, h, unnest(range((length(h) + 1999) // 2000)) AS c FROM texts)
+), strings AS (
+  SELECT doc_id, 1000 * c + j AS i, p[2 * j + 1 : 2 * j + 100] AS s
+  FROM (SELECT doc_id, c, p, unnest(range(greatest(0, least(1000, length(p) // 2 - 49)))) AS j FROM pieces)
+), least AS (
+  SELECT s, min(doc_id) AS low FROM strings GROUP BY s
+), gone AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+  FROM strings JOIN least USING (s) WHERE low < doc_id
+), numbered AS (
+  SELECT doc_id, i, count(*) FILTER (WHERE before IS NULL OR i > before + 50)
+    OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+  FROM gone
+), runs AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs
+), cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+    string_agg(h[2 * before + 1 : 2 * a], '' ORDER BY a) AS head
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || h[2 * coalesce(last, 0) + 1 :])) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), members AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM members GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM members a JOIN members b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM words
+  UNION
+  SELECT r.doc_id, l.o FROM reach r JOIN (SELECT x AS e, y AS o FROM links UNION ALL SELECT y, x FROM links) l ON l.e = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT l.doc_id, coalesce(n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept
+FROM least l LEFT JOIN sizes USING (doc_id)
+"""
