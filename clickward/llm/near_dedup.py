@@ -28,7 +28,7 @@ further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -214,9 +214,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(mine, "id").join(other, "hub").select("id", "hub", "mine", "other").mapInArrow(compare, "id long, hub long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, steps: int | None = None) -> DataFrame:
     """(id, root): the smallest id reachable from every node, by repeated minimum labels.
 
+    With `steps` the labels are those after so many rounds: of one component,
+    but not yet all of its smallest id unless it is a star.
+
     Each round takes the least label among a node's neighbours and then the
     label of that label, so a chain shortens by half. Labels are written every
     round, so a lost executor costs one round at most.
@@ -225,14 +228,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     labels = materialize(
         both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("root")), "labels"
     )
-    while True:
+    for step in count(1):
         near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("root").alias("low"))
         lower = labels.join(near, "id").select("id", F.least("root", "low").alias("root"), F.col("root").alias("old"))
         up = labels.select(F.col("id").alias("root"), F.col("root").alias("top"))
         jumped = lower.join(up, "root", "left").select("id", F.coalesce(F.least("root", "top"), "root").alias("root"), "old")
         written = materialize(jumped, "labels")
         labels = written.select("id", "root")
-        if written.where(F.col("root") != F.col("old")).isEmpty():
+        if step == steps or (steps is None and written.where(F.col("root") != F.col("old")).isEmpty()):
             break
     return nodes.join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
@@ -263,7 +266,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, rounds: int =
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)
-        roots = materialize(components(nodes, links), "roots")
+        # Labels that are not final yet only propose a pair too many.
+        roots = materialize(components(nodes, links, steps=1), "roots")
+    if links is not None:
+        roots = components(nodes, links)
     member = classes.select(*same, "id").join(roots, "id").select(*same, "root")
     return signed.join(member, same, "left").select(
         "doc_id",
