@@ -110,7 +110,10 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     texts = docs.where(F.col("doc_id").isNotNull()).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
     )
-    pieces = F.filter(F.array(*[_pieces(kind, rank) for rank, kind in enumerate(KINDS)]), lambda p: p.isNotNull())
+    none = F.array().cast("array<string>")
+    # One entry without matches stands for the document itself, whatever else is found or dropped.
+    document = F.struct(F.lit(-1).alias("rank"), none.alias("match"), none.alias("value"), none.alias("gap"))
+    pieces = F.filter(F.array(document, *[_pieces(kind, rank) for rank, kind in enumerate(KINDS)]), lambda p: p.isNotNull())
     zipped = F.transform(
         F.sequence(F.lit(0), F.size("p.match") - 1),
         lambda i: F.struct(
@@ -124,8 +127,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     )
     found = texts.select("row", "doc_id", pieces.alias("pieces"))
     matches = (
-        found.select("row", "doc_id", F.explode_outer("pieces").alias("p"))
-        .select("row", "doc_id", F.coalesce("p.rank", F.lit(-1)).alias("rank"), F.explode_outer(zipped).alias("m"))
+        found.select("row", "doc_id", F.explode("pieces").alias("p"))
+        .select("row", "doc_id", "p.rank", F.explode_outer(F.when(F.size("p.match") > 0, zipped)).alias("m"))
         .select("row", "doc_id", "rank", "m.*")
     )
     so_far = Window.partitionBy("row", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
