@@ -32,7 +32,7 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 TASK_TOKENS = 1 << 26
-WORD_MEMORY = 800_000
+WORD_MEMORY = 250_000
 
 _PUNCTUATION = b"!#$%&*,.:;?|"
 _ENCODERS: dict[str, "WordEncoder"] = {}
