@@ -13,9 +13,12 @@ made. Every bucket proposes partners: its hub, the class with the most company
 over all collections (in a family of edited copies that is the text they come
 from); the same among the classes of other components; and in small buckets
 the next classes by id. In each of `ROUNDS` rounds a class is compared with the
-one partner of another component that most of its buckets propose and that it
-has not met yet: at most one pair per class and round, never all pairs of a
-bucket. Every link is confirmed on the full sets.
+untried partners of other components that its buckets propose most. That joins
+the large families at a few pairs a class; labels then converge, and every pair
+of a table that still lies in two components is compared, whatever the size of
+its bucket. A pair that shares several tables counts in the first of them only.
+Sizes and parity bitmaps of the sets rule out pairs that cannot be similar
+enough; both bounds are exact. Every link is confirmed on the full sets.
 Components come from repeated minimum labels over the confirmed links.
 
 Defined cases: a null, empty or blank text has the empty set and is linked
@@ -47,6 +50,9 @@ SMALL = 64
 NEIGHBOURS = 4
 PROPOSALS = 16
 PARTNERS = 4
+# Classes of one bucket that a task compares with as many others at a time, and bits of a set's bitmap.
+BLOCK = 512
+BITMAP = 1024
 BROADCAST_IDS = 1_000_000
 
 _WORDS = PolyHash(101)
@@ -76,16 +82,26 @@ def shingle_sets(buffer: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2, bands): set size, identity of the set, one value per collection."""
+    """(doc_id, n, s1, s2, bands, bits): set size, identity of the set, one value per collection, parity bitmap.
+
+    A bit of the bitmap is the parity of the elements that fall on it, so two
+    sets differ in at least as many elements as their bitmaps in bits.
+    """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))]
-    )
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())),
+         ("bits", pa.list_(pa.int64()))]
+    )
+
+    def rows_of(values: np.ndarray, width: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) // width + 1, dtype=np.int32) * width), pa.array(values))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buffer, offsets in chunks(batches):
             sets = shingle_sets(buffer, offsets)
             least = np.zeros((len(sets), len(_MINHASH)), np.uint64)
+            parity = np.zeros((len(sets), BITMAP), np.uint8)
             for i, s in enumerate(sets):
+                parity[i] = np.bincount((mix(s ^ _PLACE[2]) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
                 for at in range(0, len(s), 4096):
                     low = (s[at : at + 4096, None] * _MINHASH).min(axis=0)
                     least[i] = np.minimum(least[i], low) if at else low
@@ -97,18 +113,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(as_long(np.asarray([s.sum(dtype=np.uint64) for s in sets], np.uint64))),
                 pa.array(as_long(np.asarray([mix(s ^ _PLACE[1]).sum(dtype=np.uint64) for s in sets], np.uint64))),
-                pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COLLECTIONS), pa.array(as_long(pairs))
-                ),
+                rows_of(as_long(pairs).reshape(-1), COLLECTIONS),
+                rows_of(np.packbits(parity, axis=1).reshape(-1).view(np.int64), BITMAP // 64),
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     texts = whole_text(docs).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return texts.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    return texts.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, bands array<long>, bits array<long>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, company, size): a row per class and table in which it meets another class."""
+    """(key, table, id, company, size): a row per class and table in which it meets another class."""
     bands = classes.select("id", F.posexplode("bands").alias("band", "value"))
     # Written first, so that the join below reads two plain shuffles and a hot value's rows can be split.
     shared = materialize(bands.groupBy("band", "value").count().where(F.col("count") > 1), "shared-bands")
@@ -120,7 +135,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     by_band = met.select("id", "company", F.map_from_entries("met").alias("met"), table.alias("t"))
     left, right = F.col("met")[F.col("t.a")], F.col("met")[F.col("t.b")]
     rows = by_band.where(left.isNotNull() & right.isNotNull()).select(
-        F.xxhash64("t.a", left, "t.b", right).alias("key"), "id", "company"
+        F.xxhash64("t.a", left, "t.b", right).alias("key"), (F.col("t.a") * COLLECTIONS + F.col("t.b")).alias("table"), "id", "company"
     )
     full = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     return rows.join(materialize(full, "full-buckets"), "key")
@@ -172,6 +187,74 @@ def _next_pairs(mixed: DataFrame, classes: DataFrame, tried: DataFrame | None) -
     return pairs.select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")).distinct()
 
 
+def _rest(mixed: DataFrame, classes: DataFrame, tried: DataFrame | None, similarity: int) -> DataFrame:
+    """(id, hub): all untried pairs of a table that lie in two components and may be similar enough.
+
+    A bucket is dealt into chunks of about `BLOCK` classes, and every two chunks
+    meet in a group of their own, so no task holds a large bucket. Pairs of a
+    group are made by distance in its sorted rows and never leave the task
+    unless sizes and bitmaps allow the similarity.
+    """
+    group = ["key", "table", "x", "y"]
+    wide = mixed.select("key", "table", "id", "root", "size").join(classes.select("id", "n", "bands", "bits"), "id")
+    dealt = wide.withColumn("chunks", F.ceil(F.col("size") / BLOCK)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    met = met.withColumn("x", F.least("chunk", "with")).withColumn("y", F.greatest("chunk", "with"))
+    met = met.select(*group, "chunk", "id", "root", "n", "bands", "bits").repartition(*group).sortWithinPartitions(*group)
+    plain = [*group, "chunk", "id", "root", "n"]
+
+    def compare(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.zeros(len(c["id"]), bool)
+        for g in group:
+            new[1:] |= c[g][1:] != c[g][:-1]
+        number = np.cumsum(new)
+        at = np.arange(len(number))
+        for apart in count(1):
+            at = at[at + apart < len(number)]
+            at = at[number[at] == number[at + apart]]
+            if not len(at):
+                break
+            for part in range(0, len(at), 1 << 16):
+                i = at[part : part + (1 << 16)]
+                j = i + apart
+                few, many = np.minimum(c["n"][i], c["n"][j]), np.maximum(c["n"][i], c["n"][j])
+                able = (c["root"][i] != c["root"][j]) & (100 * few >= similarity * many)
+                able &= (c["x"][i] == c["y"][i]) | (c["chunk"][i] != c["chunk"][j])
+                i, j = i[able], j[able]
+                # Exact: of S elements in both sets together at most S (100 - similarity) / (100 + similarity) differ.
+                differ = np.bitwise_count(c["bits"][i] ^ c["bits"][j]).sum(axis=1, dtype=np.int64)
+                able = differ * (100 + similarity) <= (c["n"][i] + c["n"][j]) * (100 - similarity)
+                i, j = i[able], j[able]
+                same = c["bands"][i] == c["bands"][j]
+                first = same.argmax(axis=1)
+                same[np.arange(len(i)), first] = False
+                own = same.any(axis=1) & (first * COLLECTIONS + same.argmax(axis=1) == c["table"][i])
+                a, b = c["id"][i[own]], c["id"][j[own]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["id", "hub"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {p: batch.column(p).to_numpy().astype(np.int64) for p in plain}
+            for name in ("bands", "bits"):
+                c[name] = batch.column(name).flatten().to_numpy().reshape(batch.num_rows, -1)
+            if held is not None:
+                c = {k: np.concatenate([held[k], v]) for k, v in c.items()}
+            # The last group may go on in the next batch.
+            last = np.logical_and.reduce([c[g] == c[g][-1] for g in group])
+            cut = len(last) - int(last.sum())
+            yield from compare({k: v[:cut] for k, v in c.items()})
+            held = {k: v[cut:] for k, v in c.items()}
+        if held is not None:
+            yield from compare(held)
+
+    found = met.mapInArrow(pairs, "id long, hub long")
+    return found if tried is None else found.join(tried, ["id", "hub"], "left_anti")
+
+
 def _only(ids: DataFrame) -> DataFrame:
     """Written ids for a semi join: broadcast up to `BROADCAST_IDS` of them, a shuffled side beyond."""
     ids = materialize(ids.distinct(), "ids")
@@ -246,8 +329,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, rounds: int =
     same = ["n", "s1", "s2"]
     filled = signed.where(F.col("n") > 0)
     classes = materialize(
-        filled.groupBy(*same).agg(F.min(F.struct("doc_id", "bands")).alias("first")).select(
-            *same, F.col("first.doc_id").alias("id"), F.col("first.bands").alias("bands")
+        filled.groupBy(*same).agg(F.min(F.struct("doc_id", "bands", "bits")).alias("first")).select(
+            *same, F.col("first.doc_id").alias("id"), F.col("first.bands").alias("bands"), F.col("first.bits").alias("bits")
         ),
         "classes",
     )
@@ -257,7 +340,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, rounds: int =
     roots = materialize(nodes.select("id", F.col("id").alias("root")), "roots")
     tried = links = None
     for _ in range(rounds):
-        buckets = _mixed(buckets.select("key", "id", "company", "size"), roots)
+        buckets = _mixed(buckets.select("key", "table", "id", "company", "size"), roots)
         fresh = materialize(_next_pairs(buckets, classes, tried), "pairs")
         if fresh.isEmpty():
             break
@@ -269,7 +352,15 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, rounds: int =
         # Labels that are not final yet only propose a pair too many.
         roots = materialize(components(nodes, links, steps=1), "roots")
     if links is not None:
-        roots = components(nodes, links)
+        roots = materialize(components(nodes, links), "roots")
+    mixed = _mixed(buckets.select("key", "table", "id", "company", "size"), roots)
+    rest = materialize(_rest(mixed, classes, tried, similarity), "pairs")
+    found = materialize(_confirmed(rest, sets, similarity), "confirmed")
+    # Roots are the nodes now: what the last links join are whole components.
+    a, b = roots.toDF("id", "a"), roots.toDF("hub", "b")
+    joined = found.join(a, "id").join(b, "hub").select(F.col("a").alias("id"), F.col("b").alias("hub"))
+    top = components(roots.select(F.col("root").alias("id")).distinct(), joined).toDF("root", "top")
+    roots = roots.join(materialize(top, "roots"), "root").select("id", F.col("top").alias("root"))
     member = classes.select(*same, "id").join(roots, "id").select(*same, "root")
     return signed.join(member, same, "left").select(
         "doc_id",

@@ -68,3 +68,25 @@ def test_chain_has_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 45)], "id long, hub long")
     roots = {r.id: r.root for r in components(nodes, links).collect()}
     assert {roots[i] for i in range(31)} == {0} and roots[45] == 40 and roots[49] == 49
+
+
+def test_similar_pairs_among_many_of_one_template(documents):
+    """Pairwise similarity is about 0.70 on the template and 0.78 in each pair: only the pairs are linked."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(1200)]
+
+    def changed(words, places):
+        words = list(words)
+        for p in places:
+            words[p] = f"w{rng.random()}"
+        return words
+
+    rows = []
+    for _ in range(60):
+        places = rng.sample(range(2, 1198, 6), 38)
+        base = changed(template, places[:8])
+        rows += [" ".join(changed(base, places[8:23])), " ".join(changed(base, places[23:]))]
+    rng.shuffle(rows)
+    want = brute(list(enumerate(rows)))
+    assert len({root for _, root, _ in want.values()}) == 60
+    assert got(near_duplicates(documents(list(enumerate(rows))))) == want
