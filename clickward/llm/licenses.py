@@ -88,6 +88,7 @@ TEMPLATES = {
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
     "CC-BY-4.0-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "All-rights-reserved-notice": "All rights reserved.",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
 

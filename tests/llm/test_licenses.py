@@ -32,6 +32,14 @@ def test_given_documents(sf_docs):
     assert {(d, a, b) for d, _, a, b in rows(license_spans(sf_docs))} == want != set()
 
 
+def test_short_notice_of_all_rights(documents, sf_docs):
+    long = TEMPLATES["All-rights-reserved"]
+    got = rows(license_spans(documents([(1, "é (c) Me. ALL RIGHTS\nRESERVED."), (2, long), (3, "all rights are reserved")])))
+    assert got == [(1, "All-rights-reserved-notice", 10, 29), (2, "All-rights-reserved", 0, len(long) - 1)]
+    want = {(r.doc_id, m.start(), m.end()) for r in sf_docs.collect() for m in re.finditer("All rights reserved", r.text or "")}
+    assert {(d, a, b) for d, n, a, b in rows(license_spans(sf_docs)) if n == "All-rights-reserved-notice"} == want
+
+
 def test_winnow_keeps_one_in_every_window():
     values = np.random.default_rng(0).integers(0, 50, 200).astype(np.uint64)
     kept = set(winnow(values, 4))
