@@ -36,6 +36,22 @@ def test_exact_substituted_and_clean(spark, documents):
     assert got == found(contaminated(documents(rows), bench, broadcast_seeds=0))
 
 
+def test_excerpts_shifts_and_short_items(spark, documents):
+    long = [f"w{i}" for i in range(100)]
+    inserted = [*long[:48], "new", *long[48:]]
+    rows = [
+        (1, "a b " + " ".join(long[20:55])),
+        (2, " ".join(inserted)),
+        (3, " ".join([*long[:48], *long[50:]])),
+        (4, " ".join(long[:12])),
+        (5, "yes four short words here no"),
+        (6, "four short other words here"),
+    ]
+    got = found(contaminated(documents(rows), benchmark(spark, [(1, " ".join(long)), (2, "four short words here")])))
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 2)}
+    assert got[1, 1] == (-18, 35) and got[2, 1][1] == 100 and got[3, 1][1] == 98 and got[5, 2] == (1, 4)
+
+
 def test_empty_tables(spark, documents):
     assert contaminated(documents([]), benchmark(spark, [(1, ITEM)])).count() == 0
     assert contaminated(documents([(1, ITEM)]), benchmark(spark, [])).count() == 0
