@@ -222,7 +222,7 @@ def _rest(mixed: DataFrame, classes: DataFrame, tried: DataFrame | None, similar
                 able &= (c["x"][i] == c["y"][i]) | (c["chunk"][i] != c["chunk"][j])
                 i, j = i[able], j[able]
                 # Exact: of S elements in both sets together at most S (100 - similarity) / (100 + similarity) differ.
-                differ = np.bitwise_count(c["bits"][i] ^ c["bits"][j]).sum(axis=1, dtype=np.int64)
+                differ = np.bitwise_count((c["bits"][i] ^ c["bits"][j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
                 able = differ * (100 + similarity) <= (c["n"][i] + c["n"][j]) * (100 - similarity)
                 i, j = i[able], j[able]
                 same = c["bands"][i] == c["bands"][j]
