@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
-from conftest import SMALL_DIR
+from paths import SMALL_DIR
 from pyspark.sql import functions as F
 
 from clickward.operators import audit as ops

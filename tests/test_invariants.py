@@ -7,7 +7,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import SMALL_DIR
+from paths import SMALL_DIR
 from pyspark.sql import functions as F
 
 from clickward.operators import clean, encoding, evaluate, profile, rules, sampling, splits

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from compare import compare, duck
-from conftest import SMALL_DIR
+from paths import SMALL_DIR
 
 from clickward.plans.queries import oracle_sql, queries
 
