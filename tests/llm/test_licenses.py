@@ -27,7 +27,7 @@ def test_changed_words_and_two_places(documents):
 
 
 def test_given_documents(sf_docs):
-    notices = r"Licensed under CC BY-NC 4\.0|This work is licensed under the GNU General Public License, version 3|Licensed under the Apache License, Version 2\.0|Released under the MIT License"
+    notices = r"Licensed under CC BY-NC 4\.0|This work is licensed under the GNU General Public License, version 3|Licensed under the Apache License, Version 2\.0|Released under the MIT License|All rights reserved"
     want = {(r.doc_id, m.start(), m.end()) for r in sf_docs.collect() for m in re.finditer(notices, r.text or "")}
     assert {(d, a, b) for d, _, a, b in rows(license_spans(sf_docs))} == want != set()
 
