@@ -20,6 +20,7 @@ from clickward.llm.quality import scored
 from clickward.llm.quality_rules import judged
 from clickward.llm.secrets import secret_report
 from clickward.llm.suffix_dedup import shared_strings_removed
+from clickward.llm.vector_codes import compressed
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,7 +70,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op7_suffix_array_dedup, op8_license_scans, op9_secret_scans, op10_minhash_near_dedup]
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = compressed(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op7_suffix_array_dedup, op8_license_scans, op9_secret_scans, op10_minhash_near_dedup, op11_vector_code_compression]
 
 
 def queries() -> dict[str, QueryFunction]:
@@ -81,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": sql.LINE_DEDUP,
         "op7_suffix_array_dedup": sql.SUFFIX_DEDUP,
         "op10_minhash_near_dedup": sql.NEAR_DEDUP,
+        "op11_vector_code_compression": sql.VECTOR_CODES,
     }

@@ -77,3 +77,49 @@ WITH RECURSIVE words AS (
 SELECT l.doc_id, coalesce(n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept
 FROM least l LEFT JOIN sizes USING (doc_id)
 """
+
+
+def _vector_round(k: int) -> str:
+    """Assignment k and the codebooks that follow from it."""
+    return f"""
+near{k} AS (
+  SELECT row, p, any_value(x) AS x, min(64 * dist + e) % 64 AS e, min(64 * dist + e) // 64 AS dist FROM (
+    SELECT r.row, r.p, r.x, c.e, list_sum(list_transform(list_zip(r.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist
+    FROM parts r JOIN book{k} c USING (p)) GROUP BY row, p
+), mean{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT p, e, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m
+    FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM near{k}) GROUP BY p, e, i) GROUP BY p, e
+), book{k + 1} AS (
+  SELECT p, e, coalesce(m.x, c.x) AS x FROM book{k} c LEFT JOIN mean{k} m USING (p, e)
+), """
+
+
+VECTOR_CODES = (
+    """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT row, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept, range(16) AS t(p)
+), book0 AS (
+  SELECT p, row - 1 AS e, x FROM parts WHERE row <= 64
+), """
+    + _vector_round(0)
+    + _vector_round(1)
+    + """
+last AS (
+  SELECT row, p, min(64 * dist + e) % 64 AS e, min(64 * dist + e) // 64 AS dist FROM (
+    SELECT r.row, r.p, c.e, list_sum(list_transform(list_zip(r.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist
+    FROM parts r JOIN book2 c USING (p)) GROUP BY row, p
+), codes AS (
+  SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM last GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i))
+   FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM book2)) AS codebooks_sha256
+FROM kept JOIN codes USING (row)
+"""
+)
