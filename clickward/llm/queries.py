@@ -20,6 +20,7 @@ from clickward.llm.quality import scored
 from clickward.llm.quality_rules import judged
 from clickward.llm.secrets import secret_report
 from clickward.llm.spelling import spelling_groups
+from clickward.llm.spot_signatures import COMMON, compared
 from clickward.llm.suffix_dedup import shared_strings_removed
 from clickward.llm.vector_codes import compressed
 
@@ -80,7 +81,25 @@ def op12_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFram
     return spelling_groups(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[QueryFunction] = [op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_benchmark_decontamination, op5_quality_rules, op6_best_fit_packing, op7_suffix_array_dedup, op8_license_scans, op9_secret_scans, op10_minhash_near_dedup, op11_vector_code_compression, op12_spelling_variant_grouping]
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(table(spark, sf_dir, "documents"))
+
+
+_QUERIES: list[QueryFunction] = [
+    op1_line_dedup,
+    op2_quality_classifier,
+    op3_html_extraction,
+    op4_benchmark_decontamination,
+    op5_quality_rules,
+    op6_best_fit_packing,
+    op7_suffix_array_dedup,
+    op8_license_scans,
+    op9_secret_scans,
+    op10_minhash_near_dedup,
+    op11_vector_code_compression,
+    op12_spelling_variant_grouping,
+    op13_document_fingerprints,
+]
 
 
 def queries() -> dict[str, QueryFunction]:
@@ -94,4 +113,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_minhash_near_dedup": sql.NEAR_DEDUP,
         "op11_vector_code_compression": sql.VECTOR_CODES,
         "op12_spelling_variant_grouping": sql.SPELLING,
+        "op13_document_fingerprints": sql.fingerprints(COMMON),
     }

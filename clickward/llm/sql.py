@@ -161,3 +161,37 @@ WITH RECURSIVE crc_table AS (
 )
 SELECT word, form, (SELECT arg_max(root, depth) FROM chain c WHERE c.word = f.word) AS root, n, n_near, form_n FROM forms f
 """
+
+
+def _signatures(text: str) -> str:
+    """Sorted distinct signatures of a text column, as a list."""
+    return f"""
+  SELECT * EXCLUDE (words, content, common), list_sort(list_distinct(list_concat(
+    list_transform(list_filter(content, lambda x: x IS NOT NULL)[1 : 8], lambda w: md5(w)[1 : 8]),
+    list_filter(list_transform(words, lambda w, i:
+    CASE WHEN content[i] IS NULL OR len(list_filter(content[greatest(i - 8, 1) : i - 1], lambda x: x IS NULL)) = 0
+    THEN md5(array_to_string(list_prepend(w, list_filter(content[i + 1 : i + 12], lambda x: x IS NOT NULL)[1 : 2]), ' '))[1 : 8] END),
+    lambda x: x IS NOT NULL)))) AS {text}_sigs
+  FROM (SELECT *, list_transform(words, lambda w: CASE WHEN NOT list_contains(common, w) THEN w END) AS content
+    FROM (SELECT *, regexp_extract_all(lower({text}), '[^\\x00-/:-@\\[-`{{-\\x7F]+') AS words FROM source), anchors)"""
+
+
+def fingerprints(common: list[str]) -> str:
+    words = ", ".join(f"'{w}'" for w in common)
+    like = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
+    return f"""
+WITH anchors AS (SELECT [{words}] AS common
+), plain AS (WITH source AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) {_signatures("text")}
+), next AS (
+  SELECT *, length(text) // 4 AS take,
+    coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text, coalesce(lead(text_sigs) OVER o, first_value(text_sigs) OVER o) AS next_sigs,
+    coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_doc_id
+  FROM plain WINDOW o AS (ORDER BY doc_id)
+), edits AS (WITH source AS (SELECT *, text[1 : length(text) - take] || next_text[1 : take] AS edited FROM next) {_signatures("edited")}
+)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(text_sigs, '') AS fingerprint,
+  array_to_string(edited_sigs, '') AS edited_fingerprint, {like.format("text_sigs", "edited_sigs")} AS near_edited,
+  {like.format("text_sigs", "next_sigs")} AS near_next, next_doc_id, CAST(len(text_sigs) AS BIGINT) AS n_signatures,
+  CAST(CASE WHEN len(text_sigs) > 0 THEN floor(ln(len(text_sigs)) / (ln(1 / 0.75) * (1 + 1e-9))) ELSE -1 END AS INTEGER) AS length_part
+FROM edits
+"""
