@@ -1,12 +1,13 @@
 """Document fingerprints from spot signatures, with DataFrame functions only.
 
 An anchor is a word that is common in its language, like an article. Each
-anchor makes one signature: itself and the next `CHAIN` content words, common
-words between them skipped. Prose has many common words, navigation, lists and
+anchor makes one signature: itself and the next two content words, common words
+between them skipped. Prose has many common words, navigation, lists and
 numbers have few, so a text is known by its running prose. Where `GAP` words
 in a row hold no common word (tables, other languages, the start of a text),
 every word is an anchor, and the first `GAP` content words of a text are
-signatures by themselves, so that short texts have several. The rule `GAP` words before and `REACH` words after a place only: a change in one part
+signatures by themselves, so that short texts have several. The rule looks at
+`GAP` words before and `REACH` words after a place only: a change in one part
 of a text leaves the signatures of the others alone.
 
 A fingerprint is the set of a text's signatures, eight hexadecimal digits of
@@ -32,6 +33,7 @@ row. A single document is its own next. Further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,8 +52,7 @@ COMMON = (
 ).split()
 
 WORD = r"[^\x00-/:-@\[-`{-\x7F]+"
-CHAIN = 2
-REACH = 12
+REACH = 8
 GAP = 8
 DIGITS = 8
 # Documents take this share of the next one's start in the edited text.
@@ -65,18 +66,24 @@ def with_signatures(texts: DataFrame, text: str = "text", out: str = "signatures
     Words and content words are columns of their own on the way, so that each is made once.
     """
     words, content = f"{out}_words", f"{out}_content"
-    before, after = (F.array(*[F.lit(d) for d in range(1, n + 1)]) for n in (GAP, REACH))
 
     def at(i: Column) -> Column:
         """Content word i, null where the word is common or the text ends; a slice would copy the whole list each time."""
         return F.get(F.col(content), i)
 
-    def anchor(i: Column) -> Column:
-        return at(i).isNull() | ~F.exists(before, lambda d: (i >= d) & at(i - d).isNull())
+    def common_before(i: Column) -> Column:
+        return functools.reduce(Column.__or__, [(i >= d) & at(i - d).isNull() for d in range(1, GAP + 1)])
+
+    def second(i: Column) -> Column:
+        """The content word after the next one; evaluated only as far as the words are common."""
+        out = F.lit(None).cast("string")
+        for d in range(REACH - 1, 0, -1):
+            out = F.when(at(i + d).isNotNull(), F.coalesce(*[at(i + k) for k in range(d + 1, REACH + 1)])).otherwise(out)
+        return out
 
     def chain(word: Column, i: Column) -> Column:
-        onward = F.filter(F.transform(after, lambda d: at(i + d)), lambda w: w.isNotNull())
-        return F.when(anchor(i), digits(F.concat_ws(" ", word, *[F.get(onward, F.lit(k)) for k in range(CHAIN)])))
+        onward = F.coalesce(*[at(i + d) for d in range(1, REACH + 1)])
+        return F.when(at(i).isNull() | ~common_before(i), digits(F.concat_ws(" ", word, onward, second(i))))
 
     def digits(value: Column) -> Column:
         return F.substring(F.md5(value), 1, DIGITS)
@@ -96,6 +103,11 @@ def fingerprint(signatures: str) -> Column:
     return F.array_join(signatures, "")
 
 
+def _unpacked(packed: str) -> Column:
+    """The signatures of a fingerprint that was packed into bytes for a shuffle."""
+    return F.regexp_extract_all(F.lower(F.hex(packed)), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+
+
 def likeness(a: str, b: str) -> Column:
     """Jaccard similarity of two sets; two empty ones are alike."""
     both = F.size(F.array_intersect(a, b))
@@ -139,19 +151,22 @@ def compared(docs: DataFrame) -> DataFrame:
     # Counts repeated rows. Both readers of these rows take the same columns and the count, so that they share one
     # exchange and signatures are made once.
     running = Window.partitionBy("key").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = with_signatures(keyed.drop("place")).withColumn("copy", F.count(F.lit(1)).over(running))
+    packed = F.unhex(fingerprint("signatures"))
+    signed = with_signatures(keyed.drop("place")).withColumn("packed", packed).drop("signatures")
+    placed = signed.withColumn("copy", F.count(F.lit(1)).over(running))
     wanted = links.select(F.col("next_key").alias("key"), F.col("key").alias("for_key"), "take")
     given = placed.where("copy = 1").join(wanted, "key")
     given = given.select(
         F.col("for_key").alias("key"),
         "take",
         F.substr("text", F.lit(1), F.least("take", F.col("n_chars").cast("int"))).alias("head"),
-        F.col("signatures").alias("next_signatures"),
+        F.col("packed").alias("next_packed"),
         F.col("doc_id").alias("next_doc_id"),
     )
     whole = placed.where("copy >= 1").join(given, "key")
     kept = F.substr("text", F.lit(1), (F.col("n_chars") - F.col("take")).cast("int"))
     edited = with_signatures(whole.withColumn("edited", F.concat(kept, "head")), "edited", "edited_signatures")
+    edited = edited.withColumns({"signatures": _unpacked("packed"), "next_signatures": _unpacked("next_packed")})
     return edited.select(
         "doc_id",
         "n_chars",

@@ -170,7 +170,7 @@ def _signatures(text: str) -> str:
     list_transform(list_filter(content, lambda x: x IS NOT NULL)[1 : 8], lambda w: md5(w)[1 : 8]),
     list_filter(list_transform(words, lambda w, i:
     CASE WHEN content[i] IS NULL OR len(list_filter(content[greatest(i - 8, 1) : i - 1], lambda x: x IS NULL)) = 0
-    THEN md5(array_to_string(list_prepend(w, list_filter(content[i + 1 : i + 12], lambda x: x IS NOT NULL)[1 : 2]), ' '))[1 : 8] END),
+    THEN md5(array_to_string(list_prepend(w, list_filter(content[i + 1 : i + 8], lambda x: x IS NOT NULL)[1 : 2]), ' '))[1 : 8] END),
     lambda x: x IS NOT NULL)))) AS {text}_sigs
   FROM (SELECT *, list_transform(words, lambda w: CASE WHEN NOT list_contains(common, w) THEN w END) AS content
     FROM (SELECT *, regexp_extract_all(lower({text}), '[^\\x00-/:-@\\[-`{{-\\x7F]+') AS words FROM source), anchors)"""

@@ -16,7 +16,7 @@ def signatures(text):
     found = {hashlib.md5(w.encode()).hexdigest()[:8] for w in [w for w, c in zip(words, common) if not c][:8]}
     for i, w in enumerate(words):
         if common[i] or not any(common[max(0, i - 8) : i]):
-            after = [v for v, c in zip(words[i + 1 : i + 13], common[i + 1 : i + 13]) if not c]
+            after = [v for v, c in zip(words[i + 1 : i + 9], common[i + 1 : i + 9]) if not c]
             found.add(hashlib.md5(" ".join([w, *after[:2]]).encode()).hexdigest()[:8])
     return found
 
