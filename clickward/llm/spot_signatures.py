@@ -35,13 +35,14 @@ from __future__ import annotations
 
 import functools
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickward.llm.common import whole_text
 from clickward.operators.ordering import drop_helpers, neighbour, number_order, split_groups
-from clickward.session import materialize
+from clickward.session import SkewPolicy, materialize
 
 # Common words of four languages.
 COMMON = (
@@ -55,6 +56,8 @@ WORD = r"[^\x00-/:-@\[-`{-\x7F]+"
 REACH = 8
 GAP = 8
 DIGITS = 8
+# Ids that one task puts in order at a time.
+SLICE_ROWS = 25_000
 # Documents take this share of the next one's start in the edited text.
 EDIT = 4
 NEAR = 0.75
@@ -137,8 +140,10 @@ def following(keyed: DataFrame) -> DataFrame:
     """(key, next_key, take) of every different row: the next one in the order, after the last the first."""
     rows = materialize(keyed.select("place", "key", "n_chars").distinct(), "spot-order")
     order = number_order("place", "key")
-    parted, groups = split_groups(rows, [], order)
-    found = drop_helpers(neighbour(parted, groups, order, "key", "next_key", following=True))
+    policy = SkewPolicy.of(rows.sparkSession)
+    policy = replace(policy, max_group_rows=min(SLICE_ROWS, policy.max_group_rows))
+    parted, groups = split_groups(rows, [], order, policy)
+    found = drop_helpers(neighbour(parted, groups, order, "key", "next_key", following=True, policy=policy))
     first = rows.agg(F.min_by("key", F.struct("place", "key")).alias("key")).first()["key"]
     next_key = F.coalesce("next_key", F.lit(first).cast("string"))
     return found.select("key", next_key.alias("next_key"), F.floor(F.col("n_chars") / EDIT).cast("int").alias("take"))
