@@ -70,15 +70,6 @@ def number_order(*columns: str, descending: bool = False) -> Order:
     return Order(columns, sorting, lambda df: F.col(first).cast("double") * F.lit(-1.0 if descending else 1.0))
 
 
-def hash_order(digest: str, tie: str = "event_id") -> Order:
-    """Order by a hexadecimal digest; its first 52 bits place a row in a slice."""
-    return Order(
-        (digest, tie),
-        lambda: (F.col(digest).asc(), F.col(tie).asc()),
-        lambda df: F.conv(F.substring(digest, 1, 13), 16, 10).cast("double"),
-    )
-
-
 def text_order(column: str) -> Order:
     """Order by text; its first six bytes place a row in a slice."""
 

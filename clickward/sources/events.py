@@ -49,18 +49,21 @@ def with_row_ids(df: DataFrame, out: str = "event_id") -> DataFrame:
     return df if out in df.columns else df.withColumn(out, F.monotonically_increasing_id())
 
 
-def first_rows(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
-    """At most `limit` rows, the first in the given order; 0 or None keeps all.
+def first_rows(df: DataFrame, limit: int | None, ts: str, tie: str) -> DataFrame:
+    """At most `limit` rows, the first in the order of a time given as text and an id; 0 or None keeps all.
 
-    A row cap may be far above what one task can sort, so the cut is made by
-    position in the total order instead of by a global limit.
+    A row cap may be far above what one task can sort: the last row of the cut
+    is searched by counts of time and id digits, and the cut is a filter.
     """
     if not limit or limit <= 0:
         return df
-    from clickward.operators.ordering import global_index, text_time_order
+    from clickward.operators.sampling import first_places
 
-    indexed = global_index(df, text_time_order(*order), out="_position")
-    return indexed.where(F.col("_position") < limit).drop("_position")
+    moment = F.unix_micros(F.col(ts).try_cast("timestamp")) + F.lit(2**62)
+    digits = F.lpad(F.hex(F.coalesce(moment, F.lit(0))), 16, "0")
+    if dict(df.dtypes)[tie] in ("bigint", "int"):
+        digits = F.concat(digits, F.lpad(F.hex(F.col(tie).cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    return first_places(df, limit, digits, tie)
 
 
 def decode_json(df: DataFrame, payload: str = "value", *keep: str) -> DataFrame:

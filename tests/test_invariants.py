@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from clickward.operators import clean, encoding, evaluate, profile, rules, sampling, splits
 from clickward.operators.features import Track, delta_features
 from clickward.plans.trust import stored_baseline, trust_frames, typed_once
+from clickward.sources.events import first_rows
 from clickward.session import SkewPolicy, scratch_path
 from clickward.sources import events, sinks
 from clickward.sources.adapters import clicks_dirty, model_scores, scored
@@ -290,3 +291,20 @@ def test_replayed_stream_batch_replaces_itself(spark):
     for _ in range(2):
         sinks.write_stream_batch(spark.range(5), path, 3)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_samples_end_at_the_same_row_as_an_order_of_all_rows(spark, monkeypatch):
+    """Cells of two rows make the search go through every digit; no window runs over all rows."""
+    monkeypatch.setattr(sampling, "CELL_ROWS", 2)
+    frame = spark.range(700).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("label"))
+    ranked = sorted(frame.withColumn("d", sampling.draw(7, "event_id")).collect(), key=lambda r: r["d"])
+    quota = spark.createDataFrame([(0, 1), (1, 100), (2, 233)], "label long, quota long")
+    got = {(r["label"], r["event_id"]) for r in sampling._filled(frame, quota, "label", sampling.draw(7, "event_id"), "event_id").collect()}
+    want = {(r["label"], r["event_id"]) for k, n in ((0, 1), (1, 100), (2, 233)) for r in [x for x in ranked if x["label"] == k][:n]}
+    assert got == want
+    one_instant = frame.select("event_id", F.lit("2024-01-01 00:00:00").alias("t")).repartition(5)
+    kept = first_rows(one_instant, 333, "t", "event_id")
+    assert sorted(r["event_id"] for r in kept.collect()) == list(range(333))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert first_rows(one_instant, None, "t", "event_id").count() == 700 == first_rows(one_instant, 900, "t", "event_id").count()
