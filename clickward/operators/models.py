@@ -1,4 +1,4 @@
-"""Classifiers on MLlib: preprocessing, fits, bags, calibration, importances.
+"""Classifiers: preprocessing, fits, bags, calibration, importances. Linear models are MLlib's, trees are `trees`.
 
 Frames come in with feature columns, an integer target and a row id. Training
 runs on the executors; only fitted models are on the driver.
@@ -15,16 +15,18 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickward.operators.features import Track
-from clickward.operators.sampling import bag_subsample
+from clickward.operators.sampling import bag_flags
+from clickward.operators.trees import Ensemble, Growth, boosted_trees, grown_forest
+
+Model = PipelineModel | Ensemble
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,8 @@ class ModelConfig:
     forest_depth: int = 12
     boosted_rounds: int = 260
     boosted_depth: int = 6
+    # Rounds without a lower validation loss after which a bag stops.
+    patience: int = 50
     # Bounds the rows that the models are fitted on, never those scored or evaluated.
     max_fit_rows: int | None = None
 
@@ -145,18 +149,8 @@ def logistic(target: str, rows: int, iterations: int) -> LogisticRegression:
     )
 
 
-def forest(target: str, config: ModelConfig) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        labelCol=target,
-        weightCol="_weight",
-        numTrees=config.forest_trees,
-        maxDepth=config.forest_depth,
-        featureSubsetStrategy="sqrt",
-        seed=config.seed,
-    )
-
-
 def boosted(target: str, config: ModelConfig) -> GBTClassifier:
+    """MLlib's boosting, for pipelines that are stored as such."""
     return GBTClassifier(
         labelCol=target,
         weightCol="_weight",
@@ -179,86 +173,114 @@ def positive_probability(transformed: DataFrame, out: str) -> DataFrame:
     return transformed.withColumn(out, F.get(vector_to_array("probability"), F.lit(1)))
 
 
-def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str = "p") -> DataFrame:
+def predict(model: Model, df: DataFrame, features: Sequence[str], out: str = "p") -> DataFrame:
     """The frame with the probability of class 1."""
+    if isinstance(model, Ensemble):
+        return model.transform(df, out)
     scored = positive_probability(model.transform(ready_numbers(df, features)), out)
     return scored.select(*[F.col(c) for c in df.columns], out)
 
 
-def baseline_models(df: DataFrame, features: Sequence[str], config: ModelConfig) -> dict[str, tuple[PipelineModel, float]]:
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    if isinstance(model, Ensemble):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def fit_logistic(df: DataFrame, features: Sequence[str], config: ModelConfig) -> PipelineModel:
+    """Logistic regression with balanced classes."""
+    pos, neg = class_counts(df, config.target)
+    estimator = logistic(config.target, pos + neg, config.logistic_iterations)
+    return fit(df, features, config.target, estimator, balanced_weight(config.target, pos, neg))
+
+
+def fit_forest(df: DataFrame, features: Sequence[str], config: ModelConfig, tie: str = "event_id") -> Ensemble:
+    """A forest with classes balanced inside every bootstrap."""
+    growth = Growth(depth=config.forest_depth)
+    return grown_forest(df, features, config.target, tie, config.forest_trees, growth, config.seed)
+
+
+def fit_boosted(df: DataFrame, features: Sequence[str], config: ModelConfig, tie: str = "event_id") -> Ensemble:
+    """Trees of bounded depth, positives weighing as much as the negatives."""
+    pos, neg = class_counts(df, config.target)
+    growth = Growth(depth=config.boosted_depth, min_hessian=1.0, ridge=1.0, row_share=0.85, column_share=0.8)
+    weight = positive_weight(config.target, pos, neg)
+    return boosted_trees(
+        df, features, config.target, tie, [weight], [config.seed], growth, config.boosted_rounds, rate=0.08
+    )
+
+
+def baseline_models(df: DataFrame, features: Sequence[str], config: ModelConfig) -> dict[str, tuple[Model, float]]:
     """The three single models and their training seconds."""
-    target = config.target
-    pos, neg = class_counts(df, target)
-    balanced = balanced_weight(target, pos, neg)
-    plans = {
-        "LogisticRegression": (logistic(target, pos + neg, config.logistic_iterations), balanced),
-        "RandomForest": (forest(target, config), balanced),
-        "BoostedTrees": (boosted(target, config), positive_weight(target, pos, neg)),
-    }
+    fits = {"LogisticRegression": fit_logistic, "RandomForest": fit_forest, "BoostedTrees": fit_boosted}
     out = {}
-    for name, (estimator, weight) in plans.items():
+    for name, fitted in fits.items():
         start = time.perf_counter()
-        out[name] = (fit(df, features, target, estimator, weight), time.perf_counter() - start)
+        out[name] = (fitted(df, features, config), time.perf_counter() - start)
     return out
 
 
 @dataclass(frozen=True)
 class Bagging:
-    """Fitted bags and the table describing them."""
+    """Trees of all bags, the rows of each bag, and the table describing them."""
 
-    models: tuple[PipelineModel, ...]
+    model: Ensemble
     bags: tuple[DataFrame, ...] = field(repr=False)
     manifest: DataFrame = field(repr=False)
     seconds: float = 0.0
 
     def predict(self, df: DataFrame, features: Sequence[str], out: str = "p") -> DataFrame:
         """Mean probability over the bags, in one pass over the frame."""
-        scored = ready_numbers(df, features)
-        names = []
-        for i, model in enumerate(self.models):
-            names.append(f"_bag_p{i}")
-            kept = scored.columns
-            scored = positive_probability(model.transform(scored), names[-1]).select(*kept, names[-1])
-        mean = sum((F.col(n) for n in names), F.lit(0.0)) / F.lit(float(len(names)))
-        originals = {c: F.col(c) for c in df.columns}
-        return scored.select(*originals.values(), mean.alias(out))
+        return self.model.transform(df, out)
 
 
 def bagged_boosting(
     train: DataFrame, val: DataFrame, features: Sequence[str], config: ModelConfig, tie: str = "event_id"
 ) -> Bagging:
-    """Boosted trees on seeded bags, each stopped early on the validation part."""
-    target, spark = config.target, train.sparkSession
-    depth = max(1, config.num_leaves.bit_length() - 1)
-    models, bags, rows = [], [], []
-    start = time.perf_counter()
-    for i in range(max(1, config.bag_count)):
-        seed = config.seed + i
-        bag = bag_subsample(train, target, config.neg_pos_ratio, seed, tie)
-        pos, neg = class_counts(bag, target)
+    """Boosted trees grown by leaves on seeded bags, each stopped early on the validation part.
+
+    All bags grow in the same passes over one table: a row has a weight per bag.
+    """
+    target, start = config.target, time.perf_counter()
+    seeds = [config.seed + i for i in range(max(1, config.bag_count))]
+    flags = bag_flags(train, target, config.neg_pos_ratio, seeds, tie)
+    sizes = train.agg(
+        *[F.count_if(f & (F.col(target) == c)).alias(f"n{c}_{i}") for i, f in enumerate(flags) for c in (0, 1)]
+    ).first()
+    weights = []
+    for i, flag in enumerate(flags):
         weight = F.lit(1.0)
         if config.imbalance_strategy == "subsampling_plus_weighting":
-            weight = positive_weight(target, pos, neg)
-        both = bag.withColumn("_is_val", F.lit(False)).unionByName(val.withColumn("_is_val", F.lit(True)))
-        learner = GBTClassifier(
-            labelCol=target,
-            weightCol="_weight",
-            validationIndicatorCol="_is_val",
-            maxIter=config.rounds,
-            maxDepth=depth,
-            stepSize=config.learning_rate,
-            subsamplingRate=0.9,
-            featureSubsetStrategy="0.8",
-            seed=seed,
-        )
-        models.append(fit(both, features, target, learner, weight))
-        bags.append(bag)
-        rows.append((i + 1, seed, pos + neg, pos, neg, models[-1].stages[-1].getNumTrees))
-    manifest = spark.createDataFrame(
+            weight = positive_weight(target, sizes[f"n1_{i}"], sizes[f"n0_{i}"])
+        weights.append(F.when(flag, weight))
+    both = train.withColumn("_is_val", F.lit(False)).unionByName(val.withColumn("_is_val", F.lit(True)))
+    growth = Growth(
+        leaves=max(2, config.num_leaves), min_rows=20, min_hessian=1e-3, row_share=0.9, column_share=0.8
+    )
+    model = boosted_trees(
+        both,
+        features,
+        target,
+        tie,
+        weights,
+        seeds,
+        growth,
+        config.rounds,
+        config.learning_rate,
+        held_out=F.col("_is_val"),
+        patience=config.patience,
+    )
+    rows = [
+        (i + 1, seed, sizes[f"n1_{i}"] + sizes[f"n0_{i}"], sizes[f"n1_{i}"], sizes[f"n0_{i}"], len(model.trees[i]), model.rounds[i])
+        for i, seed in enumerate(seeds)
+    ]
+    manifest = train.sparkSession.createDataFrame(
         rows,
-        "bag_index int, seed int, sample_size bigint, positive_count bigint, negative_count bigint, trees int",
+        "bag_index int, seed int, sample_size bigint, positive_count bigint, negative_count bigint, trees int, rounds int",
     )
-    return Bagging(tuple(models), tuple(bags), manifest, (time.perf_counter() - start) / len(models))
+    bags = tuple(train.where(f) for f in flags)
+    return Bagging(model, bags, manifest, (time.perf_counter() - start) / len(seeds))
 
 
 @dataclass(frozen=True)
@@ -282,8 +304,13 @@ def platt_calibration(val: DataFrame, target: str = "y", p: str = "p") -> Platt:
     return Platt(float(model.intercept), float(model.coefficients[0]))
 
 
-def feature_importance(model: PipelineModel, transformed_schema: T.StructType, top: int = 15) -> list[tuple[str, float, str]]:
-    """The heaviest features of a fitted pipeline, by importance or absolute coefficient."""
+def feature_importance(
+    model: Model, transformed_schema: T.StructType | None = None, top: int = 15
+) -> list[tuple[str, float, str]]:
+    """The heaviest features of a fitted model, by share of the trees' gains or absolute coefficient."""
+    if isinstance(model, Ensemble):
+        ranked = sorted(zip(model.binning.features, model.importances), key=lambda r: (-r[1], r[0]))
+        return [(name, float(weight), "importance") for name, weight in ranked[:top]]
     last = model.stages[-1]
     if hasattr(last, "featureImportances"):
         weights, label = last.featureImportances.toArray(), "importance"
@@ -300,8 +327,8 @@ def feature_importance(model: PipelineModel, transformed_schema: T.StructType, t
     return ranked[:top]
 
 
-def importance_table(model: PipelineModel, df: DataFrame, features: Sequence[str], top: int = 15) -> DataFrame:
-    schema = model.transform(ready_numbers(df, features)).schema
+def importance_table(model: Model, df: DataFrame, features: Sequence[str], top: int = 15) -> DataFrame:
+    schema = None if isinstance(model, Ensemble) else model.transform(ready_numbers(df, features)).schema
     return df.sparkSession.createDataFrame(
         feature_importance(model, schema, top), "feature string, importance double, metric_label string"
     )

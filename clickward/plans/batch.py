@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clickward.operators import evaluate
 from clickward.operators.features import Track
-from clickward.operators.models import ModelConfig
+from clickward.operators.models import ModelConfig, save_model
 from clickward.operators.ordering import time_order
 from clickward.operators.profile import class_counts, drift_long, drift_psi_kl, score_distribution
 from clickward.operators.rules import group_size_bounds, validation_report
@@ -125,11 +125,10 @@ def run_batch(
         write_metrics(evaluate.prob_histogram(result.best_test), paths.metrics(f"histogram/{track.value}"))
         write_metrics(acceptance_checks(result, policy), paths.metrics(f"acceptance/{track.value}"))
         for name, (model, _) in result.fitted.singles.items():
-            model.write().overwrite().save(paths.models(f"{track.value}/{name}"))
+            save_model(spark, model, paths.models(f"{track.value}/{name}"))
         if result.fitted.bagging:
             write_metrics(result.fitted.bagging.manifest, paths.metrics(f"bags/{track.value}"))
-            for i, model in enumerate(result.fitted.bagging.models):
-                model.write().overwrite().save(paths.models(f"{track.value}/bag_{i + 1}"))
+            save_model(spark, result.fitted.bagging.model, paths.models(f"{track.value}/BaggedBoosting"))
     write_metrics(evaluate.track_union(*[r.board for r in results.values()]), paths.metrics("models/all"))
 
     stability = None

@@ -6,7 +6,6 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from clickward.operators import evaluate, models, splits
 from clickward.operators.clean import clean_target, click_unix, prepare_events, require_two_classes, safe_features
 from clickward.operators.encoding import EncodingInfo, rate_features
 from clickward.operators.features import Track, count_features, delta_features
-from clickward.operators.models import Bagging, ModelConfig, Platt
+from clickward.operators.models import Bagging, Model, ModelConfig, Platt
 from clickward.operators.ordering import time_order
 from clickward.operators.sampling import bag_overlap, stratified_sample
 from clickward.session import SkewPolicy, materialize
@@ -76,15 +75,18 @@ def feature_matrix(curated: DataFrame, config: ModelConfig, policy: SkewPolicy |
 class Fitted:
     """Models of a run and their written predictions (model, variant, split, event_id, y, p)."""
 
-    singles: dict[str, tuple[PipelineModel, float]]
+    singles: dict[str, tuple[Model, float]]
     bagging: Bagging | None
     calibration: Platt | None
     predictions: DataFrame = field(repr=False)
     seconds: float = 0.0
 
 
-def fit_models(matrix: Matrix, family: str = "all") -> Fitted:
-    """Fit the single models, the bags, or both; score validation and test rows."""
+def fit_models(matrix: Matrix, family: str = "all", bagging: Bagging | None = None) -> Fitted:
+    """Fit the single models, the bags, or both; score validation and test rows.
+
+    `bagging` is an earlier fit of the same matrix and settings, to be used again.
+    """
     if family not in ("baseline", "bagging", "all"):
         raise ValueError("family must be one of: baseline, bagging, all")
     start = time.perf_counter()
@@ -98,9 +100,11 @@ def fit_models(matrix: Matrix, family: str = "all") -> Fitted:
         _predictions(models.predict(model, holdout, features), target, name, "uncalibrated")
         for name, (model, _) in singles.items()
     ]
-    bagging = calibration = None
-    if family != "baseline":
-        bagging = models.bagged_boosting(train, val, features, config)
+    calibration = None
+    if family == "baseline":
+        bagging = None
+    else:
+        bagging = bagging or models.bagged_boosting(train, val, features, config)
         raw = materialize(
             _predictions(bagging.predict(holdout, features), target, "BaggedBoosting", "uncalibrated"), "bagged"
         )
@@ -173,19 +177,20 @@ def run_track(
     family: str = "all",
     policy: SkewPolicy | None = None,
     matrix: Matrix | None = None,
+    bagging: Bagging | None = None,
 ) -> TrackResult:
     """Matrix, fits, leaderboard, threshold and ranking tables of one track.
 
     A model is ranked by its calibrated variant where it has one. The threshold
     is chosen on validation rows and reported on test rows. A `matrix` of the
-    same track can be passed on: it does not depend on the seed.
+    same track can be passed on: it does not depend on the seed. So can bags of the same matrix and seed.
     """
     start = time.perf_counter()
     if matrix is None:
         matrix = feature_matrix(curated, config, policy)
     else:
         matrix = replace(matrix, config=config.check())
-    fitted = fit_models(matrix, family)
+    fitted = fit_models(matrix, family, bagging)
     board = materialize(
         evaluate.leaderboard(metric_table(fitted.predictions, config.track, policy), "model", "variant"), "board"
     )

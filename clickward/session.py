@@ -81,6 +81,20 @@ def clear_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table that nothing reads any more."""
+    if not path.startswith(_owned(spark)):
+        raise ValueError(f"{path} is no scratch table of this application")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialize_at(df, path: str):
+    """Write a frame to a scratch path and read it back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df, name: str = "frame"):
     """Write a frame to the scratch folder and read it back.
 

@@ -87,14 +87,18 @@ def score_batch(df: DataFrame, model, features: Sequence[str] | None = None) ->
     if model is None:
         return df
     from clickward.operators.models import model_inputs, positive_probability, ready_numbers
+    from clickward.operators.trees import Ensemble
 
     nothing = {"pred_fraud_proba": F.lit(None).cast("double"), "pred_is_fraud": F.lit(None).cast("int")}
     keys = list(df.columns)
     try:
-        used = list(features) if features is not None else model_inputs(model)
-        # The filled copies serve the model only; the frame keeps its own values.
-        held = df.withColumn("_row", F.struct(*keys))
-        scored = positive_probability(model.transform(ready_numbers(held, used)), "_p").select("_row.*", "_p")
+        if isinstance(model, Ensemble):
+            scored = model.transform(df, "_p")
+        else:
+            used = list(features) if features is not None else model_inputs(model)
+            # The filled copies serve the model only; the frame keeps its own values.
+            held = df.withColumn("_row", F.struct(*keys))
+            scored = positive_probability(model.transform(ready_numbers(held, used)), "_p").select("_row.*", "_p")
     except (AnalysisException, IllegalArgumentException) as error:
         return df.withColumns({**nothing, "pred_error": F.lit(str(error))})
     known = F.col("_p").isNotNull() & ~F.isnan("_p")

@@ -13,11 +13,24 @@ from clickward.operators.clean import safe_features
 from clickward.operators.features import Track
 from clickward.plans import modelling
 from clickward.plans.batch import run_batch
-from clickward.plans.queries.models import SMALL
 from clickward.session import scratch_path
 from clickward.streaming.trust_stream import score_batch
 
-TINY = SMALL.with_(rounds=3, num_leaves=8, forest_trees=5, boosted_rounds=3, logistic_iterations=20, min_val_positives=5, min_test_positives=5)
+# A run of seconds; the registered queries run the defaults.
+TINY = models.ModelConfig(
+    bag_count=2,
+    neg_pos_ratio=2,
+    rounds=3,
+    num_leaves=8,
+    learning_rate=0.1,
+    min_val_positives=5,
+    min_test_positives=5,
+    logistic_iterations=20,
+    forest_trees=5,
+    forest_depth=6,
+    boosted_rounds=3,
+    boosted_depth=4,
+)
 
 
 def clicks_with_signal(spark, rows):
