@@ -13,71 +13,96 @@ plan is the plain window and families that share a key share one exchange.
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickward.session import SkewPolicy
 
 
 @dataclass(frozen=True)
 class Order:
-    """A total order: sort columns, and a number that never falls along it.
+    """A total order: sort columns, and numbers that say where a row lies along it.
 
-    Both are built when used, so that an order can be named before a session exists.
+    `positions` go from coarse to fine: the first number never falls along the order, each further one
+    never falls among rows that agree in all before. All are built when used, so that an order can be
+    named before a session exists.
     """
 
     columns: tuple[str, ...]
     sorting: Callable[[], Sequence[Column]]
-    position: Callable[[DataFrame], Column]
+    positions: Callable[[DataFrame], Sequence[Column]]
 
     @property
     def sort(self) -> list[Column]:
         return list(self.sorting())
 
 
+# A missing value's position, before all others; times and ids of any table lie above it.
+LOWEST = -float(2**63)
+# Bytes of a text that one exact number holds, and how many such numbers tell texts apart.
+TEXT_BYTES = 6
+TEXT_POSITIONS = 32
+
+
+def _numeric(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.NumericType)
+
+
+def _position(value: Column) -> Column:
+    return F.coalesce(value.cast("double"), F.lit(LOWEST))
+
+
+def _time_positions(df: DataFrame, micros: Column, tie: str) -> list[Column]:
+    return [_position(micros), *([_position(F.col(tie))] if _numeric(df, tie) else _text_positions(tie))]
+
+
+def _text_positions(column: str) -> list[Column]:
+    data = F.hex(F.col(column).cast("string").cast("binary"))
+
+    def piece(i: int) -> Column:
+        digits = F.substring(data, 2 * TEXT_BYTES * i + 1, 2 * TEXT_BYTES)
+        return _position(F.conv(F.rpad(digits, 2 * TEXT_BYTES, "0"), 16, 10))
+
+    return [piece(i) for i in range(TEXT_POSITIONS)]
+
+
 def time_order(ts: str = "click_time_ts", tie: str = "event_id") -> Order:
     """Order by time, ties by id; rows without a time come first."""
 
     return Order(
         (ts, tie),
         lambda: (F.col(ts).asc_nulls_first(), F.col(tie).asc()),
-        lambda df: _time_position(df, F.unix_micros(F.col(ts)), tie),
+        lambda df: _time_positions(df, F.unix_micros(F.col(ts)), tie),
     )
 
 
-def _time_position(df: DataFrame, micros: Column, tie: str) -> Column:
-    """Microseconds since the first time plus the id's place between 0 and 1, so
-    that rows of one instant can be told apart; -1 instead of a missing time."""
-    low = df.agg(F.min(micros).alias("t"), F.min(tie).alias("a"), F.max(tie).alias("b")).first()
-    start = low["t"] or 0
-    fraction = (F.col(tie) - F.lit(low["a"])) / F.lit(float(low["b"] - low["a"] + 1))
-    return F.coalesce(micros - F.lit(start), F.lit(-1)).cast("double") + fraction
-
-
 def number_order(*columns: str, descending: bool = False) -> Order:
-    """Order by numeric columns. Slices follow the first one only, so its ties
-    stay together: the caller makes sure that such ties are few."""
+    """Order by numeric columns; the last ones may be texts."""
     first, *rest = columns
 
     def sorting() -> list[Column]:
         return [F.col(first).desc() if descending else F.col(first).asc(), *(F.col(c).asc() for c in rest)]
 
-    return Order(columns, sorting, lambda df: F.col(first).cast("double") * F.lit(-1.0 if descending else 1.0))
+    def positions(df: DataFrame) -> list[Column]:
+        out = [F.col(first).cast("double") * F.lit(-1.0) if descending else _position(F.col(first))]
+        for c in rest:
+            out += [_position(F.col(c))] if _numeric(df, c) else _text_positions(c)
+        return out
 
+    return Order(columns, sorting, positions)
 
-def text_order(column: str) -> Order:
-    """Order by text; its first six bytes place a row in a slice."""
-
-    def position(df: DataFrame) -> Column:
-        head = F.hex(F.substring(F.col(column).cast("binary"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
 
-    return Order((column,), lambda: (F.col(column).asc(),), position)
+def text_order(column: str) -> Order:
+    """Order by text."""
+    return Order((column,), lambda: (F.col(column).asc(),), lambda df: _text_positions(column))
 
 
 def text_time_order(ts: str = "click_time", tie: str = "event_id") -> Order:
@@ -89,7 +114,7 @@ def text_time_order(ts: str = "click_time", tie: str = "event_id") -> Order:
     return Order(
         (ts, tie),
         lambda: (moment().asc_nulls_first(), F.col(tie).asc()),
-        lambda df: _time_position(df, F.unix_micros(moment()), tie),
+        lambda df: _time_positions(df, F.unix_micros(moment()), tie),
     )
 
 
@@ -153,22 +178,82 @@ def _null_safe_left(df: DataFrame, small: DataFrame, keys: Sequence[str], bounde
 
 
 def order_slices(df: DataFrame, order: Order, rows: int, policy: SkewPolicy, out: str) -> tuple[DataFrame, int]:
-    """Add an equal-depth slice number along the order (0 .. n-1)."""
+    """Add an equal-depth slice number along the order (0 .. n-1).
+
+    Cuts are quantiles of the first position. A value that fills several slices by itself, like one instant
+    of very many rows, becomes a slice of its own, which the next position cuts in the same way.
+    """
     wanted = min(policy.max_slices, max(1, math.ceil(rows / policy.max_group_rows)))
     if wanted == 1:
         return df.withColumn(out, F.lit(0)), 1
-    value = order.position(df)
-    shares = [i / wanted for i in range(1, wanted)]
-    edges = df.agg(F.percentile_approx(value, shares, max(10_000, 8 * wanted)).alias("e")).first()["e"]
-    cuts = sorted(set(edges or []))
-    if not cuts:
-        return df.withColumn(out, F.lit(0)), 1
-    raw = f"{out}_position"
-    bucketizer = Bucketizer(
-        splits=[-math.inf, *cuts, math.inf], inputCol=raw, outputCol=out, handleInvalid="keep"
-    )
-    sliced = bucketizer.transform(df.withColumn(raw, value)).withColumn(out, F.col(out).cast("int"))
-    return sliced.drop(raw), len(cuts) + 1
+    found, sliced, slices = {0: wanted}, df.withColumn(out, F.lit(0)), 1
+    for position in order.positions(df):
+        cut = _cuts(sliced, out, position, found)
+        ranges, found, start = [], {}, 0
+        for s in range(slices):
+            edges, full = cut.get(s, ((), {}))
+            ranges.append((s, start, *_stairs(edges)))
+            found |= {start + place: count for place, count in full.items()}
+            start += len(edges) + 1
+        sliced, slices = _placed(sliced, out, position, ranges), start
+        if not found:
+            break
+    return sliced, slices
+
+
+def _cuts(df: DataFrame, out: str, position: Column, pieces: dict[int, int]) -> dict[int, tuple[list[float], dict[int, int]]]:
+    """For slices that have to be cut into so many pieces: the edges between them, and which of the new
+    pieces are one value that has to be cut again, into how many.
+
+    There are as many quantiles as slices, so all of this is bounded by the policy.
+    """
+    most = max(pieces.values())
+    shares = [i / most for i in range(1, most)]
+    if not shares:
+        return {}
+    chosen = df.where(F.col(out).isin(list(pieces)))
+    sketch = F.percentile_approx(position, shares, max(10_000, 8 * most)).alias("e")
+    found = {r[out]: r["e"] for r in chosen.groupBy(out).agg(sketch).collect()}
+    result = {}
+    for s, quantiles in found.items():
+        n = pieces[s]
+        taken = [quantiles[min(len(quantiles) - 1, round(i * most / n) - 1)] for i in range(1, n)]
+        often = Counter(taken)
+        heavy = {v: k + 1 for v, k in often.items() if k > 1}
+        edges = sorted({*often, *(math.nextafter(v, math.inf) for v in heavy)})
+        result[s] = edges, {bisect.bisect_right(edges, v): k for v, k in heavy.items()}
+    return result
+
+
+def _stairs(edges: Sequence[float]) -> tuple[list[float], list[list[float]]]:
+    """Edges in steps, so that a row is compared with the steps and the edges of one of them only."""
+    step = max(1, math.isqrt(len(edges)))
+    parts = [list(edges[i : i + step]) for i in range(0, len(edges), step)]
+    return [p[0] for p in parts], parts
+
+
+def _placed(df: DataFrame, out: str, position: Column, ranges: list[tuple]) -> DataFrame:
+    """Renumber slices: where one starts now, and how many of its edges a row has passed."""
+    if len(ranges) == 1:
+        edges = [e for part in ranges[0][3] for e in part]
+        if not edges:
+            return df
+        raw = f"{out}_position"
+        cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol=raw, outputCol=out, handleInvalid="keep")
+        return cut.transform(df.drop(out).withColumn(raw, position)).withColumn(out, F.col(out).cast("int")).drop(raw)
+    schema = f"{out} int, _start int, _steps array<double>, _edges array<array<double>>"
+    table = df.sparkSession.createDataFrame(ranges, schema)
+    value = position
+
+    def passed(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda e: e <= value))
+
+    step = passed(F.col("_steps"))
+    width = F.size(F.get("_edges", F.lit(0)))
+    within = F.when(step == 0, F.lit(0)).otherwise((step - 1) * width + passed(F.get("_edges", step - 1)))
+    moved = df.join(F.broadcast(table), out)
+    placed = F.when(F.size("_steps") == 0, F.col("_start")).otherwise(F.col("_start") + within)
+    return moved.withColumn(out, placed.cast("int")).drop("_start", "_steps", "_edges")
 
 
 def split_families(

@@ -55,15 +55,16 @@ def rule_uniqueness(spark, sf_dir):
     sql.with_(
         sql.DIRTY,
         sql.TYPED,
-        sql.shares("typed"),
-        sql.baseline(top=20),
+        sql.TYPED.replace("typed AS (", "typed_clean AS (", 1).replace("FROM clicks)", "FROM pure)"),
+        sql.shares("typed_clean"),
+        sql.baseline(),
         select=f"SELECT event_id, ({sql.KNOWN}) AS rule_drift FROM typed",
     ),
 )
 def rule_drift(spark, sf_dir):
-    """Against the 20 most frequent values of each column, so that both outcomes occur."""
-    typed = _typed(spark, sf_dir)
-    return ops.mark_known_values(typed, profile.baseline_stats(typed, top=20)).select("event_id", "rule_drift")
+    """Dirty clicks against the whole profile of the clean ones."""
+    known = profile.baseline_stats(cast_events(clicks_clean(spark, sf_dir)))
+    return ops.mark_known_values(_typed(spark, sf_dir), known).select("event_id", "rule_drift")
 
 
 BOUNDS = ("q1", "q3", "iqr", "lower_bound", "upper_bound")

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from paths import SMALL_DIR
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clickward.operators import ordering
@@ -124,3 +125,36 @@ def test_null_is_a_key_like_any_other(spark):
     split, groups = ordering.split_groups(frame, ["ip"], order, TIGHT)
     counted = ordering.prior_count(split, groups, order, "n", TIGHT).toPandas().sort_values("event_id")
     assert counted["n"].tolist() == counted.groupby("ip", dropna=False).cumcount().tolist()
+
+
+def test_slices_of_one_instant_and_of_texts_with_a_common_start(spark):
+    """5,000 rows of one instant among far dates, and 5,000 addresses with one start, under a limit of 100."""
+    policy = SkewPolicy(max_group_rows=100)
+    instant = F.when(F.col("id") < 5000, F.lit(1_700_000_000)).otherwise((F.col("id") - 5000) * 3_000_000)
+    frame = spark.range(5600).select(
+        F.when(F.col("id") != 5100, F.timestamp_seconds(instant)).alias("click_time_ts"),
+        (F.col("id") * 7919 % 5600).alias("event_id"),
+        F.concat(F.lit("https://www.example.com/a/long/path/"), F.lpad(F.hex("id"), 6, "0")).alias("url"),
+    )
+    for order in (ordering.time_order(), ordering.text_order("url"), ordering.number_order("event_id", descending=True)):
+        sliced, slices = ordering.order_slices(frame.repartition(7), order, 5600, policy, "s")
+        rows = sliced.groupBy("s").count().collect()
+        assert max(r["count"] for r in rows) < 300 and len(rows) <= slices <= 4 * 56
+        placed = sliced.withColumn("place", F.row_number().over(Window.orderBy(*order.sort))).select("place", "s").orderBy("place").collect()
+        assert [r["s"] for r in placed] == sorted(r["s"] for r in placed)
+    index = ordering.global_index(frame, ordering.time_order(), policy=policy)
+    want = frame.withColumn("n", F.row_number().over(Window.orderBy(*ordering.time_order().sort)) - 1)
+    assert index.join(want, "event_id").where("idx != n").count() == 0
+
+
+def test_few_values_and_nested_ties_are_sliced_in_order(spark):
+    policy = SkewPolicy(max_group_rows=50)
+    frame = spark.range(4000).select(
+        F.expr("id % 3").alias("a"), F.when(F.col("id") % 5 > 0, F.expr("id % 7")).alias("b"), F.col("id").alias("c")
+    )
+    order = ordering.number_order("a", "b", "c")
+    sliced, _ = ordering.order_slices(frame.repartition(5), order, 4000, policy, "s")
+    assert max(r["count"] for r in sliced.groupBy("s").count().collect()) < 150
+    placed = sliced.select("s", "a", "b", "c").collect()
+    key = lambda r: (r["a"], r["b"] is not None, r["b"] or 0, r["c"])
+    assert [r["s"] for r in sorted(placed, key=key)] == sorted(r["s"] for r in placed)
