@@ -1,20 +1,23 @@
 """Secret scans in DataFrame functions only: known shapes, and sliding-window entropy for the rest.
 
 Known shapes are found by regular expressions, leftmost and without overlap
-per kind. Further candidates are runs of token characters with a digit in
-them. Each belongs to a character class (hexadecimal or base64), and a window
-of `WINDOW` characters slides over it. The window's Shannon entropy follows
+per kind. Further candidates are runs of token characters. Each belongs to a
+character class (hexadecimal, letters of one case, letters or digits of one
+case, letters, anything), and a window of `WINDOW` characters slides over it. The window's Shannon entropy follows
 from the sum of c * log2(c) over its symbol counts c; a step changes only the
 counts of the symbol that leaves and the one that enters, so the sum is kept
 up to date by two differences. A candidate whose highest window entropy
 reaches its class's limit is reported, unless the allow-list names it (known
-examples and placeholders, identifiers, digests announced as such, runs of the
-alphabet) or a known shape already covers part of it. The allow-list never
+examples and placeholders, identifiers, names in camel case, digests announced
+as such, runs of the alphabet) or a known shape already covers part of it. The allow-list never
 removes a known shape.
 
 Positions come from the lengths of matches and of the gaps between them, one
 row each, summed up in a window per text: linear in a text's matches.
 
+Every step is linear in a text, however long its runs are. Candidates that tie
+in entropy are all reported.
+
 Defined cases: a null or empty text has no span; rows without doc_id are left
 out; repeated rows are reported again; an empty table gives an empty result;
 further columns are ignored. Positions are code points, from 0, end exclusive.
@@ -34,14 +37,22 @@ WINDOW = 20
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-# Bits a window must reach, by character class.
-HEX_BITS, BASE64_BITS = 3.0, 3.9
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+# Character classes of candidates, the first that fits counts, and the bits a window must reach. Nine of
+# ten random strings of 20 characters reach their class's limit; words reach 3.6 bits and several in a row 3.7, so
+# letters of one case need more than that and are found as surely only from 40 characters on.
+CLASSES = (
+    (r"^([0-9a-f]+|[0-9A-F]+)$", 3.1),
+    (r"^([A-Z]?[a-z]+|[A-Z]+)$", 3.7),
+    (r"^([a-z0-9]+|[A-Z0-9]+)$", 3.6),
+    (r"^[A-Za-z]+$", 3.75),
+    (r"", 3.8),
+)
 # What is no secret though it looks random.
 ALLOWED = (
     r"(?i)example|placeholder|dummy|changeme|sample|redacted|xxxx|0123456789|abcdefghij|lorem"
     r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-    r"|^[0-9_/=+-]+$|^[A-Za-z]+([_/-][A-Za-z0-9]{1,12})+$"
+    r"|^[0-9_/=+-]+$|^[A-Za-z]+([_/-][A-Za-z0-9]{1,12})+$|(?-i:^[a-z]*([A-Z][a-z]+){2,}$)"
 )
 ALLOWED_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|integrity|checksum|digest|commit|etag|uuid|guid|isbn|doi)[\x20:=\"'-]*$"
 
@@ -137,7 +148,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     least = F.get(F.array(*[F.lit(k.least) for k in KINDS]), F.col("rank"))
     long_enough = placed.where((F.col("rank") < 0) | (F.col("value") >= least))
 
-    bits = F.when(F.col("text").rlike("^[0-9a-fA-F]+$"), HEX_BITS).otherwise(BASE64_BITS)
+    bits = F.coalesce(*[F.when(F.col("text").rlike(pattern), F.lit(limit)) for pattern, limit in CLASSES])
     allowed = F.col("text").rlike(ALLOWED) | F.col("before").rlike(ALLOWED_BEFORE)
     random = F.when(F.col("rank") == BASE, ~allowed & (peak_entropy(F.col("text")) >= bits)).otherwise(True)
     kept = long_enough.where(random)

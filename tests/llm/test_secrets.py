@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -67,3 +70,39 @@ def test_edges(documents):
     assert secret_report(documents([])).count() == 0
     rows = secret_report(documents([(1, "token=abcdef"), (1, "token=abcdef"), (None, "token=abcdef")])).collect()
     assert [(r.doc_id, r.spans) for r in rows] == [(1, "assign:0:12")] * 2
+
+
+def test_random_tokens_of_every_class(documents):
+    """Nine of ten of 20 characters; letters of one case at 40, as words are too close below."""
+    rng = random.Random(8)
+    classes = {
+        "hex": ("0123456789ABCDEF", 20),
+        "lower": (string.ascii_lowercase + string.digits, 20),
+        "upper": (string.ascii_uppercase + string.digits, 20),
+        "letters": (string.ascii_letters, 20),
+        "base62": (string.ascii_letters + string.digits, 20),
+        "base64": (string.ascii_letters + string.digits + "+/", 20),
+        "one case": (string.ascii_lowercase, 40),
+    }
+    tokens = [(n, "".join(rng.choices(a, k=k))) for n, (a, k) in classes.items() for _ in range(300)]
+    got = {r.doc_id: r.spans for r in secret_report(documents([(i, f"x {t} y") for i, (_, t) in enumerate(tokens)])).collect()}
+    found = Counter(n for i, (n, t) in enumerate(tokens) if got[i])
+    assert all(found[n] >= 0.88 * 300 for n in classes), found
+
+
+def test_given_texts_have_no_secret_words(sf_docs):
+    """Runs of letters in the given texts are words."""
+    texts = {r.doc_id: r.text for r in sf_docs.collect()}
+    for r in secret_report(sf_docs).collect():
+        for span in filter(None, r.spans.split(",")):
+            kind, a, b = span.split(":")
+            assert kind != "entropy" or not texts[r.doc_id][int(a) : int(b)].isalpha()
+
+
+def test_names_and_long_runs(documents):
+    names = "getElementsByTagNameAndClass some-path/with/words-10/in-it AbstractSingletonProxyFactoryBean"
+    rng = random.Random(9)
+    start = time.perf_counter()
+    rows = [(1, names), (2, "".join(rng.choices("abc", k=1_000_000))), (3, "a" * 1_000_000)]
+    assert [r.spans for r in secret_report(documents(rows)).orderBy("doc_id").collect()] == [""] * 3
+    assert time.perf_counter() - start < 120
