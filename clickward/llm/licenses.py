@@ -6,7 +6,10 @@ inverted index hash -> (template, place). All word grams of a document are
 looked up in it; hits of one template whose diagonals lie close together are a
 candidate. The template is then aligned with the document inside a band around
 that diagonal, and the alignment gives the matched words, the coverage of the
-template and the span in the text. Of overlapping spans the one with the most
+template and the span in the text. Parts of a template that follow each other
+with other words between them, more than the band allows, count as one match.
+A template below `SHORT` words has to match as a whole, as its words hardly
+differ from those of another license; a longer one by `COVERAGE`. Of overlapping spans the one with the most
 matched words stays, of equals that of the shorter template, then the tighter one, so a short notice inside a long one is not reported twice.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, ASCII lower
@@ -35,6 +38,11 @@ GRAM = 3
 WINNOW = 2
 BAND = 8
 COVERAGE = 0.6
+# Templates of fewer words must match as a whole.
+SHORT = 15
+# Words that may lie between two parts of one template, and the least share of it in a part.
+BETWEEN = 64
+PART = 0.15
 SEEN = 0.15
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -82,6 +90,20 @@ TEMPLATES = {
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
         MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSD-named": "Released under the BSD License.",
+    "Boost-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "Boost-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the
+        software and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+        distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+        third-parties to whom the Software is furnished to do so""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors
+        be held liable for any damages arising from the use of this software. Permission is granted to anyone to use
+        this software for any purpose, including commercial applications, and to alter it and redistribute it freely""",
+    "EPL-2.0-notice": """This program and the accompanying materials are made available under the terms of the Eclipse
+        Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0""",
+    "CC0-1.0": """To the extent possible under law, the author has waived all copyright and related or neighboring rights
+        to this work.""",
+    "CC0-1.0-notice": "Dedicated to the public domain under CC0 1.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -175,6 +197,17 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tupl
     return best[1], -best[2], best[3]
 
 
+def _joined(parts: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """Parts of one template in text order, those that complete each other as one."""
+    out: list[tuple[int, int, int]] = []
+    for matched, first, end in sorted((p for p in parts if p[0] >= PART * size), key=lambda p: (p[1], p[2])):
+        if out and 0 <= first - out[-1][2] <= BETWEEN and out[-1][0] + matched <= size:
+            out[-1] = out[-1][0] + matched, out[-1][1], end
+        elif not out or first >= out[-1][2] or matched > out[-1][0]:
+            out.append((matched, first, end))
+    return out
+
+
 def scan(hashes: np.ndarray, found: np.ndarray, values: np.ndarray) -> list[tuple[str, int, int, int, int]]:
     """(template, words, matched, first word, end word) in one text; `found` are the places of its indexed grams."""
     templates, _, postings = index()
@@ -188,14 +221,16 @@ def scan(hashes: np.ndarray, found: np.ndarray, values: np.ndarray) -> list[tupl
         band = min(BAND, len(template) // 3)
         starts.sort()
         group: list[int] = []
+        parts: list[tuple[int, int, int]] = []
         for start in [*starts, None]:
             if group and (start is None or start - group[-1] > band):
                 if len(group) >= SEEN * fingerprints:
-                    matched, first, end = align(template, hashes, group[len(group) // 2], band)
-                    if matched >= COVERAGE * len(template):
-                        spans.append((matched, -len(template), first - end, -first, end, name))
+                    parts.append(align(template, hashes, group[len(group) // 2], band))
                 group = []
             group.append(start)
+        for matched, first, end in _joined(parts, len(template)):
+            if matched >= (COVERAGE if len(template) >= SHORT else 1) * len(template):
+                spans.append((matched, -len(template), first - end, -first, end, name))
     spans.sort(reverse=True)
     taken: list[tuple[int, int]] = []
     kept = []

@@ -44,3 +44,53 @@ def test_winnow_keeps_one_in_every_window():
     values = np.random.default_rng(0).integers(0, 50, 200).astype(np.uint64)
     kept = set(winnow(values, 4))
     assert all(kept & set(range(i, i + 4)) for i in range(197)) and len(kept) < 120
+
+
+def test_no_other_license_is_named(documents):
+    texts = [
+        "Released under the BSD License.",
+        "Released under the Apache License.",
+        "Released under the GNU GPL v2.",
+        "Licensed under the GNU General Public License",
+        "This work is licensed under the terms of our shop, version 3.",
+    ]
+    got = rows(license_spans(documents(list(enumerate(texts)))))
+    assert got == [(0, "BSD-named", 0, 30)]
+
+
+def test_words_put_into_a_template(documents):
+    mit = TEMPLATES["MIT"].split()
+    long = " ".join(mit[:40] + [f"inserted{i}" for i in range(12)] + mit[40:])
+    twice = TEMPLATES["MIT"] + " and " + TEMPLATES["MIT"]
+    got = license_spans(documents([(1, long), (2, twice), (3, " ".join(mit[:30]))])).collect()
+    assert sorted((r.doc_id, r.license, r.span_start, r.span_end) for r in got if r.license == "MIT") == [
+        (1, "MIT", 0, len(long) - 1),
+        (2, "MIT", 0, len(TEMPLATES["MIT"]) - 1),
+        (2, "MIT", len(TEMPLATES["MIT"]) + 5, len(twice) - 1),
+    ]
+    assert not [r for r in got if r.doc_id == 3]
+
+
+def best_alignment(template, text):
+    """All cells, without a band: the most matched words of a local alignment of the best score."""
+    score = np.zeros((len(template) + 1, len(text) + 1))
+    matches = np.zeros_like(score)
+    for i, a in enumerate(template, 1):
+        for j, b in enumerate(text, 1):
+            hit = a == b
+            options = [(score[i - 1, j - 1] + (1 if hit else -0.5), matches[i - 1, j - 1] + hit)]
+            options += [(score[i - 1, j] - 0.5, matches[i - 1, j]), (score[i, j - 1] - 0.5, matches[i, j - 1]), (0, 0)]
+            score[i, j], matches[i, j] = max(options)
+    return int(max(zip(score.ravel(), matches.ravel()))[1])
+
+
+def test_coverage_is_that_of_an_alignment_without_a_band(documents):
+    rng = np.random.default_rng(2)
+    for name in ("MIT", "ISC", "Apache-2.0", "GPL"):
+        template = re.findall("[a-z0-9]+", TEMPLATES[name].lower())
+        changed = list(template)
+        for _ in range(len(template) // 9):
+            i = int(rng.integers(len(changed)))
+            changed[i : i + 1] = [["word"], [], [changed[i], "more"]][int(rng.integers(3))]
+        found = license_spans(documents([(1, "some words before " + " ".join(changed) + " and after")])).collect()
+        assert [r.n_matched for r in found if r.license == name] == [best_alignment(template, changed)]
