@@ -8,45 +8,29 @@ own output, metric row and audit entry.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from clickward.operators.clean import cast_events
 from clickward.operators.ordering import time_order
 from clickward.plans.trust import first_baseline, trust_frames
-from clickward.session import SkewPolicy
+from clickward.session import SkewPolicy, scratch_path
 from clickward.sources.audit_log import append_batch
 from clickward.sources.events import with_row_ids
 from clickward.sources.sinks import write_metrics, write_stream_batch
 
 METRIC_SCHEMA = "batch_id bigint, records bigint, latency_sec double, throughput_rps double, source_mode string"
-PROGRESS_SCHEMA = T.StructType(
-    [
-        T.StructField("batch_id", T.LongType()),
-        T.StructField("timestamp", T.StringType()),
-        T.StructField("numInputRows", T.LongType()),
-        *[
-            T.StructField(c, T.DoubleType())
-            for c in (
-                "inputRowsPerSecond",
-                "processedRowsPerSecond",
-                "triggerExecution_ms",
-                "getBatch_ms",
-                "addBatch_ms",
-                "queryPlanning_ms",
-                "walCommit_ms",
-            )
-        ],
-        T.StructField("source_mode", T.StringType()),
-    ]
+REPORT = (
+    "batchId long, timestamp string, numInputRows long, inputRowsPerSecond double, processedRowsPerSecond double, "
+    "durationMs map<string, long>"
 )
 
 
@@ -166,28 +150,75 @@ def start_stream(
     return writer.trigger(availableNow=True).start()
 
 
-class Progress:
-    """All progress reports of a query, gathered while it runs.
+class Progress(StreamingQueryListener):
+    """Every progress report of a query, as it arrives, in rows of a scratch folder.
 
-    Spark itself keeps only the last hundred; one short report per batch stays here.
+    Spark itself keeps only the last hundred reports. A listener is told of each one, however many batches
+    end between two looks; here only the reports of a short chunk wait in memory before they are written.
     """
 
-    def __init__(self, query: StreamingQuery):
-        self.query = query
-        self._reports: dict[tuple, dict] = {}
-
-    def take(self) -> None:
+    def __init__(self, query: StreamingQuery, chunk: int = 100):
+        self.query, self.chunk = query, chunk
+        self.done, self.newest = 0, None
+        self._spark = SparkSession.active()
+        self._folder = scratch_path(self._spark, "progress")
+        self._held: list[str] = []
+        self._last: dict[tuple, None] = {}
+        self._lock, self._ended = threading.RLock(), threading.Event()
+        self._spark.streams.addListener(self)
+        # What was reported before the listener was there.
+        for report in query.recentProgress:
+            self._add(report)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if str(event.progress.runId) == str(self.query.runId):
+            self._add(event.progress)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == str(self.query.runId):
+            self._ended.set()
+
+    def _add(self, report) -> None:
+        key = report.batchId, report.timestamp
+        with self._lock:
+            if key in self._last:
+                return
+            self._last[key] = None
+            if len(self._last) > 2 * self.chunk:
+                self._last.pop(next(iter(self._last)))
+            self._held.append(report.json)
+            self.done += report.numInputRows > 0
+            self.newest = report.batchId if self.newest is None else max(self.newest, report.batchId)
+            if len(self._held) >= self.chunk:
+                self.flush()
+
+    def flush(self) -> None:
+        with self._lock:
+            if self._held:
+                lines = self._spark.createDataFrame([(line,) for line in self._held], "value string").coalesce(1)
+                lines.write.mode("append").text(self._folder)
+                self._held = []
+
+    def close(self, seconds: float = 30.0) -> None:
+        """After the query has ended: wait for the last reports, then stop listening."""
+        self._ended.wait(seconds)
+        self._spark.streams.removeListener(self)
         for report in self.query.recentProgress:
-            self._reports[report["batchId"], report["timestamp"]] = report
+            self._add(report)
+        self.flush()
 
-    @property
-    def reports(self) -> list[dict]:
-        self.take()
-        return [self._reports[key] for key in sorted(self._reports)]
-
-    def batches(self) -> set[int]:
-        """Batches that had rows."""
-        return {p["batchId"] for p in self.reports if p["numInputRows"] > 0}
+    def rows(self) -> DataFrame:
+        """(value): the reports written so far, one JSON text each."""
+        self.flush()
+        if self.newest is None:
+            return self._spark.createDataFrame([], "value string")
+        return self._spark.read.text(self._folder)
 
 
 def run_until(
@@ -197,16 +228,13 @@ def run_until(
     rows or after `idle_polls` polls without a new one, where these are given."""
     seen, idle, newest = Progress(query), 0, None
     while query.isActive:
-        ended = query.awaitTermination(poll_seconds)
-        done = seen.batches()
-        if ended:
+        if query.awaitTermination(poll_seconds):
             break
-        current = max((p["batchId"] for p in seen.reports), default=None)
-        idle = idle + 1 if current == newest else 0
-        newest = current
-        if (max_batches is not None and len(done) >= max_batches) or (idle_polls is not None and idle >= idle_polls):
+        idle = idle + 1 if seen.newest == newest else 0
+        newest = seen.newest
+        if (max_batches is not None and seen.done >= max_batches) or (idle_polls is not None and idle >= idle_polls):
             query.stop()
-    seen.take()
+    seen.close()
     return seen
 
 
@@ -217,24 +245,22 @@ def run_available(raw: DataFrame, paths: StreamPaths, source_mode: str = "file",
 
 def stream_progress(progress: Progress, source_mode: str = "file") -> DataFrame:
     """One row per progress report: rows, rates and the parts of the batch time."""
-    rows = []
-    for p in progress.reports:
-        spent = p["durationMs"] or {}
-        rows.append(
-            (
-                int(p["batchId"]),
-                p["timestamp"],
-                int(p["numInputRows"] or 0),
-                float(p.get("inputRowsPerSecond") or 0.0),
-                float(p.get("processedRowsPerSecond") or 0.0),
-                *[
-                    float(spent.get(k, 0) or 0)
-                    for k in ("triggerExecution", "getBatch", "addBatch", "queryPlanning", "walCommit")
-                ],
-                source_mode,
-            )
-        )
-    return SparkSession.active().createDataFrame(rows, PROGRESS_SCHEMA)
+    report = F.from_json("value", REPORT)
+    spent = ("triggerExecution", "getBatch", "addBatch", "queryPlanning", "walCommit")
+
+    def number(column: Column) -> Column:
+        return F.coalesce(column, F.lit(0.0))
+
+    parsed = progress.rows().select(report.alias("r"))
+    return parsed.select(
+        F.col("r.batchId").alias("batch_id"),
+        F.col("r.timestamp").alias("timestamp"),
+        F.coalesce("r.numInputRows", F.lit(0)).cast("long").alias("numInputRows"),
+        number(F.col("r.inputRowsPerSecond")).alias("inputRowsPerSecond"),
+        number(F.col("r.processedRowsPerSecond")).alias("processedRowsPerSecond"),
+        *[number(F.col("r.durationMs")[k].cast("double")).alias(f"{k}_ms") for k in spent],
+        F.lit(source_mode).alias("source_mode"),
+    )
 
 
 def run_stream(raw: DataFrame, paths: StreamPaths, source_mode: str = "file", trigger_seconds: int | None = None, max_batches: int | None = None, **options) -> DataFrame:

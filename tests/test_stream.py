@@ -108,3 +108,16 @@ def test_misfit_model_leaves_its_message(spark):
 
     scored = job.score_batch(spark.range(3), Misfit())
     assert scored.where("pred_error like '%no_such_column%'").count() == 3
+
+
+def test_no_report_is_lost_between_two_polls(spark):
+    """More batches than Spark keeps reports of, and chunks that are written on the way."""
+    source = scratch_path(spark, "many")
+    spark.range(0, 115, 1, 115).write.csv(source)
+    files = len([1 for _ in spark.read.format("binaryFile").load(source).select("path").collect()])
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).csv(source)
+    writer = stream.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "checkpoint"))
+    seen = job.run_until(writer.trigger(availableNow=True).start(), poll_seconds=600)
+    rows = job.stream_progress(seen).where("numInputRows > 0").collect()
+    assert files > 100 and sorted(r["batch_id"] for r in rows) == list(range(files))
+    assert sum(r["numInputRows"] for r in rows) == 115 and all(r["triggerExecution_ms"] > 0 for r in rows)
