@@ -77,7 +77,7 @@ def run_trust_stage(
     start = time.perf_counter()
     raw = first_rows(with_row_ids(read_csv_events(spark, source)), row_cap, "click_time", "event_id")
     typed = typed_once(raw)
-    baseline = stored_baseline(typed, paths.baselines, source, row_cap)
+    baseline = stored_baseline(typed, paths.baselines, source, row_cap, content=read_csv_events(spark, source))
     trust_frames(typed, baseline, as_of, policy=policy).scored.write.mode("overwrite").parquet(paths.scored)
     scored = spark.read.parquet(paths.scored)
     write_curated(scored.where("is_valid_record"), paths.curated, partition_by=("click_day",))

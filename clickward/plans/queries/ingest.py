@@ -183,6 +183,7 @@ def baseline_snapshot(spark, sf_dir):
     store = scratch_path(spark, "baseline-store")
     typed = cast_events(clicks_clean(spark, sf_dir))
     source = f"{sf_dir}/events.parquet"
-    stored_baseline(typed, store, source, row_cap=0)
-    again = stored_baseline(typed, store, source, row_cap=0)
+    content = table(spark, sf_dir, "events")
+    stored_baseline(typed, store, source, row_cap=0, content=content)
+    again = stored_baseline(typed, store, source, row_cap=0, content=content)
     return again.select("feature", "value", *rounded("share"))

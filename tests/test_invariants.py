@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -276,6 +277,22 @@ def test_baseline_is_kept_for_the_same_source_only(spark):
     assert sorted(capped) != sorted(first)
 
 
+def test_baseline_follows_the_content_of_its_files(spark, tmp_path):
+    """Another file of the same name, size and time is another source; the same content again is not."""
+    store, path = scratch_path(spark, "store"), tmp_path / "clicks.csv"
+
+    def profile_of(app, typed_app=None):
+        path.write_text("click_time,ip,app,device,os,channel\n" + f"2024-01-01 00:00:00,1,{app},1,1,1\n" * 20)
+        os.utime(path, (1_700_000_000, 1_700_000_000))
+        spark.catalog.refreshByPath(str(path))
+        rows = events.read_csv_events(spark, str(path))
+        typed = clean.cast_events(rows.withColumn("app", F.lit(typed_app or app)))
+        found = stored_baseline(typed, store, str(path), content=rows)
+        return {r["value"] for r in found.where("feature = 'app'").collect()}
+
+    assert [profile_of("3"), profile_of("7"), profile_of("3", "9")] == [{"3"}, {"7"}, {"3"}]
+
+
 def test_csv_binds_by_name(spark):
     path = scratch_path(spark, "csv")
     raw = clicks_dirty(spark, SMALL_DIR)
