@@ -17,8 +17,8 @@ def test_same_rows_as_sql(spark, name):
     assert ok, note
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in corpus.queries()) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in corpus.queries()) == list(range(1, 14))
     assert list(corpus_pipeline.queries()) == ["pipeline"]
 
 
