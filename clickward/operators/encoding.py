@@ -1,21 +1,21 @@
 """Smoothed target encodings that never see the row's own label.
 
 A training row is encoded from earlier folds only, a validation or test row
-from the whole training part. Per feature there is one aggregate by key, with
-the label sums per fold side by side, and one join back.
+from the whole training part. One aggregate by key has the label sums per fold
+side by side; the rows of all features come from a single one by grouping sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickward.functions.casting import to_whole
 from clickward.operators.ordering import Groups, Order, attach, drop_helpers, split_families, time_order
-from clickward.session import SkewPolicy
+from clickward.session import SkewPolicy, materialize
 
 # What is encoded.
 SINGLES = ("ip", "app", "device", "os", "channel", "hour", "day")
@@ -84,6 +84,57 @@ def fold_history(df: DataFrame, keys: Sequence[str], target: str, folds: int) ->
     return per_fold.select(*keys, F.array(*sums).alias("_sums"), F.array(*counts).alias("_counts"))
 
 
+def fold_histories(df: DataFrame, families: Sequence[Sequence[str]], target: str, folds: int) -> DataFrame:
+    """(family, keys..., _sums, _counts): `fold_history` of all key families, numbered as given, from one aggregate."""
+    folds = max(1, folds)
+    columns = list(dict.fromkeys(k for f in families for k in f))
+    # The id has a bit for every column that a family leaves out, the first column's the highest.
+    left_out = [sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in f) for f in families]
+    number = F.element_at(F.create_map(*[F.lit(v) for i, g in enumerate(left_out) for v in (g, i)]), F.col("_left_out").cast("int"))
+    # A row of a family with a NULL key has no entry.
+    whole = F.lit(False)
+    for i, keys in enumerate(families):
+        there = F.col("family") == i
+        for k in keys:
+            there = there & F.col(k).isNotNull()
+        whole = whole | there
+    per_fold = (
+        df.where(F.col("split") == "train")
+        .select(*columns, "_fold", target)
+        .groupingSets([list(f) for f in families], *columns)
+        .agg(
+            F.grouping_id().alias("_left_out"),
+            *[F.sum(F.when(F.col("_fold") == f, F.col(target))).alias(f"s{f}") for f in range(folds)],
+            *[F.count(F.when(F.col("_fold") == f, F.lit(1))).alias(f"n{f}") for f in range(folds)],
+        )
+        .withColumn("family", number)
+        .where(whole)
+    )
+    sums, counts = [F.lit(0.0)], [F.lit(0).cast("bigint")]
+    for f in range(folds):
+        sums.append(sums[-1] + F.coalesce(F.col(f"s{f}").cast("double"), F.lit(0.0)))
+        counts.append(counts[-1] + F.col(f"n{f}"))
+    return per_fold.select("family", *columns, F.array(*sums).alias("_sums"), F.array(*counts).alias("_counts"))
+
+
+def _encoded(df: DataFrame, families: Sequence[Sequence[str]], rate: float, alpha: float) -> DataFrame:
+    """Replace the joined histories `_sums_<keys>` and `_counts_<keys>` by the encodings."""
+    columns, helpers = {}, []
+    for name in map("_".join, families):
+        sums, counts = f"_sums_{name}", f"_counts_{name}"
+        count = F.coalesce(F.get(counts, F.col("_fold")), F.lit(0))
+        value = smoothed(F.get(sums, F.col("_fold")), count, rate, alpha)
+        columns[f"te_{name}"] = F.when(count > 0, value).otherwise(F.lit(rate))
+        columns[f"freq_{name}_train"] = count.cast("double")
+        helpers += [sums, counts]
+    return df.withColumns(columns).drop(*helpers)
+
+
+def _named(history: DataFrame, keys: Sequence[str]) -> DataFrame:
+    name = "_".join(keys)
+    return history.select(*keys, F.col("_sums").alias(f"_sums_{name}"), F.col("_counts").alias(f"_counts_{name}"))
+
+
 def encode(
     df: DataFrame,
     features: Sequence[Groups],
@@ -100,19 +151,10 @@ def encode(
     `history_of` is an earlier form of the frame with the same rows, to
     aggregate on.
     """
-    source = df if history_of is None else history_of
-    out, columns, helpers = df, {}, []
+    source, out = df if history_of is None else history_of, df
     for groups in features:
-        name = "_".join(groups.keys)
-        sums, counts = f"_sums_{name}", f"_counts_{name}"
-        history = fold_history(source, groups.keys, target, folds)
-        out = attach(out, history.withColumnsRenamed({"_sums": sums, "_counts": counts}), groups, policy)
-        count = F.coalesce(F.get(counts, F.col("_fold")), F.lit(0))
-        value = smoothed(F.get(sums, F.col("_fold")), count, rate, alpha)
-        columns[f"te_{name}"] = F.when(count > 0, value).otherwise(F.lit(rate))
-        columns[f"freq_{name}_train"] = count.cast("double")
-        helpers += [sums, counts]
-    return out.withColumns(columns).drop(*helpers)
+        out = attach(out, _named(fold_history(source, groups.keys, target, folds), groups.keys), groups, policy)
+    return _encoded(out, [g.keys for g in features], rate, alpha)
 
 
 def rate_features(
@@ -128,17 +170,28 @@ def rate_features(
     """All encodings of a frame with `idx` and `split`; columns that are absent are skipped.
 
     Positions in the training part must run from 0 in time order, as
-    `temporal_split` leaves them. Each feature reads its own columns of the
-    frame, so pass one that was written to a table.
+    `temporal_split` leaves them. The histories of all features come from one
+    aggregate, which is written; features with few groups are then broadcast,
+    and only the others move the frame, once each. The frame is read more than
+    once, so pass one that was written to a table.
     """
-    order = order or time_order()
+    order, policy = order or time_order(), policy or SkewPolicy.of(df.sparkSession)
     cleaned = df.withColumn(target, F.coalesce(to_whole(F.col(target).cast("string"), "int"), F.lit(0)))
     rows, rate = train_summary(cleaned, target)
-    folded = with_folds(cleaned, rows, folds)
+    out = folded = with_folds(cleaned, rows, folds)
     used_singles = [c for c in singles if c in df.columns]
     used_pairs = [tuple(p) for p in pairs if set(p) <= set(df.columns)]
     features = [*[(c,) for c in used_singles], *used_pairs]
-    out, families = split_families(folded, features, order, policy, join_only=features)
-    out = encode(out, [families[f] for f in features], target, rate, folds, alpha, policy, folded)
+    # Sorted by family, so that reading one of them skips the others' row groups.
+    made = materialize(fold_histories(folded, features, target, folds).sortWithinPartitions("family"), "histories")
+    groups = {r["family"]: r["n"] for r in made.groupBy("family").agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = [f for i, f in enumerate(features) if groups.get(i, 0) > policy.broadcast_rows]
+    families = {}
+    if large:
+        out, families = split_families(folded, large, order, policy)
+    for i, keys in enumerate(features):
+        known = Groups(keys, groups.get(i, 0)) if keys not in families else replace(families[keys], count=groups[i])
+        out = attach(out, _named(made.where(F.col("family") == i), keys), known, policy)
+    out = _encoded(out, features, rate, alpha)
     info = EncodingInfo(rate, folds, alpha, tuple(used_singles), tuple("_".join(p) for p in used_pairs))
     return drop_helpers(out.drop("_fold")), info

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from clickward.operators import clean, encoding, evaluate, profile, rules, sampling, splits
 from clickward.operators.features import Track, delta_features
+from clickward.operators.ordering import Groups
 from clickward.plans.trust import stored_baseline, trust_frames, typed_once
 from clickward.sources.events import first_rows
-from clickward.session import SkewPolicy, scratch_path
+from clickward.session import SkewPolicy, materialize, scratch_path
 from clickward.sources import events, sinks
 from clickward.sources.adapters import clicks_dirty, model_scores, scored
 
@@ -131,6 +132,28 @@ def test_encoding_of_null_keys(spark, policy):
     assert encoded.where("channel IS NOT NULL and split = 'test' and freq_channel_train = 0").count() == 0
 
 
+@pytest.mark.parametrize("policy", [None, TIGHT])
+def test_encodings_of_all_features_against_each_by_itself(spark, policy):
+    """One aggregate for all features, with hot keys and NULL keys, gives what one aggregate each gives."""
+    hot = F.when(F.col("event_id") % 3 == 0, 7).when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise(F.col("ip") % 40)
+    split = splits.temporal_split(sample(spark, 500).withColumn("ip", hot.cast("bigint")))
+    encoded, info = encoding.rate_features(split, policy=policy)
+    assert (len(info.singles), len(info.pairs)) == (7, 3)
+    folded = encoding.with_folds(split, 300, 5)
+    for keys in [*[(k,) for k in info.singles], *encoding.PAIRS]:
+        names = ["event_id", f"te_{'_'.join(keys)}", f"freq_{'_'.join(keys)}_train"]
+        alone = encoding.encode(folded, [Groups(keys, 0)], "is_attributed", info.global_rate, 5, 20.0)
+        want, got = (f.select(names).orderBy("event_id").collect() for f in (alone, encoded))
+        assert [r[0] for r in got] == [r[0] for r in want] == list(range(500))
+        assert all(abs(a[1] - b[1]) < 1e-12 and a[2] == b[2] for a, b in zip(got, want))
+
+
+def test_encodings_move_the_frame_for_large_features_only(spark):
+    split = materialize(splits.temporal_split(sample(spark, 300)), "split")
+    plan = encoding.rate_features(split)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 10 and "Exchange hashpartitioning" not in plan
+
+
 def test_next_click_guard(spark):
     frame = sample(spark, 60)
     assert "next_click_delta_sec_ip" not in delta_features(frame, Track.CAUSAL, True).columns

@@ -32,6 +32,7 @@ SPLIT = [
     "oof_te_single",
     "oof_te_pair",
     "holdout_te",
+    "rate_features",
     "pr_auc",
     "roc_points",
     "top_decile",
