@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from clickward.operators.features import Track
 from clickward.operators.ordering import Order, drop_helpers, global_index, number_order, prior_sums, split_groups, time_order
-from clickward.session import SkewPolicy
+from clickward.session import SkewPolicy, materialize
 
 MIN_ROWS = 30
+# Most positions that one block of the window search holds.
+BLOCK_ROWS = 100_000
 TEMPORAL = "strict_temporal"
 BY_DAY = "competition_day_hour_style"
 BY_DAY_FALLBACK = "competition_like_fallback_temporal"
@@ -107,6 +109,33 @@ def class_prevalence(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def placed_rows(df: DataFrame, order: Order | None = None, policy: SkewPolicy | None = None) -> DataFrame:
+    """The rows with their position `idx`, written once for the window search and the choice after it."""
+    return materialize(global_index(df, order or time_order(), "idx", policy), "placed")
+
+
+def _sums_before(indexed: DataFrame, asked: DataFrame, few: bool, width: int, policy: SkewPolicy | None) -> DataFrame:
+    """(at, before): the sum of `y` over all positions before each asked one, by blocks of `width` positions.
+
+    With `few` asked positions they are broadcast, and no row leaves its task before its block is summed.
+    """
+
+    def block(name: str) -> Column:
+        return (F.col(name) - F.col(name) % width).alias("block")
+
+    sums = indexed.groupBy(block("idx")).agg(F.coalesce(F.sum("y"), F.lit(0)).alias("y"))
+    # The end of the last window may lie behind the last block.
+    end = indexed.agg(F.max("idx").alias("idx")).select((block("idx") + width).alias("block"), F.lit(0).cast("bigint").alias("y"))
+    along = number_order("block")
+    parted, whole = split_groups(materialize(sums.unionByName(end), "blocks"), [], along, policy)
+    earlier = drop_helpers(prior_sums(parted, whole, along, {"earlier": F.col("y")}, policy)).select("block", "earlier")
+    edges = asked.select("at", block("at"))
+    opened = indexed.withColumn("block", block("idx")).join(F.broadcast(edges) if few else edges, "block")
+    inside = opened.groupBy("at").agg(F.coalesce(F.sum(F.when(F.col("idx") < F.col("at"), F.col("y"))), F.lit(0)).alias("inside"))
+    before = F.col("earlier") + F.coalesce("inside", F.lit(0))
+    return edges.join(earlier, "block").join(inside, "at", "left").select("at", before.cast("bigint").alias("before"))
+
+
 def window_attempts(
     df: DataFrame,
     target: str,
@@ -122,17 +151,21 @@ def window_attempts(
 
     Candidates are the first `row_cap` rows, then `step` more each time, up to
     all rows; the smallest one with enough positives in validation and test is
-    selected. The support of all candidates is a difference of prefix sums of
-    the positives at the split edges, so one job answers for all of them. The
+    selected. Positives are summed once per block of at most `step` positions;
+    the rows of a block are looked at again only where an edge of a candidate
+    falls inside it, and a block holds few edges, as candidates are a step
+    apart. The
     attempt on the trailing rows, made when no head window suffices, sees the
-    same full frame.
+    same full frame. A frame that has `idx` already (`placed_rows`) is not
+    ordered again.
     """
     if step <= 0 or (row_cap is not None and row_cap <= 0):
         raise ValueError("A window and its step have at least one row")
     order = order or time_order()
     ts = order.columns[0]
     spark = df.sparkSession
-    indexed = global_index(df, order, "idx", policy).select("idx", F.col(target).alias("y"), F.to_date(ts).alias("day"))
+    indexed = df if "idx" in df.columns else placed_rows(df, order, policy)
+    indexed = indexed.select("idx", F.col(target).cast("bigint").alias("y"), F.to_date(ts).alias("day"))
     n = indexed.count()
     if n < MIN_ROWS:
         raise ValueError(f"Too few rows to look for a window: {n} of {MIN_ROWS}")
@@ -143,21 +176,13 @@ def window_attempts(
     if Track(track) is Track.TRANSDUCTIVE:
         windows = _day_edges(windows, indexed)
 
-    # The asked positions join the rows as markers in front of the row there.
-    asked = windows.select(F.explode(F.array("val_at", "test_at", "cap")).alias("idx")).distinct()
-    marks = indexed.select("idx", F.col("y").cast("bigint").alias("y"), F.lit(1).alias("kind")).unionByName(
-        asked.select("idx", F.lit(0).cast("bigint").alias("y"), F.lit(0).alias("kind"))
-    )
-    along = number_order("idx", "kind")
-    parted, whole = split_groups(marks, [], along, policy)
-    prefix = (
-        drop_helpers(prior_sums(parted, whole, along, {"before": F.col("y")}, policy))
-        .where(F.col("kind") == 0)
-        .select("idx", "before")
-    )
+    asked = windows.select(F.explode(F.array("val_at", "test_at", "cap")).alias("at")).distinct()
+    edges = 3 * ((n - first) // step + 2)
+    few = edges <= (policy or SkewPolicy.of(spark)).broadcast_rows
+    prefix = _sums_before(indexed, asked, few, min(step, BLOCK_ROWS), policy)
 
     def at(name: str) -> DataFrame:
-        return prefix.withColumnsRenamed({"idx": name, "before": f"pos_{name}"})
+        return prefix.withColumnsRenamed({"at": name, "before": f"pos_{name}"})
 
     support = windows.join(at("val_at"), "val_at").join(at("test_at"), "test_at").join(at("cap"), "cap")
     enough = (F.col("val_pos") >= min_val) & (F.col("test_pos") >= min_test)
@@ -211,5 +236,5 @@ def select_window(df: DataFrame, target: str, attempts: DataFrame, order: Order
         last = attempts.orderBy(F.desc("cap"), "window").limit(10).collect()
         tried = "; ".join(f"{r['window']} cap={r['cap']} val_pos={r['val_pos']} test_pos={r['test_pos']}" for r in last)
         raise ValueError(f"No window has enough positives. Tried: {tried}")
-    indexed = global_index(df, order or time_order(), "idx", policy)
+    indexed = df if "idx" in df.columns else global_index(df, order or time_order(), "idx", policy)
     return indexed.where(F.col("idx") < chosen["cap"])

@@ -41,12 +41,12 @@ def feature_matrix(curated: DataFrame, config: ModelConfig, policy: SkewPolicy |
     """Curated rows to a matrix with splits, counts, deltas and encodings.
 
     On the causal track features that look at the whole frame are left out. The
-    frame is written twice: before the encodings, each of which reads its own
-    columns of it, and after them, for the fits.
+    frame is written with its positions, before the encodings, and after them,
+    for the fits.
     """
     config = config.check()
     track, target, order = Track(config.track), config.target, time_order()
-    rows = clean_target(prepare_events(curated), target)
+    rows = splits.placed_rows(clean_target(prepare_events(curated), target), order, policy)
     require_two_classes(rows, target)
     support = {"min_val": config.min_val_positives, "min_test": config.min_test_positives}
     attempts = materialize(

@@ -94,6 +94,19 @@ def test_window_attempts_against_brute_force(spark, track, policy):
     assert window.count() == expected[-1][0]
 
 
+def test_placed_rows_are_ordered_once(spark):
+    frame = sample(spark, 400, seed=3)
+    placed = splits.placed_rows(frame)
+    asked = {"row_cap": 100, "step": 35, "min_val": 3, "min_test": 3}
+    attempts = splits.window_attempts(placed, "is_attributed", **asked)
+    again = splits.window_attempts(frame, "is_attributed", **asked)
+    assert sorted(attempts.collect()) == sorted(again.collect())
+    window = splits.select_window(placed, "is_attributed", attempts)
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    assert window.count() == attempts.where("selected").first()["cap"]
+
+
 def test_window_without_support_names_the_attempts(spark):
     frame = sample(spark, 200)
     attempts = splits.window_attempts(frame, "is_attributed", 100, 50, 10_000, 1)
