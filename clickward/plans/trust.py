@@ -14,7 +14,7 @@ from clickward.operators.features import trust_features
 from clickward.operators.profile import baseline_stats
 from clickward.operators.rules import group_size_bounds, veracity_checks, veracity_score
 from clickward.session import SkewPolicy, materialize
-from clickward.sources.events import file_listing, file_manifest
+from clickward.sources.events import file_manifest
 
 
 @dataclass(frozen=True)
@@ -69,16 +69,12 @@ def stored_baseline(
 ) -> DataFrame:
     """The stored profile of the same source files and row cap, or a new one.
 
-    Profiles live in one folder per key. With the files' rows as `content` (see `file_manifest`) the key is made
-    from names, sizes and digests of what the files hold, so a file that was replaced by another of the same size
-    and time has a profile of its own. Without them no byte is read: paths, sizes and modification times make the key.
+    Profiles live in one folder per key, made from names, sizes and digests of the files' bytes, so a file that was
+    replaced by another of the same size and time has a profile of its own, and a restored one finds its old profile.
+    `content` is as in `file_manifest`.
     """
-    if content is None:
-        listed = file_listing(typed.sparkSession, source)
-        named = F.concat_ws("|", "path", "bytes", F.col("modified").cast("string"))
-    else:
-        listed = file_manifest(typed.sparkSession, source, content=content)
-        named = F.concat_ws("|", "file", "bytes", "sha256")
+    listed = file_manifest(typed.sparkSession, source, content=content)
+    named = F.concat_ws("|", "file", "bytes", "sha256")
     # Sums of hash parts commute, so no list of files is gathered anywhere.
     parts = [F.sum(F.conv(F.substring(F.sha2(named, 256), 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
     files = F.concat_ws(":", F.count(F.lit(1)).cast("string"), *parts)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickward.sources.digests import file_digests, file_listing
+
 # The raw event's columns, all text.
 EVENT_COLUMNS = (
     "click_time",
@@ -104,18 +106,12 @@ def read_file_stream(
     return reader.csv(path)
 
 
-def file_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, modified) of every input file, from the file system's metadata alone."""
-    listed = spark.read.format("binaryFile").load(path)
-    return listed.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-
-
 def file_manifest(spark: SparkSession, path: str, source: str = "user_provided", content: DataFrame | None = None) -> DataFrame:
     """One row per input file: size, digest, source and kind.
 
-    `content` are the dataset's rows with `_metadata`, as any file reader gives
-    them; the digest is the SHA-256 over sums of its row digests' parts, so a
-    file of any size is read in splits by many tasks. Without it there is no digest.
+    The digest is that of the file's bytes, see `file_digests`. Where executors cannot open the files through Arrow, give the
+    dataset's rows with `_metadata`, as any file reader gives them, as `content`: the digest is then the SHA-256 over sums of
+    its row digests' parts, which tells nothing about bytes that hold no values.
     """
     name = F.element_at(F.split("path", "/"), -1)
     mode = (
@@ -123,11 +119,10 @@ def file_manifest(spark: SparkSession, path: str, source: str = "user_provided",
         .when(name.startswith("sample_"), "sample")
         .otherwise("full")
     )
-    listed = file_listing(spark, path).select(
-        name.alias("file"), "bytes", F.lit(source).alias("source"), mode.alias("mode")
-    )
+    described = [name.alias("file"), "bytes", F.lit(source).alias("source"), mode.alias("mode")]
     if content is None:
-        return listed.withColumn("sha256", F.lit(None).cast("string"))
+        return file_digests(spark, path).select(*described, "sha256")
+    listed = file_listing(spark, path).select(*described)
     row = F.sha2(F.to_json(F.struct(*content.columns), {"ignoreNullFields": "false"}), 256)
     digests = content.select(F.col("_metadata.file_name").alias("file"), row.alias("row"))
     parts = [F.sum(F.conv(F.substring("row", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
