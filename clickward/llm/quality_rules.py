@@ -9,18 +9,25 @@ The estimate runs as concentration steps over all documents of all groups at
 once: distances from the present estimate are counted in fine bins per group,
 the bin that completes the subset is the cut, and the moments of what lies
 below it are the next estimate. A step moves one row of moments per (group,
-bin), never a document, so a group may hold any share of the table. The first
-estimate is the median and the median absolute deviation of each number, taken
-from the same kind of bins. The scatter gets a floor on its diagonal, because
-most texts have no symbols and no repeats at all and an exact zero scatter
-would make one symbol an infinite distance. Only documents that pass the base
-rule enter the estimates. Groups with fewer than `LEAST` of them are judged
-together as one group; if these are still fewer, the base rule alone decides.
+start, bin), never a document, so a group may hold any share of the table.
+There are four deterministic starts: the median and the median absolute
+deviation of each number, taken from the same kind of bins, and from the
+numbers standardised by these the correlations of their hyperbolic tangents,
+those of the directions from the median, and the plain moments. All starts take
+`TRIAL` steps; the one of least determinant goes on until its determinant falls
+no more, at most `STEPS` steps. The scatter gets a floor on its diagonal,
+because most texts have no symbols and no repeats at all and an exact zero
+scatter would make one symbol an infinite distance; determinants are compared
+with it. Only documents that pass the base rule enter the estimates. Groups
+with fewer than `LEAST` of them are judged together as one group; if these are
+still fewer, the base rule alone decides.
 
 Defined cases: a null, empty or blank text has no words and fails the base
 rule; null lang or source is a group of its own; repeated rows count as often
 as they occur; an empty table gives an empty result; further columns are
-ignored.
+ignored. A bin at the cut goes into the subset whole, so equal vectors are in it
+or out of it together; of equal determinants the first start's goes on. Whole
+texts of any length are counted, a chunk of bytes at a time.
 """
 
 from __future__ import annotations
@@ -113,7 +120,10 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
 N = 5
 SUBSET = 0.75
-STEPS = 6
+TRIAL = 2
+STEPS = 30
+# A determinant falls if its logarithm does by more than this.
+FALL = 1e-6
 LEAST = 50
 # Fixed values. CUT: chi-square of 5 degrees, 1 in 10,000 beyond it. SPREAD: what the scatter of the closest
 # 75 % of a 5-dimensional normal is to be multiplied by. FLOOR: least standard deviation of each number.
@@ -122,7 +132,7 @@ SPREAD = 1.4115
 FLOOR = (0.5, 0.03, 0.03, 0.35, 0.1)
 BINS_PER_OCTAVE = 64
 GROUP = ["g_lang", "g_source"]
-ESTIMATE = ", ".join(["g_lang string", "g_source string", *(f"c{i} double" for i in range(N)),
+ESTIMATE = ", ".join(["g_lang string", "g_source string", "start int", "logdet double", *(f"c{i} double" for i in range(N)),
                       *(f"p{i}{j} double" for i in range(N) for j in range(i, N))])
 BROADCAST_GROUPS = 10_000
 
@@ -151,10 +161,21 @@ def _distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _estimate(key: tuple, centre: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
-    precise = np.linalg.inv(scatter + np.diag(np.square(FLOOR)))
+def _estimate(key: tuple, start: int, centre: np.ndarray, scatter: np.ndarray, found: bool = True) -> pd.DataFrame:
+    """A row of ESTIMATE; what only starts a search (not `found`) has no determinant to compare yet."""
+    floored = scatter + np.diag(np.square(FLOOR))
+    precise = np.linalg.inv(floored)
     upper = [precise[i, j] for i in range(N) for j in range(i, N)]
-    return pd.DataFrame([[*key, *centre, *upper]], columns=[c.split()[0] for c in ESTIMATE.split(", ")])
+    logdet = np.linalg.slogdet(floored)[1] if found else np.inf
+    return pd.DataFrame([[*key, start, logdet, *centre, *upper]], columns=[c.split()[0] for c in ESTIMATE.split(", ")])
+
+
+def _symmetric(row: pd.Series, name: str) -> np.ndarray:
+    out = np.zeros((N, N))
+    for i in range(N):
+        for j in range(i, N):
+            out[i, j] = out[j, i] = row[f"{name}{i}{j}"]
+    return out
 
 
 def _middle(values: np.ndarray, counts: np.ndarray) -> float:
@@ -169,7 +190,25 @@ def _first_estimate(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
         value, count = own["value"].to_numpy(), own["count"].to_numpy()
         centre[i] = _middle(value, count)
         spread[i] = 1.4826 * _middle(np.abs(value - centre[i]), count)
-    return _estimate(key, centre, np.diag(spread**2))
+    return _estimate(key, 0, centre, np.diag(spread**2), found=False)
+
+
+def _more_starts(key: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+    """Starts 1 to 3 from the sums of standardised numbers, their tangents and their directions."""
+    row = sums.iloc[0]
+    middle, unit = (row[[f"{name}{i}" for i in range(N)]].to_numpy(float) for name in ("c", "d"))
+    made = []
+    for start, name in enumerate(("t", "u", "z"), 1):
+        mean = row[[f"{name}{i}" for i in range(N)]].to_numpy(float) / row["count"]
+        spread = _symmetric(row, f"{name}{name}") / row["count"] - np.outer(mean, mean)
+        if name == "z":
+            made.append(_estimate(key, start, middle + unit * mean, spread * np.outer(unit, unit), found=False))
+            continue
+        size = np.sqrt(np.maximum(np.diag(spread), 1e-12))
+        alike = spread / np.outer(size, size)
+        np.fill_diagonal(alike, 1.0)
+        made.append(_estimate(key, start, middle, alike * np.outer(unit, unit), found=False))
+    return pd.concat(made)
 
 
 def _next_estimate(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
@@ -177,14 +216,10 @@ def _next_estimate(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
     bins = bins.sort_values("bin")
     count = bins["count"].to_numpy()
     upto = int(np.searchsorted(np.cumsum(count), np.ceil(SUBSET * count.sum()))) + 1
-    near = bins.iloc[:upto]
-    total = float(near["count"].sum())
-    centre = np.asarray([near[f"s{i}"].sum() for i in range(N)]) / total
-    scatter = np.zeros((N, N))
-    for i in range(N):
-        for j in range(i, N):
-            scatter[i, j] = scatter[j, i] = near[f"m{i}{j}"].sum() / total - centre[i] * centre[j]
-    return _estimate(key, centre, scatter * SPREAD)
+    near = bins.iloc[:upto].sum()
+    centre = np.asarray([near[f"s{i}"] for i in range(N)]) / near["count"]
+    scatter = _symmetric(near, "m") / near["count"] - np.outer(centre, centre)
+    return _estimate(key[:2], int(key[2]), centre, scatter * SPREAD)
 
 
 def _beside(rows: DataFrame, estimates: DataFrame, bounded: bool) -> DataFrame:
@@ -193,19 +228,46 @@ def _beside(rows: DataFrame, estimates: DataFrame, bounded: bool) -> DataFrame:
     return rows.join(own, GROUP)
 
 
-def determinant_estimates(rows: DataFrame, bounded: bool, steps: int = STEPS) -> DataFrame:
-    """Centre and inverse scatter of every group; `rows` have GROUP and x0...x4."""
+def _starts(rows: DataFrame, bounded: bool) -> DataFrame:
+    """The estimates that the search starts from, four for every group."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.round(F.col(f"x{i}") * 256).alias("v")) for i in range(N)]))
     counted = rows.select(*GROUP, each.alias("b")).groupBy(*GROUP, "b.dim", "b.v").count()
     counted = counted.select(*GROUP, "dim", (F.col("v") / 256).alias("value"), "count")
-    estimates = materialize(counted.groupBy(*GROUP).applyInPandas(_first_estimate, ESTIMATE), "estimates")
+    first = materialize(counted.groupBy(*GROUP).applyInPandas(_first_estimate, ESTIMATE), "estimates")
+    middle = first.select(*GROUP, *[f"c{i}" for i in range(N)], *[(1 / F.sqrt(f"p{i}{i}")).alias(f"d{i}") for i in range(N)])
+    scaled = _beside(rows, middle, bounded).withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"d{i}") for i in range(N)})
+    away = F.sqrt(sum([F.col(f"z{i}") ** 2 for i in range(1, N)], F.col("z0") ** 2))
+    turned = {f"u{i}": F.when(away > 0, F.col(f"z{i}") / away).otherwise(0.0) for i in range(N)}
+    scaled = scaled.withColumns({**turned, **{f"t{i}": F.tanh(f"z{i}") for i in range(N)}})
+    sums = [F.count("*").alias("count"), *[F.max(f"{n}{i}").alias(f"{n}{i}") for n in "cd" for i in range(N)]]
+    sums += [F.sum(f"{n}{i}").alias(f"{n}{i}") for n in "tuz" for i in range(N)]
+    sums += [F.sum(F.col(f"{n}{i}") * F.col(f"{n}{j}")).alias(f"{n}{n}{i}{j}") for n in "tuz" for i in range(N) for j in range(i, N)]
+    more = scaled.groupBy(*GROUP).agg(*sums).groupBy(*GROUP).applyInPandas(_more_starts, ESTIMATE)
+    return materialize(first.unionByName(more), "starts")
+
+
+def determinant_estimates(rows: DataFrame, bounded: bool, steps: int = STEPS) -> DataFrame:
+    """Centre and inverse scatter of every group, and the logarithm of its determinant; `rows` have GROUP and x0...x4."""
+    names = [c.split()[0] for c in ESTIMATE.split(", ")]
     bin_ = F.floor(F.log2(F.greatest(_distance(), F.lit(0.0)) + 2.0**-10) * BINS_PER_OCTAVE).alias("bin")
     moments = [F.count("*").alias("count"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(N)]]
     moments += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}{j}") for i in range(N) for j in range(i, N)]
-    for _ in range(steps):
-        placed = _beside(rows, estimates, bounded).select(*GROUP, bin_, *[f"x{i}" for i in range(N)])
-        bins = placed.groupBy(*GROUP, "bin").agg(*moments)
-        estimates = materialize(bins.groupBy(*GROUP).applyInPandas(_next_estimate, ESTIMATE), "estimates")
+    by = [*GROUP, "start"]
+    estimates = _starts(rows, bounded)
+    for step in range(1, steps + 1):
+        placed = _beside(rows, estimates, bounded).select(*by, bin_, *[f"x{i}" for i in range(N)])
+        after = placed.groupBy(*by, "bin").agg(*moments).groupBy(*by).applyInPandas(_next_estimate, ESTIMATE)
+        before = estimates.select(*by, F.struct(*names).alias("before"))
+        pair = before.join(after.select(*by, F.struct(*names).alias("after")), by)
+        fell = F.col("after.logdet") < F.col("before.logdet") - FALL
+        chosen = pair.select(F.when(fell, F.col("after")).otherwise(F.col("before")).alias("e"), fell.alias("fell"))
+        if step == TRIAL:
+            least = F.min_by(F.struct("e", "fell"), F.struct("e.logdet", "e.start")).alias("least")
+            chosen = chosen.groupBy(*[F.col(f"e.{g}") for g in GROUP]).agg(least).select("least.e", "least.fell")
+        written = materialize(chosen.select("e.*", "fell"), "estimates")
+        estimates = written.drop("fell")
+        if step >= TRIAL and written.where("fell").isEmpty():
+            break
     return estimates
 
 
