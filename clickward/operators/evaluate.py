@@ -227,24 +227,17 @@ def top_decile(df: DataFrame, tie: str = "id", policy: SkewPolicy | None = None)
         F.coalesce(F.sum(F.when(before + F.col("n") <= cut, F.col("pos"))), F.lit(0)).alias("whole_hits"),
         F.max(F.when((before < cut) & (before + F.col("n") > cut), F.struct("p", (cut - before).alias("take")))).alias("edge"),
     )
+    # One row, read from the curve once.
     at = summary.first()
     hits, edge = at["whole_hits"], at["edge"]
     if edge is not None:
         order = number_order(tie)
         parted, group = split_groups(df.where(F.col("p") == edge["p"]), [], order, policy)
         ranked = prior_count(parted, group, order, "_place", policy)
-        partial = ranked.agg(
-            F.count_if((F.col("_place") < edge["take"]) & (F.col("y") == 1)).alias("more")
-        )
-        more = partial.scalar()
-    else:
-        more = F.lit(0)
-    return summary.select(
-        "top_decile_k",
-        (F.lit(hits) + more).cast("bigint").alias("hits"),
-        F.when(F.col("pos_total") > 0, (F.lit(hits) + more) / F.col("pos_total"))
-        .otherwise(0.0)
-        .alias("top_decile_capture"),
+        hits += ranked.where((F.col("_place") < edge["take"]) & (F.col("y") == 1)).count()
+    share = hits / at["pos_total"] if at["pos_total"] else 0.0
+    return df.sparkSession.createDataFrame(
+        [(at["top_decile_k"], hits, share)], "top_decile_k bigint, hits bigint, top_decile_capture double"
     )
 
 
