@@ -210,3 +210,29 @@ def test_bags_are_plain_filters_and_reported(spark, frame):
         same = sampling.bag_subsample(train, "y", 1, config.seed + i)
         assert sorted(r[0] for r in bag.select("event_id").collect()) == sorted(r[0] for r in same.select("event_id").collect())
     assert all(r["trees"] <= r["rounds"] <= 12 for r in rows) and any(r["trees"] for r in rows)
+
+
+def test_sums_of_a_block_are_those_of_its_rows():
+    """Packed or not, with rows left out and slots or channels without any row."""
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, BINS, (5, 400)).astype(np.uint8)
+    for rows, slots, top in ((400, 3, 9), (250, 4, 9), (0, 2, 9), (250, 3, 1), (250, 3, 2**47)):
+        at = np.sort(rng.permutation(400)[:rows])
+        slot = rng.integers(0, max(1, slots - 1), rows)
+        channels = [rng.integers(-9, 9, rows).astype(float), rng.integers(0, top, rows).astype(float), rng.integers(0, 2, rows) * float(top > 1)]
+        for features in (np.tile([0, 3], (slots, 1)), np.sort(rng.integers(0, 5, (slots, 2)), axis=1)):
+            want = np.zeros((slots, 2, BINS, 3), np.int64)
+            for i, (r, s) in enumerate(zip(at, slot)):
+                for j in range(2):
+                    want[s, j, bins[features[s, j], r]] += [int(c[i]) for c in channels]
+            assert (trees.add_up(slot, at, bins, channels, features) == want).all()
+
+
+def test_a_task_sends_its_sums_once(spark, monkeypatch):
+    """Sums grow with the tasks, so there are no more of them than cores, however many blocks of rows they read."""
+    monkeypatch.setattr(trees, "TASK_ROWS", 20)
+    df = spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % 10).alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    binning = trees.quantile_binning(df, ["a"], "event_id", 4000)
+    table = trees.binned_table(df, binning, "y", "event_id", [F.lit(1.0)], F.lit(False), [0.0], 4000)
+    assert table.blocks.getNumPartitions() == table.tasks <= max(spark.sparkContext.defaultParallelism, -(-200 // trees.TASK_BLOCKS))
+    assert table.blocks.map(lambda rows: len(rows.h)).sum() == 4000
