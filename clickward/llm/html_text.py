@@ -6,8 +6,12 @@ has one, and outside menus, headers, footers, asides, forms, scripts, hidden
 parts and elements named as adverts, notices, comments and the like; outside
 of articles a line that is nothing but a link in a list counts as empty too.
 Lengths are summed over sliding windows of the lines that hold text. Where the
-sums rise from zero is a surge, where they fall back to zero a dive; what lies
-between the two is kept, all its countable lines, however short.
+sums rise from zero is a surge, where they fall back to zero a dive; a stretch
+runs from the first line that counts after the surge to the last one before
+the dive. All countable lines are kept, however short. Lines of links in a list
+are kept where they lie inside a stretch with running text on both sides, as
+sources between two paragraphs do; a longer list makes the sums fall to zero
+and is a menu, as is one at the end of a stretch or below a mere title.
 
 A class or id names an element as an advert, menu and so on only as a whole:
 each of its words is such a name or says no more than a place or a part
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+# Characters in a window on either side of a few links that make them part of the text: about a sentence.
+RUNNING_TEXT = 80
 
 # Elements by what they mean for extraction.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas")
@@ -188,11 +194,18 @@ def main_text(page: str, window: int = WINDOW) -> str:
     counts = [0 if out or (listed and not main) or (framed and not main) else len(text) for text, out, main, listed in lines]
     half = window // 2
     sums = [sum(counts[max(0, i - half) : i + half + 1]) for i in range(len(counts))]
-    kept, between = [], False
-    for (text, *_), count, total in zip(lines, counts, sums):
-        between = total > 0  # a surge where this turns true, a dive where it turns false
-        if between and count:
+    kept, links, first, between = [], [], 0, False
+    for i, ((text, out, _, listed), count, total) in enumerate(zip(lines, counts, sums)):
+        if not total:  # a dive
+            links, between = [], False
+        elif count:
+            if links and min(sum(counts[max(0, first - window) : first]), sum(counts[i : i + window])) >= RUNNING_TEXT:
+                kept += links
             kept.append(text)
+            links, between = [], True
+        elif between and listed and not out and not framed:
+            first = first if links else i
+            links.append(text)
     return " ".join(kept)
 
 

@@ -80,3 +80,19 @@ def test_names_of_what_is_no_article(name):
 def test_short_ends_of_long_pages():
     page = f"<div><p>{TEXT * 9}</p></div><div></div><div><p>In the end it was fine.</p></div>" + "<div></div>" * 9 + "<div><h3>Coda</h3><p>Bye.</p></div>"
     assert main_text(page) == (TEXT * 9).strip() + " In the end it was fine. Coda Bye."
+
+
+def test_few_links_between_paragraphs_are_text():
+    def listed(n):
+        return "<ul>" + "".join(f'<li><a href="/{i}">Source {i}</a></li>' for i in range(n)) + "</ul>"
+
+    assert main_text(f"<p>{TEXT}</p><h3>See</h3>{listed(2)}<p>{TEXT}</p>") == f"{TEXT}See Source 0 Source 1 {TEXT}".strip()
+    # A longer list ends the stretch, and its last lines do not belong to the next one.
+    assert main_text(f"<p>{TEXT}</p>{listed(3)}<p>{TEXT}</p>") == (TEXT * 2).strip()
+    # Nothing but a title before, or no text behind: a menu.
+    assert main_text(f"<div>Title</div>{listed(2)}<p>{TEXT}</p>") == f"Title {TEXT}".strip()
+    assert main_text(f"<p>{TEXT}</p>{listed(2)}") == TEXT.strip()
+    assert main_text(f"<p>{TEXT}</p><nav>{listed(2)}</nav><p>{TEXT}</p>") == (TEXT * 2).strip()
+    # The window decides where a stretch ends.
+    assert main_text(f"<p>{TEXT}</p>{listed(1)}<p>{TEXT}</p>", window=1) == (TEXT * 2).strip()
+    assert main_text(f"<p>{TEXT}</p>{listed(4)}<p>{TEXT}</p>", window=5).count("Source") == 4
