@@ -1,5 +1,5 @@
 """Queries of the streaming job. The stream reads CSV files made from the given
-table, one file per micro-batch, and ends when all are processed."""
+table, equally many files per micro-batch, and ends when all are processed."""
 
 from __future__ import annotations
 
@@ -18,22 +18,35 @@ from clickward.plans.queries.registry import AS_OF, query, rounded
 from clickward.plans.trust import trust_frames, typed_once
 from clickward.session import scratch_path
 from clickward.sources import audit_log, events, sinks
-from clickward.sources.adapters import clicks_clean
+from clickward.sources.adapters import as_clicks, clicks_clean, table
 from clickward.streaming import trust_stream as job
 
 PARTS = 3
+# Rows of one source file; a micro-batch reads as many files as its part was cut into.
+FILE_ROWS = 100_000
 SCHEMA = events.event_schema(T.StructField("event_id", T.LongType()))
 
 
+def _write_parts(spark, sf_dir, source) -> int:
+    """Write three parts one after another, so that their order is fixed, each as the same number of files; return that number."""
+    rows = table(spark, sf_dir, "events")
+    part_of = F.col("event_id") % PARTS
+    sizes = {r["part"]: r["count"] for r in rows.groupBy(part_of.alias("part")).count().collect()}  # three rows
+    # Rows go round the files, so none is empty: a file would be missing then, and the next part would move up.
+    files = max(1, min(sizes.get(part, 0) for part in range(PARTS)) // FILE_ROWS)
+    for part in range(PARTS):
+        mine = rows.where(part_of == part)
+        mine = mine.coalesce(1) if files == 1 else mine.repartition(files)
+        as_clicks(mine).write.mode("append").option("header", True).csv(source)
+    return files
+
+
 def _run(spark, sf_dir, **options):
-    """Write three files one after another, so that their order is fixed, and stream them."""
+    """Write the parts and stream them, one per micro-batch."""
     source = scratch_path(spark, "stream-source")
-    clicks = clicks_clean(spark, sf_dir)
-    for part in range(PARTS):
-        mine = clicks.where(F.col("event_id") % PARTS == part)
-        mine.coalesce(1).write.mode("append").option("header", True).csv(source)
+    files = _write_parts(spark, sf_dir, source)
     paths = job.StreamPaths(scratch_path(spark, "stream"))
-    stream = events.read_file_stream(spark, source, files_per_trigger=1, schema=SCHEMA)
+    stream = events.read_file_stream(spark, source, files_per_trigger=files, schema=SCHEMA)
     return job.run_available(stream, paths, as_of=AS_OF, **options), paths
 
 

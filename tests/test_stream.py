@@ -121,3 +121,25 @@ def test_no_report_is_lost_between_two_polls(spark):
     rows = job.stream_progress(seen).where("numInputRows > 0").collect()
     assert files > 100 and sorted(r["batch_id"] for r in rows) == list(range(files))
     assert sum(r["numInputRows"] for r in rows) == 115 and all(r["triggerExecution_ms"] > 0 for r in rows)
+
+
+def test_a_part_of_the_source_is_written_by_many_tasks(spark, monkeypatch):
+    """One micro-batch per part, of many files, with the rows that one file per part gives."""
+    from clickward.plans.queries import stream as queries
+
+    clicks = clicks_clean(spark, SMALL_DIR)
+    parts = {r["part"]: r["count"] for r in clicks.groupBy((F.col("event_id") % 3).alias("part")).count().collect()}
+    monkeypatch.setattr(queries, "FILE_ROWS", min(parts.values()) // 4)
+    source = scratch_path(spark, "source")
+    files = queries._write_parts(spark, SMALL_DIR, source)
+    read = events.read_file_stream(spark, source, files, SCHEMA)
+    written = spark.read.schema(SCHEMA).option("header", True).csv(source)
+    counted = written.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("event_id") % 3).alias("part")).collect()
+    assert files == 4 and read.isStreaming
+    assert sorted(r["part"] for r in counted) == [0] * 4 + [1] * 4 + [2] * 4
+    assert max(r["n"] for r in counted) < 2 * min(r["n"] for r in counted)
+    done, paths = queries._run(spark, SMALL_DIR, audit=False)
+    got = spark.read.parquet(paths.output)
+    assert {(r["part"], r["batch_id"]): r["count"] for r in got.groupBy((F.col("event_id") % 3).alias("part"), "batch_id").count().collect()} == {
+        (part, part): n for part, n in parts.items()
+    }
