@@ -3,6 +3,8 @@
 A training row is encoded from earlier folds only, a validation or test row
 from the whole training part. One aggregate by key has the label sums per fold
 side by side; the rows of all features come from a single one by grouping sets.
+Features with many groups that share a column are summed by windows instead, in
+one exchange by that column.
 """
 
 from __future__ import annotations
@@ -10,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickward.functions.casting import to_whole
-from clickward.operators.ordering import Groups, Order, attach, drop_helpers, split_families, time_order
+from clickward.operators.ordering import Groups, Order, attach, split_families, time_order
 from clickward.session import SkewPolicy, materialize
 
 # What is encoded.
@@ -123,13 +125,34 @@ def _encoded(df: DataFrame, families: Sequence[Sequence[str]], rate: float, alph
     for name in map("_".join, families):
         sums, counts = f"_sums_{name}", f"_counts_{name}"
         count = F.coalesce(F.get(counts, F.col("_fold")), F.lit(0))
-        value = smoothed(F.get(sums, F.col("_fold")), count, rate, alpha)
-        columns[f"te_{name}"] = F.when(count > 0, value).otherwise(F.lit(rate))
-        columns[f"freq_{name}_train"] = count.cast("double")
+        columns |= _encoding(name, F.get(sums, F.col("_fold")), count, rate, alpha)
         helpers += [sums, counts]
     return df.withColumns(columns).drop(*helpers)
 
 
+def _encoding(name: str, total: Column, count: Column, rate: float, alpha: float) -> dict[str, Column]:
+    value = smoothed(total, count, rate, alpha)
+    return {
+        f"te_{name}": F.when(count > 0, value).otherwise(F.lit(rate)),
+        f"freq_{name}_train": count.cast("double"),
+    }
+
+
+def _windowed(df: DataFrame, keys: Sequence[str], target: str, rate: float, alpha: float) -> DataFrame:
+    """Add the encodings of one feature from the rows of the same key in earlier folds, without a join.
+
+    The fold of rows outside the training part is above all others, so no row has them behind it.
+    """
+    earlier = Window.partitionBy(*keys).orderBy("_fold").rangeBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumns({"_total": F.sum(target).over(earlier), "_count": F.count(F.lit(1)).over(earlier)})
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    total = F.col("_total").cast("double")
+    count = F.when(whole, F.col("_count")).otherwise(F.lit(0))
+    return summed.withColumns(_encoding("_".join(keys), total, count, rate, alpha)).drop("_total", "_count")
+
+
 def _named(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     name = "_".join(keys)
     return history.select(*keys, F.col("_sums").alias(f"_sums_{name}"), F.col("_counts").alias(f"_counts_{name}"))
@@ -166,19 +189,28 @@ def rate_features(
     policy: SkewPolicy | None = None,
     singles: Sequence[str] = SINGLES,
     pairs: Sequence[Sequence[str]] = PAIRS,
+    history_of: DataFrame | None = None,
 ) -> tuple[DataFrame, EncodingInfo]:
     """All encodings of a frame with `idx` and `split`; columns that are absent are skipped.
 
     Positions in the training part must run from 0 in time order, as
     `temporal_split` leaves them. The histories of all features come from one
-    aggregate, which is written; features with few groups are then broadcast,
-    and only the others move the frame, once each. The frame is read more than
-    once, so pass one that was written to a table.
+    aggregate, which is written; features with few groups are then broadcast.
+    The others move the frame: once together where they share a column without
+    hot groups, else once each. Every feature is encoded before the next one is
+    looked at, so no history travels with the frame. `history_of` is an earlier
+    form of the frame with the same rows; it is read more than once, so pass
+    one that was written to a table.
     """
     order, policy = order or time_order(), policy or SkewPolicy.of(df.sparkSession)
-    cleaned = df.withColumn(target, F.coalesce(to_whole(F.col(target).cast("string"), "int"), F.lit(0)))
-    rows, rate = train_summary(cleaned, target)
-    out = folded = with_folds(cleaned, rows, folds)
+
+    def cleaned(frame: DataFrame) -> DataFrame:
+        return frame.withColumn(target, F.coalesce(to_whole(F.col(target).cast("string"), "int"), F.lit(0)))
+
+    source = cleaned(df if history_of is None else history_of)
+    rows, rate = train_summary(source, target)
+    folded = with_folds(source, rows, folds)
+    out = with_folds(cleaned(df), rows, folds)
     used_singles = [c for c in singles if c in df.columns]
     used_pairs = [tuple(p) for p in pairs if set(p) <= set(df.columns)]
     features = [*[(c,) for c in used_singles], *used_pairs]
@@ -186,12 +218,26 @@ def rate_features(
     made = materialize(fold_histories(folded, features, target, folds).sortWithinPartitions("family"), "histories")
     groups = {r["family"]: r["n"] for r in made.groupBy("family").agg(F.count(F.lit(1)).alias("n")).collect()}
     large = [f for i, f in enumerate(features) if groups.get(i, 0) > policy.broadcast_rows]
-    families = {}
+    families, together = {}, []
     if large:
-        out, families = split_families(folded, large, order, policy)
-    for i, keys in enumerate(features):
-        known = Groups(keys, groups.get(i, 0)) if keys not in families else replace(families[keys], count=groups[i])
-        out = attach(out, _named(made.where(F.col("family") == i), keys), known, policy)
-    out = _encoded(out, features, rate, alpha)
+        # The column that most of them share; its own encoding comes first and makes the exchange of all.
+        shared = max(((c,) for c in used_singles), key=lambda c: sum(c[0] in f for f in large), default=())
+        out, families = split_families(out, [*large, *([shared] if shared else [])], order, policy, sizes_of=folded)
+        if shared and not families[shared].split:
+            together = [f for f in large if shared[0] in f and f != shared]
+            together = [shared, *together] if together or shared in large else []
+    for keys in together:
+        out = _windowed(out, keys, target, rate, alpha)
+    # Those that move the frame come before those that are broadcast.
+    for i, keys in sorted(enumerate(features), key=lambda f: (f[1] not in large, f[0])):
+        if keys not in together:
+            known = replace(families[keys], count=groups[i]) if keys in large else Groups(keys, groups.get(i, 0))
+            out = attach(out, _named(made.where(F.col("family") == i), keys), known, policy)
+            out = _encoded(out, [keys], rate, alpha)
     info = EncodingInfo(rate, folds, alpha, tuple(used_singles), tuple("_".join(p) for p in used_pairs))
-    return drop_helpers(out.drop("_fold")), info
+    # The columns stand as joins on the features' keys, one by one, leave them.
+    columns = list(df.columns)
+    for keys in features:
+        columns = [*keys, *[c for c in columns if c not in keys]]
+    names = ["_".join(keys) for keys in features]
+    return out.select(*columns, *[c for n in names for c in (f"te_{n}", f"freq_{n}_train")]), info

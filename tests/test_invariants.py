@@ -167,6 +167,19 @@ def test_encodings_move_the_frame_for_large_features_only(spark):
     assert plan.count("BroadcastHashJoin") == 10 and "Exchange hashpartitioning" not in plan
 
 
+def test_large_features_share_one_exchange(spark):
+    """Features with a common column move the frame once, without histories on it, and keep values and columns."""
+    some = F.when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise(F.col("ip") % 90).cast("bigint")
+    split = materialize(splits.temporal_split(sample(spark, 500).withColumn("ip", some)), "split")
+    pairs = (("ip", "app"), ("ip", "hour"))
+    want, _ = encoding.rate_features(split, singles=("ip", "app"), pairs=pairs)
+    got, _ = encoding.rate_features(split, singles=("ip", "app"), pairs=pairs, policy=SkewPolicy(broadcast_rows=60))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastHashJoin") == 1
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_next_click_guard(spark):
     frame = sample(spark, 60)
     assert "next_click_delta_sec_ip" not in delta_features(frame, Track.CAUSAL, True).columns
