@@ -44,6 +44,8 @@ COUNT_FAMILIES = {
     "ip_device_os_count": ("ip", "device", "os"),
     "ip_day_hour_count": ("ip", "day", "hour"),
 }
+# Those of them that have a few large groups.
+BY_VALUE = tuple(name for name, keys in COUNT_FAMILIES.items() if keys[0] != "ip")
 PAIR = ("app", "channel")
 WITH_CHANNEL = ("ip", "app", "channel")
 CUMULATIVE_NAMES = {
@@ -112,12 +114,14 @@ def count_features(
 ) -> DataFrame:
     """Count, distinct-count and cumulative-count features of a track.
 
-    Expects the columns of `prepare_events`.
+    Expects the columns of `prepare_events`. Counts that the frame has already
+    (`placed_rows`) are taken as they are.
     """
     order = order or time_order()
     causal = Track(track) is Track.CAUSAL
     wider = [WITH_CHANNEL] if causal else []
-    base, families = split_families(df, [*COUNT_FAMILIES.values(), *wider], order, policy)
+    open_families = [keys for name, keys in COUNT_FAMILIES.items() if name not in df.columns]
+    base, families = split_families(df, [*open_families, *wider], order, policy)
     by_ip, by_app = families[("ip",)], families[("ip", "app")]
 
     def count(frame: DataFrame, name: str) -> DataFrame:
@@ -137,8 +141,8 @@ def count_features(
         for alias, source in CUMULATIVE_NAMES.items():
             out = prior_count(out, families[COUNT_FAMILIES[source]], order, alias, policy, base)
         out = total_uniques(out, df, by_ip, by_app, policy)
-    for name in [n for n, keys in COUNT_FAMILIES.items() if keys[0] != "ip"]:
-        out = count(out, name)
+    for name in BY_VALUE:
+        out = out.select(*[c for c in out.columns if c != name], name) if name in df.columns else count(out, name)
     return drop_helpers(out)
 
 
@@ -185,15 +189,16 @@ def delta_features(
     next_click: bool = False,
     order: Order | None = None,
     policy: SkewPolicy | None = None,
+    sizes_of: DataFrame | None = None,
 ) -> DataFrame:
     """Fractional seconds since the previous click of the ip and of (ip, app).
 
     Seconds to the next click are future knowledge: only on the transductive
-    track, and only on request.
+    track, and only on request. `sizes_of` is as in `split_families`.
     """
     order = order or time_order()
     ts = order.columns[0]
-    base, families = split_families(df, [("ip",), ("ip", "app")], order, policy)
+    base, families = split_families(df, [("ip",), ("ip", "app")], order, policy, sizes_of)
     by_ip, by_app = families[("ip",)], families[("ip", "app")]
     out = base
 

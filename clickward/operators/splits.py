@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickward.operators.features import Track
-from clickward.operators.ordering import Order, drop_helpers, global_index, number_order, prior_sums, split_groups, time_order
+from clickward.operators.ordering import (
+    Order,
+    drop_helpers,
+    global_index,
+    group_stats,
+    number_order,
+    prior_count,
+    prior_sums,
+    split_groups,
+    time_order,
+)
 from clickward.session import SkewPolicy, materialize
 
 MIN_ROWS = 30
+# Rows of the whole order that one task places.
+PLACED_ROWS = 250_000
 # Most positions that one block of the window search holds.
 BLOCK_ROWS = 100_000
 TEMPORAL = "strict_temporal"
@@ -109,9 +124,29 @@ def class_prevalence(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def placed_rows(df: DataFrame, order: Order | None = None, policy: SkewPolicy | None = None) -> DataFrame:
-    """The rows with their position `idx`, written once for the window search and the choice after it."""
-    return materialize(global_index(df, order or time_order(), "idx", policy), "placed")
+def placed_rows(
+    df: DataFrame,
+    order: Order | None = None,
+    policy: SkewPolicy | None = None,
+    counts: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """The rows with their position `idx`, written once for the window search and the choice after it.
+
+    `counts` names key families of which the earlier rows are counted as well. They are counted in the slices of the
+    whole order, so that a family of a few large groups moves no row and holds no task longer than another. A family with
+    too many groups for a broadcast is left out. What precedes a row is the same in every head window.
+    """
+    order, policy = order or time_order(), policy or SkewPolicy.of(df.sparkSession)
+    small = replace(policy, max_group_rows=min(policy.max_group_rows, PLACED_ROWS))
+    parted, whole = split_groups(df, [], order, small)
+    placed = prior_count(parted, whole, order, "idx", policy)
+    families = {n: tuple(keys) for n, keys in (counts or {}).items()}
+    stats = group_stats(df, list(families.values())) if families else {}
+    for name, keys in families.items():
+        if stats[keys].groups * max(1, whole.slices) <= policy.broadcast_rows:
+            groups = replace(whole, keys=keys, hot_keys=stats[keys].groups)
+            placed = prior_count(placed, groups, order, name, policy, parted)
+    return materialize(drop_helpers(placed), "placed")
 
 
 def _sums_before(indexed: DataFrame, asked: DataFrame, few: bool, width: int, policy: SkewPolicy | None) -> DataFrame:

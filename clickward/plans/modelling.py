@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clickward.operators import evaluate, models, splits
 from clickward.operators.clean import clean_target, click_unix, prepare_events, require_two_classes, safe_features
 from clickward.operators.encoding import EncodingInfo, rate_features
-from clickward.operators.features import Track, count_features, delta_features
+from clickward.operators.features import BY_VALUE, COUNT_FAMILIES, Track, count_features, delta_features
 from clickward.operators.models import Bagging, Model, ModelConfig, Platt
 from clickward.operators.ordering import time_order
 from clickward.operators.sampling import bag_overlap, stratified_sample
@@ -41,12 +41,14 @@ def feature_matrix(curated: DataFrame, config: ModelConfig, policy: SkewPolicy |
     """Curated rows to a matrix with splits, counts, deltas and encodings.
 
     On the causal track features that look at the whole frame are left out. The
-    frame is written with its positions, before the encodings, and after them,
-    for the fits.
+    frame is written with its positions, and with all features for the fits;
+    between the two it moves once, by ip, unless an ip is hot.
     """
     config = config.check()
     track, target, order = Track(config.track), config.target, time_order()
-    rows = splits.placed_rows(clean_target(prepare_events(curated), target), order, policy)
+    # Positions count from the first row, and so do counts of earlier rows in any head window.
+    counts = {n: COUNT_FAMILIES[n] for n in BY_VALUE} if track is Track.CAUSAL else {}
+    rows = splits.placed_rows(clean_target(prepare_events(curated), target), order, policy, counts)
     require_two_classes(rows, target)
     support = {"min_val": config.min_val_positives, "min_test": config.min_test_positives}
     attempts = materialize(
@@ -56,14 +58,16 @@ def feature_matrix(curated: DataFrame, config: ModelConfig, policy: SkewPolicy |
         "attempts",
     )
     chosen = splits.select_window(rows, target, attempts, order, policy)
-    placed = count_features(chosen, track, order, policy)
-    placed = delta_features(placed, track, config.enable_next_click, order, policy)
     if track is Track.CAUSAL:
-        parted = splits.temporal_split(placed, rows=attempts.where("selected").first()["cap"])
+        parted = splits.temporal_split(chosen, rows=attempts.where("selected").first()["cap"])
     else:
-        parted = splits.competition_split(placed, order=order, policy=policy)
-    base = materialize(click_unix(parted), "features")
-    encoded, info = rate_features(base, target, config.folds, config.alpha, order, policy)
+        parted = splits.competition_split(chosen, order=order, policy=policy)
+    placed = count_features(parted, track, order, policy)
+    placed = delta_features(placed, track, config.enable_next_click, order, policy, sizes_of=parted)
+    base = placed.select(*[c for c in placed.columns if c not in ("split", "strategy")], "split", "strategy")
+    encoded, info = rate_features(
+        click_unix(base), target, config.folds, config.alpha, order, policy, history_of=parted
+    )
     frame = materialize(encoded, "matrix")
     left_out = {*BOOKKEEPING, *(WHOLE_FRAME if track is Track.CAUSAL else ())}
     used = [c for c in safe_features(frame.columns, target) if c not in left_out and not c.startswith("rule_")]

@@ -12,7 +12,7 @@ from paths import SMALL_DIR
 from pyspark.sql import functions as F
 
 from clickward.operators import clean, encoding, evaluate, profile, rules, sampling, splits
-from clickward.operators.features import Track, delta_features
+from clickward.operators.features import Track, count_features, delta_features
 from clickward.operators.ordering import Groups
 from clickward.plans.trust import stored_baseline, trust_frames, typed_once
 from clickward.sources.events import first_rows
@@ -180,6 +180,22 @@ def test_large_features_share_one_exchange(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("policy", [None, SkewPolicy(max_group_rows=60), TIGHT])
+def test_counts_placed_with_the_rows(spark, policy):
+    """Counts by app and channel taken in the slices of the whole order, NULL keys too; the rows then move by ip only."""
+    gaps = F.when(F.col("event_id") % 7 > 0, F.col("channel") % 5)
+    frame = clean.prepare_events(sample(spark, 500).withColumn("channel", gaps))
+    counts = {"app_click_count": ("app",), "channel_click_count": ("channel",)}
+    rows = splits.placed_rows(frame, policy=policy, counts=counts)
+    want, got = (count_features(f, policy=policy) for f in (frame, rows))
+    assert [c for c in got.columns if c != "idx"] == want.columns
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    if policy is not TIGHT:
+        assert set(counts) < set(rows.columns)
+    if policy is None:
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_next_click_guard(spark):
     frame = sample(spark, 60)
     assert "next_click_delta_sec_ip" not in delta_features(frame, Track.CAUSAL, True).columns
