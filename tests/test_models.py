@@ -13,7 +13,7 @@ from clickward.operators.clean import safe_features
 from clickward.operators.features import Track
 from clickward.plans import modelling
 from clickward.plans.batch import run_batch
-from clickward.session import scratch_path
+from clickward.session import compiled_stages, scratch_path
 from clickward.streaming.trust_stream import score_batch
 
 # A run of seconds; the registered queries run the defaults.
@@ -173,3 +173,16 @@ def test_fit_rows_bound_the_fit_only(batch):
     small = modelling.fit_models(modelling.replace(matrix, config=TINY.with_(max_fit_rows=300)), "baseline")
     held = matrix.part("val").count() + matrix.part("test").count()
     assert {r["count"] for r in small.predictions.groupBy("model").count().collect()} == {held}
+
+
+def test_wide_stages_stay_within_what_the_jvm_compiles(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    try:
+        spark.conf.unset(limit)
+        compiled_stages(spark)
+        assert spark.conf.get(limit) == "8000"
+        spark.conf.set(limit, "4000")
+        compiled_stages(spark)
+        assert spark.conf.get(limit) == "4000"
+    finally:
+        spark.conf.unset(limit)
