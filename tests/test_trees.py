@@ -236,3 +236,29 @@ def test_a_task_sends_its_sums_once(spark, monkeypatch):
     table = trees.binned_table(df, binning, "y", "event_id", [F.lit(1.0)], F.lit(False), [0.0], 4000)
     assert table.blocks.getNumPartitions() == table.tasks <= max(spark.sparkContext.defaultParallelism, -(-200 // trees.TASK_BLOCKS))
     assert table.blocks.map(lambda rows: len(rows.h)).sum() == 4000
+
+
+def both_bags(df, rounds=9, **more):
+    weights = [F.lit(1.0), F.when(F.col("event_id") % 3 > 0, 2.5)]
+    growth = Growth(leaves=8, min_rows=10, row_share=0.8, column_share=0.7)
+    return trees.boosted_trees(df, FEATURES, "y", "event_id", weights, [5, 6], growth, rounds, 0.2, F.col("val"), 4, **more)
+
+
+def as_lists(model):
+    return [[[a.tolist() for a in tree] for tree in grown] for grown in model.trees], model.rounds, model.importances
+
+
+def test_alone_or_together_the_trees_are_the_same(frame, monkeypatch):
+    """Rows of a task in memory or in its file, models in tasks of their own or in the same passes, counted or searched there."""
+    odd = frame.withColumn("y", F.when(F.col("event_id") % 11 > 0, F.col("y"))).withColumn("val", F.when(F.col("event_id") % 7 > 0, F.col("val")))
+    for df in (odd, odd.where("val"), odd.limit(0)):
+        one = as_lists(both_bags(df))
+        with monkeypatch.context() as m:
+            m.setattr(trees, "TASK_ROWS", 70)
+            m.setattr(trees, "ALONE_BLOCK", 30)
+            m.setattr(trees, "HELD_BYTES", 5000)
+            assert as_lists(both_bags(df.repartition(3))) == one
+            m.setattr(trees, "ALONE_ROWS", -1)
+            assert as_lists(both_bags(df)) == one
+            m.setattr(trees, "MOST_LEAVES", 0)
+            assert as_lists(both_bags(df)) == one
