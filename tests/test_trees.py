@@ -262,3 +262,16 @@ def test_alone_or_together_the_trees_are_the_same(frame, monkeypatch):
             assert as_lists(both_bags(df)) == one
             m.setattr(trees, "MOST_LEAVES", 0)
             assert as_lists(both_bags(df)) == one
+
+
+def test_a_fit_of_few_rows_needs_no_job_per_round(spark, frame):
+    def jobs(rounds):
+        group = f"fit-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            both_bags(frame, rounds)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert 0 < jobs(8) == jobs(2)
