@@ -275,3 +275,19 @@ def test_a_fit_of_few_rows_needs_no_job_per_round(spark, frame):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert 0 < jobs(8) == jobs(2)
+
+
+def test_rows_of_a_task_above_a_limit_are_in_its_file(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = [(rng.integers(0, 99, 40).astype(np.uint64), rng.integers(0, 2, 40), rng.random(40) < 0.2, rng.random(40), rng.integers(0, 64, (5, 40)).astype(np.uint8)) for _ in range(9)]
+    monkeypatch.setattr(trees, "TASK_ROWS", 100)
+    for limit in (0, 9000, 1 << 30):
+        monkeypatch.setattr(trees, "HELD_BYTES", limit)
+        shelf = trees.Shelf(iter(parts), -1.5)
+        assert sum(len(b[3]) for b in shelf.blocks if b[3] is not None) <= limit
+        assert [b[0] for b in shelf.blocks] == [120, 120, 120]
+        for block in shelf:
+            block["margin"] += 1.0
+        for i, name in enumerate(("h", "y", "held_out", "weight", "bins")):
+            assert (np.concatenate([b[name] for b in shelf], -1) == np.concatenate([p[i] for p in parts], -1)).all()
+        assert all((b["margin"] == -0.5).all() for b in shelf)
