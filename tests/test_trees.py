@@ -291,3 +291,17 @@ def test_rows_of_a_task_above_a_limit_are_in_its_file(monkeypatch):
         for i, name in enumerate(("h", "y", "held_out", "weight", "bins")):
             assert (np.concatenate([b[name] for b in shelf], -1) == np.concatenate([p[i] for p in parts], -1)).all()
         assert all((b["margin"] == -0.5).all() for b in shelf)
+
+
+def test_a_written_block_is_a_record_of_its_own(spark, monkeypatch):
+    """Spark holds a record several times as it writes one, and puts ten batches into it."""
+    monkeypatch.setattr(trees, "TASK_ROWS", 20)
+    df = spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % 10).alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    binning = trees.quantile_binning(df, ["a"], "event_id", 4000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        table = trees.binned_table(df, binning, "y", "event_id", [F.lit(1.0)], F.lit(False), [0.0], 4000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert table.blocks.count() > 100
+    assert spark.sparkContext._jsc.objectFile(table.path, 1).count() == table.blocks.count()
