@@ -305,3 +305,21 @@ def test_a_written_block_is_a_record_of_its_own(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert table.blocks.count() > 100
     assert spark.sparkContext._jsc.objectFile(table.path, 1).count() == table.blocks.count()
+
+
+def test_of_two_siblings_one_is_counted(frame, monkeypatch):
+    """The smaller one; the other has the rest of its parent's sums."""
+    counted, searched = [], trees.search_sums
+
+    def watched(table, searches, *more):
+        counted.append([len(s.features) for s in searches.values()])
+        sums = searched(table, searches, *more)
+        counted[-1].append([int(s[:, 0, :, 2].sum()) for s in sums[0].values()])
+        return sums
+
+    monkeypatch.setattr(trees, "ALONE_ROWS", -1)
+    monkeypatch.setattr(trees, "search_sums", watched)
+    model = fitted(frame, Growth(depth=4, min_rows=2), 1)
+    assert len(model.trees[0][0].feature) > 15
+    assert [nodes for nodes, _ in counted] == [1, 1, 2, 4]
+    assert counted[0][1] == [900] and all(rows[0] <= 450 for _, rows in counted[1:])
